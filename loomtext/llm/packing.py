@@ -10,9 +10,10 @@ out anew to fewer partitions and packed again, until one partition is left.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,24 @@ def bins_bound(lengths: np.ndarray, size: int) -> int:
     return bound
 
 
+def _packer(size: int, step: int, last: bool) -> Callable:
+    def pack(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("item")
+        lengths = frame["length"].to_numpy()
+        bin_of, offset, fill = best_fit(lengths, size)
+        certified = len(fill) == bins_bound(lengths, size)
+        released = np.zeros(len(fill), bool)
+        if not last:
+            released[np.argmin(fill)] = True
+            if not certified:
+                released |= fill < size - size // 64
+        frame["sequence_id"] = (step << 56) + (int(keys[0]) << 24) + bin_of
+        frame["offset"], frame["certified"], frame["released"] = offset, certified, released[bin_of]
+        return frame[["item", "length", "sequence_id", "offset", "certified", "released"]]
+
+    return pack
+
+
 def packed(items: DataFrame, size: int = 1024, partition_items: int = 8192) -> DataFrame:
     """Place rows of (item, length), lengths from 1 to size: adds sequence_id, offset, certified.
 
@@ -103,22 +122,8 @@ def packed(items: DataFrame, size: int = 1024, partition_items: int = 8192) -> D
         parts = max(1, -(-n // partition_items))
         last = parts == 1
 
-        def pack(keys, frame, last=last, step=step):
-            frame = frame.sort_values("item")
-            lengths = frame["length"].to_numpy()
-            bin_of, offset, fill = best_fit(lengths, size)
-            certified = len(fill) == bins_bound(lengths, size)
-            released = np.zeros(len(fill), bool)
-            if not last:
-                released[np.argmin(fill)] = True
-                if not certified:
-                    released |= fill < size - size // 64
-            frame["sequence_id"] = (step << 56) + (int(keys[0]) << 24) + bin_of
-            frame["offset"], frame["certified"], frame["released"] = offset, certified, released[bin_of]
-            return frame[["item", "length", "sequence_id", "offset", "certified", "released"]]
-
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("item", F.lit(step)), F.lit(parts)))
-        now = written(dealt.groupBy("part").applyInPandas(pack, schema), f"packed-{step}")
+        now = written(dealt.groupBy("part").applyInPandas(_packer(size, step, last), schema), f"packed-{step}")
         done.append(now.where(~F.col("released")).drop("released", "length"))
         if last:
             break
