@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import jaccard, packing, pii, quality, urls
+from loomtext.llm import jaccard, packing, pii, quality, suffixes, urls
 from loomtext.llm.shared import table
 
 
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), size=400)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -42,6 +46,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_url_filters": op10_url_filters,
     "op7_best_fit_packing": op7_best_fit_packing,
