@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import jaccard, packing, pii, quality, suffixes, urls
+from loomtext.llm import decontaminate, jaccard, packing, pii, quality, suffixes, urls
 from loomtext.llm.shared import table
 
 
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, least=0.8)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"), size=400)
 
@@ -46,6 +50,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_url_filters": op10_url_filters,
