@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontaminate, jaccard, packing, pii, quality, suffixes, toxicity, urls
+from loomtext.llm import decontaminate, jaccard, licenses, lm, packing, pii, quality, suffixes, toxicity, urls
 from loomtext.llm.shared import table
 
 
@@ -17,6 +17,10 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"), order=2, alpha=0.4)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.found(table(spark, sf_dir, "documents")))
 
@@ -49,12 +53,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
@@ -62,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_url_filters": op10_url_filters,
+    "op6_license_scan": op6_license_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_lm_scoring": lm.ORACLE}
