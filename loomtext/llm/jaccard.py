@@ -10,6 +10,7 @@ when both lie in one component. Pairs of classes that remain are compared exactl
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -44,9 +45,12 @@ class Sharding:
 
     def shape(self, slot: int) -> tuple[int, int]:
         """Parts of a slot and how many of a set's parts may be empty before empty parts need keys too."""
-        most = self.edges[slot + 1] - 1
+        least, most = self.edges[slot], self.edges[slot + 1] - 1
         d = self.differences(most + most * 100 // self.percent)
-        spare = 1 + d // 50
+        spare = 1
+        for _ in range(30):  # enough for the parts a set of the slot leaves empty by chance, and four deviations more
+            empty = (d + 1 + spare) * math.exp(-least / (d + 1 + spare))
+            spare = max(spare, math.ceil(1 + empty + 4 * math.sqrt(empty)))
         return (d + 1 + spare, spare) if d else (0, 0)
 
     def slots(self, n: int) -> list[int]:
@@ -299,3 +303,9 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     least = kinds.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     ids = written(least.join(least.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("key", "component_id"), "jaccard-ids")
     return own.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with the least doc_id of their component, one row a doc_id, all columns kept."""
+    first = joined(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,28 +169,23 @@ def digest(spans: DataFrame) -> DataFrame:
     )
 
 
+def _scrubbed(text: str) -> str:
+    pieces, done = [], 0
+    for k, a, b, _ in sorted(spans_of(text), key=lambda s: (s[1], -s[2])):
+        if a >= done:
+            pieces += [text[done:a], f"<{k.upper()}>"]
+        done = max(done, b)
+    return "".join([*pieces, text[done:]]) if done else text
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; n_chars follows. Null texts stay null.
 
     Overlapping spans are replaced as one, named after the first. All columns are kept as they are otherwise.
     """
 
-    def scrub(texts: Iterator) -> Iterator:
-        import pandas as pd
-
-        for part in texts:
-            out = []
-            for text in part:
-                if text is None:
-                    out.append(None)
-                    continue
-                pieces, done = [], 0
-                for k, a, b, _ in sorted(spans_of(text), key=lambda s: (s[1], -s[2])):
-                    if a >= done:
-                        pieces += [text[done:a], f"<{k.upper()}>"]
-                    done = max(done, b)
-                out.append("".join([*pieces, text[done:]]) if done else text)
-            yield pd.Series(out, dtype=object)
+    def scrub(texts: pd.Series) -> pd.Series:
+        return texts.map(_scrubbed, na_action="ignore").astype(object)
 
     clean = F.pandas_udf(scrub, "string")
     return docs.withColumn("text", clean("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -29,22 +29,24 @@ def _repeated(packed: Column, array: str) -> Column:
     )
 
 
-def stats(docs: DataFrame) -> DataFrame:
+def stats(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and counts for the features.
 
     Words are runs of characters other than space, tab and the controls up to CR. A null or empty text has none and
-    all counts 0. Repeated rows each give a row; columns other than doc_id and text are not looked at.
+    all counts 0. Repeated rows each give a row; columns other than doc_id and text are not looked at, those named in
+    `more` are handed on.
     Repeated 8-word windows are found inside the row: window hashes are sorted with their positions in the low bits,
     once by the hash's upper bits and, for those found, once by its lower bits, so that all 64 decide.
     """
     mask = (1 << _POSITION_BITS) - 1
     kept = lambda pattern: F.length(F.regexp_replace("text", pattern, "")).cast("long")
     worded = (
-        own_id(docs)
+        docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
         .withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
         .select(
             "doc_id",
+            *more,
             "words",
             F.size("words").cast("long").alias("n_words"),
             F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -182,3 +184,11 @@ def learnt_from(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000,
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """stats() with base_failed and kept."""
     return with_features(stats(docs)).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def filtered(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents that judged() keeps, all columns and repeated rows as they were."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    judged_ = with_features(stats(whole, ("whole",))).select("whole", (~base_failed() & verdict(rules)).alias("kept"))
+    # The row number keeps Spark from evaluating the statistics again inside the filter.
+    return judged_.withColumn("row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("row") >= 0)).select("whole.*")
