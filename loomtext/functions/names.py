@@ -32,15 +32,15 @@ def fold_text(text: str) -> str:
     return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().casefold().strip()
 
 
-@F.pandas_udf("string")
-def _fold(texts: pd.Series) -> pd.Series:
+def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text, na_action="ignore").astype(object)
 
 
 def fold(c: Column) -> Column:
     """ASCII texts are folded by built-in functions; Python sees the others only."""
     plain = c.rlike(r"^[\x00-\x7F]*\z")
-    return F.when(plain, strip(F.lower(c))).otherwise(_fold(F.when(~plain, c)))
+    other = F.pandas_udf(_folded, "string")
+    return F.when(plain, strip(F.lower(c))).otherwise(other(F.when(~plain, c)))
 
 
 def split_honorific(folded: Column) -> Column:

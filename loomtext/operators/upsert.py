@@ -60,7 +60,7 @@ def accepted(characters: DataFrame, mention_edges: DataFrame, appearances: DataF
     """
     b = characters.join(merges.withColumnRenamed("from_id", "character_id"), "character_id")
     gone = b.groupBy(F.col("to_id").alias("character_id")).agg(
-        F.flatten(F.collect_list(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array())))).alias("more"), F.array_sort(F.collect_set("character_id")).alias("absorbed")
+        F.flatten(F.collect_list(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array())))).alias("more"), F.array_sort(F.collect_set(F.col("character_id").cast("string"))).alias("absorbed")
     )
     merged_from = F.col("merged_from") if "merged_from" in characters.columns else F.array().cast("array<string>")
     left = characters.join(merges.select(F.col("from_id").alias("character_id")), "character_id", "left_anti").join(gone, "character_id", "left")
