@@ -34,8 +34,9 @@ _POSITION = np.uint64((1 << 23) - 1)
 _SECOND = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def text_id(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and tid, a 64-bit hash that stands for the text."""
+    return own_id(docs).withColumn("tid", F.xxhash64("text"))
 
 
 def anchors(buf: np.ndarray, first: Hasher, start: np.ndarray, size: int, k: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,9 +82,9 @@ def _documents(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([text_id(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["doc_id", "tid", "n_bytes", "sha"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["doc_id", "tid", "n_bytes", "sha"])
 
-    return own_id(docs).mapInArrow(scan, "doc_id long, tid long, n_bytes long, sha string")
+    return _keyed(docs).mapInArrow(scan, "doc_id long, tid long, n_bytes long, sha string")
 
 
 def _first_ranks(docs: DataFrame, size: int) -> DataFrame:
@@ -93,12 +94,12 @@ def _first_ranks(docs: DataFrame, size: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
-            for _, _, texts in text_slices(batch.column("text"), SEGMENT // 2):
+            ids = batch.column("tid").to_pylist()
+            for first, last, texts in text_slices(batch.column("text"), SEGMENT // 2):
                 parts: list[tuple[int, int, bytes]] = []  # text id, offset in the text, bytes
-                for t in texts:
+                for tid, t in zip(ids[first:last], texts, strict=True):
                     if len(t) < size:
                         continue
-                    tid = text_id(t)
                     seen[tid] = seen.get(tid, 0) + 1
                     if seen[tid] <= 2:
                         parts += [(tid, s, t[s : s + SEGMENT + size - 1]) for s in range(0, len(t) - size + 1, SEGMENT)]
@@ -130,7 +131,7 @@ def _first_ranks(docs: DataFrame, size: int) -> DataFrame:
         columns = [np.array([x[0] for x in group], np.int64)[of], *((x + move).astype(np.int32) for x in (p, lo, hi)), as_long(core), as_long(h1), as_long(h2)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tid", "p", "lo", "hi", "core", "h1", "h2"])
 
-    return own_id(docs).mapInArrow(scan, schema)
+    return _keyed(docs).mapInArrow(scan, schema)
 
 
 def _cell_ranks(todo: DataFrame, texts: DataFrame, cell: int, size: int) -> DataFrame:
@@ -158,7 +159,7 @@ def _cell_ranks(todo: DataFrame, texts: DataFrame, cell: int, size: int) -> Data
         columns = [np.full(len(p), tid), *(v.astype(np.int32) for v in (p, lo, hi, a, b, weight)), as_long(core), as_long(h1), as_long(h2)]
         return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["tid", "p", "lo", "hi", "a", "b", "weight", "core", "h1", "h2"])
 
-    return todo.join(texts, "tid").select("tid", "text", "items").mapInArrow(scan, schema)
+    return texts.join(todo.hint("merge"), "tid").select("tid", "text", "items").mapInArrow(scan, schema)
 
 
 def _mixed(groups: DataFrame, name: str) -> DataFrame:
@@ -168,25 +169,27 @@ def _mixed(groups: DataFrame, name: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """tid and text for rows (tid, doc_id); a row of that doc_id with another text is left out."""
+    """tid and text for rows (tid, doc_id), once each."""
+    return _keyed(docs).join(owners.select("doc_id", "tid").hint("merge"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"]).select("tid", "text")
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [text_id(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            yield batch.select(["tid", "text"]).filter(pa.array([a == b for a, b in zip(ids, batch.column("tid").to_pylist(), strict=True)], pa.bool_()))
-
-    return own_id(docs).join(owners.select("doc_id", "tid"), "doc_id").select("tid", "text").mapInArrow(same, "tid long, text string").dropDuplicates(["tid"])
 
+def repeated(docs: DataFrame, own: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """tid and [s, e) of runs of bytes covered by windows that stand elsewhere too (runs may overlap), and tid and text
+    of every text that has such runs or may have them.
 
-def repeated(docs: DataFrame, own: DataFrame, size: int) -> DataFrame:
-    """tid and [s, e) of runs of bytes covered by windows that stand elsewhere too; runs may overlap."""
-    runs = written(_first_ranks(docs, size), "suffix-runs")
+    Only positions whose first rank is shared go beyond the first step. Ids never decide a broadcast here: texts move
+    by a sorted merge at any size.
+    """
+    every = written(_first_ranks(docs, size), "suffix-runs")
+    again = written(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "suffix-again")
+    runs = written(every.join(again.hint("merge"), "core", "left_semi"), "suffix-runs-again")
     where = F.min(F.struct("tid", "p", "lo", "hi"))
     hulls = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("weight"), F.min("core").alias("core"), where.alias("x")).select("h1", "h2", "weight", "core", "x.*"), "suffix-hulls")
     settled = runs.join(hulls.where("weight > 1").select("h1", "h2"), ["h1", "h2"]).select("tid", F.col("lo").alias("s"), (F.col("hi") + size).alias("e"))
     out = [written(settled, "suffix-settled")]
     open_ = written(_mixed(hulls.withColumns({"d0": F.lit(0), "d1": F.lit(size)}), "suffix-cores"), "suffix-open")
-    owners = own.join(open_.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
+    touched = open_.select("tid").unionAll(out[0].select("tid")).distinct()
+    owners = own.groupBy("tid").agg(F.min("doc_id").alias("doc_id")).join(touched, "tid", "left_semi")
     texts = written(texts_of(docs, owners), "suffix-texts")
     for cell in CELLS:
         ranks = written(_cell_ranks(open_.groupBy("tid").agg(F.collect_list("item").alias("items")), texts, cell, size), f"suffix-ranks-{cell}")
@@ -199,7 +202,7 @@ def repeated(docs: DataFrame, own: DataFrame, size: int) -> DataFrame:
     found = out[0]
     for more in out[1:]:
         found = found.unionAll(more)
-    return found
+    return found, texts
 
 
 def without_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
@@ -210,7 +213,8 @@ def without_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
     `size` stay whole. Repeated rows are copies of each other. Columns other than doc_id and text are not looked at.
     """
     own = written(_documents(docs), "suffix-documents")
-    ranges = repeated(docs, own, size).groupBy("tid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    found, texts = repeated(docs, own, size)
+    ranges = found.groupBy("tid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
@@ -219,8 +223,8 @@ def without_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], kind)], ["tid", "n_removed", "n_spans", "spans"])
 
     cut = written(ranges.mapInArrow(merge, "tid long, n_removed long, n_spans long, spans array<struct<s:int,e:int>>"), "suffix-cut")
-    one = own.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.min("n_bytes").alias("n_bytes"))
-    partly = written(one.join(cut, "tid").where("n_removed < n_bytes").select("tid", "doc_id", "spans"), "suffix-partly")
+    one = own.groupBy("tid").agg(F.min("n_bytes").alias("n_bytes"))
+    partly = written(one.join(cut, "tid").where("n_removed < n_bytes").select("tid", "spans"), "suffix-partly")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +238,7 @@ def without_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
                 sums.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(sums)], ["tid", "kept"])
 
-    kept = texts_of(docs, partly).join(partly.select("tid", "spans"), "tid").select("tid", "text", "spans").mapInArrow(rest, "tid long, kept string")
+    kept = texts.join(partly.hint("merge"), "tid").select("tid", "text", "spans").mapInArrow(rest, "tid long, kept string")
     done = written(cut.select("tid", "n_removed", "n_spans").join(kept, "tid", "left"), "suffix-done")
     nothing = hashlib.sha256(b"").hexdigest()
     return own.join(done, "tid", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.when(F.col("n_removed").isNull(), F.col("sha")).otherwise(F.coalesce("kept", F.lit(nothing))).alias("kept_sha256"))
