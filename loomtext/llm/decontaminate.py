@@ -4,7 +4,7 @@ A window of as many words as an item is fingerprinted by SimHash over its weight
 one block more than the radius, so two within the radius agree on some block: an index of blocks finds every item whose
 fingerprint is near. Candidates are then compared exactly: sum of weights in both over sum of weights in either, as
 multisets. Windows that share no shingle with any item have similarity 0, so fingerprints are made only around shared
-shingles; this loses nothing.
+shingles, and only of the sizes of items that have one of them; this loses nothing.
 """
 
 from __future__ import annotations
@@ -69,6 +69,11 @@ class Index:
                 order = np.argsort(value, kind="stable")
                 tables.append((value[order], order))
             self.by_size[size] = (at, prints, tables)
+        sizes: dict[int, set[int]] = {}
+        for g, n in zip(own.values(), self.size, strict=True):
+            for x in g.tolist():
+                sizes.setdefault(x, set()).add(n)
+        self.sizes_of = [tuple(sizes[x]) for x in self.known.tolist()]
         self.short = sorted({s for s in self.size if s < k})
         self.longest = max(self.size, default=0)
 
@@ -89,10 +94,11 @@ class Index:
         total = sum(of[x] * n for x, n in ours.items()) + int(self.weight(np.array(keys, np.uint64)) @ np.array([theirs[x] for x in keys])) - both
         return both / total
 
-    def matches(self, words: np.ndarray, least: float) -> dict[int, tuple[float, int, int]]:
-        """Of one zone of words: for each item found, similarity, first word and words of its best window."""
+    def matches(self, words: np.ndarray, sizes: set[int], least: float) -> dict[int, tuple[float, int, int]]:
+        """Of one zone of words: for each item of these sizes found, similarity, first word and words of its best window."""
         best: dict[int, tuple[float, int, int]] = {}
-        for size, (items, prints, tables) in self.by_size.items():
+        for size in sorted(sizes):
+            items, prints, tables = self.by_size[size]
             k = min(self.k, size)
             if len(words) < size:
                 continue
@@ -162,19 +168,24 @@ def _scan(docs: DataFrame, items, k: int, least: float, radius: int) -> DataFram
                 words = Words(texts, lower=True)
                 hashes = words.hashes()
                 shared = np.zeros(len(hashes), bool)
+                sizes_at: dict[int, set[int]] = {}
                 for n in [k, *index.short]:
                     whole = np.flatnonzero(words.text[: len(hashes) - n + 1] == words.text[n - 1 :]) if len(hashes) >= n else []
                     if len(whole) and len(index.known):
                         h = Index._grams(hashes, n)[whole]
                         at = np.minimum(np.searchsorted(index.known, h), len(index.known) - 1)
-                        shared[whole[index.known[at] == h]] = True
+                        same = index.known[at] == h
+                        shared[whole[same]] = True
+                        for p, x in zip(whole[same].tolist(), at[same].tolist(), strict=True):
+                            sizes_at.setdefault(p, set()).update(index.sizes_of[x])
                 hits = np.flatnonzero(shared)
                 for j in np.unique(words.text[hits]).tolist():
                     first, n = int(words.first_word[j]), int(words.n_words[j])
                     own = hits[words.text[hits] == j] - first
                     best: dict[int, tuple[float, int, int]] = {}
                     for x, y in _zones(own, n, index.longest):
-                        for item, (s, p, size) in index.matches(hashes[first + x : first + y], least).items():
+                        sizes = set().union(*(sizes_at[first + p] for p in own[(own >= x) & (own < y)].tolist()))
+                        for item, (s, p, size) in index.matches(hashes[first + x : first + y], sizes, least).items():
                             if item not in best or s > best[item][0]:
                                 best[item] = (s, p + x, size)
                     rows += [(ids[a + j], index.ids[item], s, p, size) for item, (s, p, size) in sorted(best.items())]
