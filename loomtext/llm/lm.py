@@ -1,25 +1,24 @@
 """Stupid-backoff scores from counts over the whole corpus, each document scored without its own counts.
 
-Documents are grouped into blocks of a few megabytes. A block's distinct n-grams, with their counts, are dealt out by
-hash: all entries of an n-gram meet in one hash partition, which adds them up and answers each block with the totals of
-its n-grams, in the order they came. Back at its block, the totals stand beside the documents' own n-grams and scores
-are summed per document. Arrays keep a row per block and hash partition rather than one per n-gram occurrence, and a
+Documents are dealt into blocks of a few megabytes. A block's distinct n-grams, with their counts, are dealt out by
+hash: all entries of an n-gram meet in one hash partition, which adds them up and answers each block with what the
+other blocks have of its n-grams, in the order they came (mostly zeros, which shuffle as next to nothing). Back at its
+block, the answers stand beside the documents' own n-grams and scores are summed per document. Both uses of the blocks
+read one shuffle of the texts. Arrays keep a row per block and hash partition rather than one per n-gram occurrence, and a
 frequent n-gram costs one entry a block, so no key is hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import own_id, written
-from loomtext.llm.textnum import Words, as_long, mix, text_slices
+from loomtext.llm.shared import own_id
+from loomtext.llm.textnum import Words, as_long, mix
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
 BUCKET_BYTES = 8_000_000  # of text, whose n-grams one hash partition adds up
 
 
@@ -42,23 +41,8 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for a, b, texts in text_slices(batch.column("text"), BLOCK_BYTES):
-                ids = pa.array([batch.column("doc_id").slice(a, b - a).to_pylist()], pa.list_(pa.int64()))
-                whole = pa.array([batch.column("text").slice(a, b - a).to_pylist()], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), ids, whole, pa.array([sum(map(len, texts))])], ["block", "doc_ids", "texts", "n_bytes"])
-                block += 1
-
-    return own_id(docs).mapInArrow(gather, "block long, doc_ids array<long>, texts array<string>, n_bytes long")
-
-
-def _encoded(texts: list[str]) -> list[bytes]:
-    return [t.encode() for t in texts]
+def _texts(table: pa.Table) -> list[bytes]:
+    return [x or b"" for x in table.column("text").cast(pa.large_binary()).to_pylist()]
 
 
 def scored(docs: DataFrame, order: int = 2, alpha: float = 0.4) -> DataFrame:
@@ -71,79 +55,62 @@ def scored(docs: DataFrame, order: int = 2, alpha: float = 0.4) -> DataFrame:
     the controls up to CR. A null or empty text has no words, sum 0 and mean 0. Repeated rows count as often as they
     stand there; other columns are not looked at. An empty table gives an empty one.
     """
-    blocks = written(_blocks(docs), "lm-blocks")
-    size = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    own = own_id(docs)
+    size, all_words = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")), F.lit(0))).first()
     buckets = max(8, -(-size // BUCKET_BYTES))
+    blocks = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(max(8, -(-size // BLOCK_BYTES)))))
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts").to_pylist(), strict=True):
-                words, grams = _ngrams(_encoded(texts), order)
-                key, count = np.unique(np.concatenate([h for h, _ in grams]), return_counts=True)
-                of = _bucket(key, buckets)
-                cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(key) else np.zeros(0, np.int64)
-                offsets = pa.array(np.append(cut, len(key)).astype(np.int32))
-                hashes = pa.ListArray.from_arrays(offsets, pa.array(as_long(key)))
-                counts = pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(of[cut].astype(np.int64)), pa.array(np.full(len(cut), block)), hashes, counts, pa.array(np.where(np.arange(len(cut)) == 0, len(words.start), 0))], ["bucket", "block", "hashes", "counts", "words"])
+    def entries(table: pa.Table) -> pa.Table:
+        _, grams = _ngrams(_texts(table), order)
+        key, count = np.unique(np.concatenate([h for h, _ in grams]), return_counts=True)
+        of = _bucket(key, buckets)
+        cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(key) else np.zeros(0, np.int64)
+        offsets = pa.array(np.append(cut, len(key)).astype(np.int32))
+        block = table.column("block")[0].as_py()
+        return pa.table({"bucket": pa.array(of[cut].astype(np.int64)), "block": pa.array(np.full(len(cut), block, np.int64)), "hashes": pa.ListArray.from_arrays(offsets, pa.array(as_long(key))), "counts": pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))})
 
     def add_up(table: pa.Table) -> pa.Table:
         flat = [table.column(c).combine_chunks() for c in ("hashes", "counts")]
         h, c = (x.flatten().to_numpy(zero_copy_only=False) for x in flat)
         key, back = np.unique(h, return_inverse=True)
-        totals = np.bincount(back, c, len(key)).astype(np.int64)[back]
+        others = np.bincount(back, c, len(key)).astype(np.int64)[back] - c
         lengths = np.array([len(x) for x in flat[0]], np.int64)
         offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "totals": pa.ListArray.from_arrays(offsets, pa.array(totals))})
+        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "others": pa.ListArray.from_arrays(offsets, pa.array(others))})
 
-    spread = blocks.select("block", "texts").mapInArrow(entries, "bucket long, block long, hashes array<long>, counts array<int>, words long")
-    spread = written(spread, "lm-entries")
-    all_words = spread.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    answers = spread.select("bucket", "block", "hashes", "counts").groupBy("bucket").applyInArrow(add_up, "bucket long, block long, totals array<long>")
+    spread = blocks.groupBy("block").applyInArrow(entries, "bucket long, block long, hashes array<long>, counts array<int>")
+    answers = spread.groupBy("bucket").applyInArrow(add_up, "bucket long, block long, others array<long>")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, micro, hits, sizes = [], [], [], []
-        totals = right.sort_by("bucket").column("totals").combine_chunks().flatten().to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, np.int64)
-        for doc_ids, texts in zip(left.column("doc_ids").to_pylist(), left.column("texts").to_pylist(), strict=True):
-            words, grams = _ngrams(_encoded(texts), order)
-            key = np.unique(np.concatenate([h for h, _ in grams]))
-            n = len(words.start)
-            rest = np.maximum(all_words - words.n_words, 1)[words.text]
-            others = []  # by order: for each word, how often other documents have the n-gram that ends with it
-            for h, at in grams:
-                pair, back, own = np.unique(np.stack([h, words.text[at].astype(np.uint64)], axis=1), axis=0, return_inverse=True, return_counts=True) if len(h) else (h, h.astype(int), h)
-                whole = np.zeros(n, np.int64)
-                whole[at] = totals[np.searchsorted(key, h)] - own[back.ravel()]
-                others.append(whole)
-            value = np.maximum(others[0], 0.5) / rest
-            for k in range(1, order):
-                longer = np.zeros(n, bool)
-                longer[grams[k][1]] = others[k][grams[k][1]] > 0
-                history = np.append(0, others[k - 1][:-1])
-                exact = longer & (history > 0)
-                value = np.where(exact, others[k] / np.maximum(history, 1), np.where(_reached(grams[k][1], n), alpha * value, value))
-            logs = np.rint(np.log(value) * 1e6).astype(np.int64)
-            full = others[-1] > 0 if order > 1 else np.zeros(n, bool)
-            edge = np.append(words.first_word, n)
-            sums, found = np.append(0, np.cumsum(logs)), np.append(0, np.cumsum(full))
-            ids += doc_ids
-            micro.append(sums[edge[1:]] - sums[edge[:-1]])
-            hits.append(found[edge[1:]] - found[edge[:-1]])
-            sizes.append(words.n_words.astype(np.int64))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": cat(sizes), "n_hits": cat(hits), "log_micro": cat(micro)})
-
-    out = blocks.select("block", "doc_ids", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, n_hits long, log_micro long")
+        texts = _texts(left)
+        words, grams = _ngrams(texts, order)
+        key, count = np.unique(np.concatenate([h for h, _ in grams]), return_counts=True)
+        told = right.sort_by("bucket").column("others").combine_chunks().flatten().to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, np.int64)
+        totals = told + count
+        n = len(words.start)
+        rest = np.maximum(all_words - words.n_words, 1)[words.text]
+        others = []  # by order: for each word, how often other documents have the n-gram that ends with it
+        for h, at in grams:
+            _, back, own_count = np.unique(mix(h ^ mix(words.text[at].astype(np.uint64))), return_inverse=True, return_counts=True)
+            whole = np.zeros(n, np.int64)
+            whole[at] = totals[np.searchsorted(key, h)] - own_count[back]
+            others.append(whole)
+        value = np.maximum(others[0], 0.5) / rest
+        for k in range(1, order):
+            history = np.append(0, others[k - 1][:-1])
+            reached = np.zeros(n, bool)  # words that have a history of this order within their text
+            reached[grams[k][1]] = True
+            longer = reached & (others[k] > 0) & (history > 0)
+            value = np.where(longer, others[k] / np.maximum(history, 1), np.where(reached, alpha * value, value))
+        logs = np.rint(np.log(value) * 1e6).astype(np.int64)
+        edge = np.append(words.first_word, n)
+        sums, hits = np.append(0, np.cumsum(logs)), np.append(0, np.cumsum(others[-1] > 0) if order > 1 else np.zeros(n, np.int64))
+        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(words.n_words.astype(np.int64)), "n_hits": pa.array(hits[edge[1:]] - hits[edge[:-1]]), "log_micro": pa.array(sums[edge[1:]] - sums[edge[:-1]])})
+
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, n_hits long, log_micro long")
     return out.withColumn("mean_log", F.when(F.col("n_words") > 0, F.col("log_micro") / 1000000 / F.col("n_words")).otherwise(0.0))
 
 
-def _reached(at: np.ndarray, n: int) -> np.ndarray:
-    """Words that have a history of this order within their text."""
-    out = np.zeros(n, bool)
-    out[at] = True
-    return out
-
-
 ORACLE = """
 WITH w AS (
   SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') AS ws
