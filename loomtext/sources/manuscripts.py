@@ -33,7 +33,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def decoded(content: str) -> Column:
     """UTF-8 if it is valid, else Latin-1; without a byte order mark."""
     plain = F.col(content).cast("string")
-    return F.regexp_replace(F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode(F.col(content), F.lit("ISO-8859-1"))), "^﻿", "")
+    return F.regexp_replace(F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode(F.col(content), "ISO-8859-1")), r"^\x{FEFF}", "")
 
 
 def text_blocks(texts: DataFrame) -> DataFrame:
