@@ -49,7 +49,7 @@ def shingled(rows: DataFrame) -> DataFrame:
 def minhashes(shingles: str) -> Column:
     """BANDS MinHash values of an array of random hashes: the least after exclusive or with each of as many constants."""
     dice = random.Random(1729)
-    seeds = F.array(*[F.lit(dice.getrandbits(63)) for _ in range(BANDS)])
+    seeds = F.array(*[F.lit(dice.getrandbits(64) - (1 << 63)) for _ in range(BANDS)])
     return F.transform(seeds, lambda s: F.array_min(F.transform(shingles, lambda x: x.bitwiseXOR(s))))
 
 
@@ -75,10 +75,13 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     empty text, and no templates, give no rows; repeated documents each give theirs; other columns
     are not looked at.
     """
+    none = own_id(docs).where("false").select("doc_id", F.lit(0).alias("template"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("start_word"))
+    if not templates:
+        return none
     known = template_table(docs.sparkSession, templates)
     found = known.select("template", "class", F.explode("shingles").alias("s")).collect()
     if not found:
-        return own_id(docs).where("false").select("doc_id", F.lit(0).alias("template"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("start_word"))
+        return none
     any_of = F.array(*[F.lit(s) for s in sorted({r["s"] for r in found})])
     # The row number keeps Spark from evaluating the shingles again inside the filter.
     texts = shingled(own_id(docs)).select("doc_id", "shingles", F.monotonically_increasing_id().alias("row")).where(F.arrays_overlap("shingles", any_of))
