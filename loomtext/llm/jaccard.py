@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard join with signature trees.
 
-Documents with the same shingle set are one class. The trees' roots are shards: for a size range, the hash space is
+Documents with the same shingle set are one class. Classes without company (see with_company) have no link and need
+no tree. The trees' roots are shards: for a size range, the hash space is
 cut into so many parts that two sets within the threshold must agree on one non-empty part, and the content of a part
 is a root's key. Under a root, classes are first compared with its least member. What that leaves in different
 components is searched by dual traversal: nodes hold the OR of token bitmaps and the range of sizes (and of component
@@ -90,35 +91,50 @@ def shard_keys(h: np.ndarray, slot: int, parts: int, spare: int) -> np.ndarray:
     return keys
 
 
-def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, key of its set, and for the first document of a set in a task its shard keys and bitmap."""
-    schema = "doc_id long, n long, key long, shards array<long>, bits binary"
+def sample_bits(n: int) -> int:
+    """How many leading zero bits a hash needs to be in the sample of a set of n: 32 to 63 hashes, or all."""
+    return max(0, n.bit_length() - 6)
+
+
+def classes(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, key of its set, and for the first document of a set in a task its sample, of which the first `judged`
+    hashes are also in the sample of any set of a similar size."""
+    schema = "doc_id long, n long, key long, sample array<long>, judged int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how, seen = Sharding(percent), set()
-        shape = [how.shape(s) for s in range(len(how.edges) - 1)]
+        seen = set()
         for batch in batches:
             for a, b, texts in text_slices(batch.column("text")):
                 h, first, n = shingle_sets(texts, k)
                 keys = as_long(set_keys(h, first, n))
-                low = (h % np.uint64(BITS)).astype(np.int64)
-                shards, bits = [], []
+                samples, judged = [], []
                 for i, key in enumerate(keys.tolist()):
                     if not n[i] or key in seen:
-                        shards.append(None)
-                        bits.append(None)
+                        samples.append(None)
+                        judged.append(0)
                         continue
                     seen.add(key)
-                    own = slice(first[i], first[i] + n[i])
-                    shards.append(as_long(np.concatenate([shard_keys(h[own], s, *shape[s]) for s in how.slots(int(n[i])) if shape[s][0]] or [h[:0]])))
-                    flags = np.zeros(BITS, np.uint8)
-                    flags[low[own]] = 1
-                    bits.append(np.packbits(flags).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(keys), pa.array(shards, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "key", "shards", "bits"])
+                    own, zeros = h[first[i] : first[i] + n[i]], sample_bits(int(n[i]))
+                    within = lambda z: int(np.searchsorted(own, np.uint64((1 << (64 - z)) - 1), "right"))  # noqa: B023, E731
+                    samples.append(as_long(own[: within(zeros)]))
+                    judged.append(int(n[i]) if n[i] < 32 else within(zeros + 1))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(keys), pa.array(samples, pa.list_(pa.int64())), pa.array(judged, pa.int32())], ["doc_id", "n", "key", "sample", "judged"])
 
     return own_id(docs).mapInArrow(scan, schema)
 
 
+def with_company(own: DataFrame) -> DataFrame:
+    """Keys of classes a quarter of whose judged hashes other classes have too.
+
+    Of a set that has a link at 0.8, eight ninths of the hashes are shared, and 16 or more are judged: fewer than a
+    quarter are shared with a probability under 1e-9 (at 0.9, under 1e-13). Sets under 32 are judged whole.
+    """
+    told = own.where("sample is not null").select("key", "judged", F.posexplode("sample").alias("pos", "hash"))
+    shared = told.groupBy("hash").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("hash")
+    held = told.where("pos < judged").join(shared.hint("merge"), "hash", "left_semi")
+    return held.groupBy("key").agg(F.count("*").alias("n"), F.max("judged").alias("judged")).where("4 * n >= judged").select("key").unionAll(own.where("n > 0 and judged = 0 and sample is not null").select("key")).distinct()
+
+
 def _most_overlap(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bound on common elements: each bit that only one side has is an element the other lacks."""
     return np.minimum(na - np.bitwise_count(a & ~b).sum(-1), nb - np.bitwise_count(b & ~a).sum(-1))
@@ -169,17 +185,30 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
-def class_texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """key and text for rows (doc_id, key); a row of that doc_id with another text is left out."""
+def class_texts(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, text, n, shard keys and bitmap for rows (doc_id, key); a row of that doc_id with another text is left out."""
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = Sharding(percent)
+        shape = [how.shape(s) for s in range(len(how.edges) - 1)]
         for batch in batches:
             for a, b, texts in text_slices(batch.column("text")):
-                keys = as_long(set_keys(*shingle_sets(texts, k)))
+                h, first, n = shingle_sets(texts, k)
+                low = (h % np.uint64(BITS)).astype(np.int64)
                 part = batch.slice(a, b - a).select(["key", "text"])
-                yield part.filter(pa.array(keys == part.column("key").to_numpy()))
+                same = as_long(set_keys(h, first, n)) == part.column("key").to_numpy()
+                shards, bits = [], []
+                for i in np.flatnonzero(same).tolist():
+                    own = slice(first[i], first[i] + n[i])
+                    shards.append(as_long(np.concatenate([shard_keys(h[own], s, *shape[s]) for s in how.slots(int(n[i])) if shape[s][0]] or [h[:0]])))
+                    flags = np.zeros(BITS, np.uint8)
+                    flags[low[own]] = 1
+                    bits.append(np.packbits(flags).tobytes())
+                kept = part.filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n[same]), pa.array(shards, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["key", "text", "n", "shards", "bits"])
 
-    return own_id(docs).join(reps.select("doc_id", "key"), "doc_id").select("key", "text").mapInArrow(same, "key long, text string").dropDuplicates(["key"])
+    once = own_id(docs).join(reps.select("doc_id", "key").hint("merge"), "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "key", "same"])
+    return once.select("key", "text").mapInArrow(mark, "key long, text string, n long, shards array<long>, bits binary")
 
 
 def _may_reach(slack: int, bits: np.ndarray, lo: int, slack2: int, bits2: np.ndarray, lo2: int, percent: int) -> bool:
@@ -189,8 +218,14 @@ def _may_reach(slack: int, bits: np.ndarray, lo: int, slack2: int, bits2: np.nda
     return 100 * most >= percent * max(lo, lo2)
 
 
+def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    keep = _reach(_most_overlap(na, nb, bits_a, bits_b), na, nb, percent)
+    return list(zip(np.minimum(a, b)[keep].tolist(), np.maximum(a, b)[keep].tolist(), strict=True))
+
+
 def traversed(members: pd.DataFrame, others: pd.DataFrame | None, percent: int) -> list[tuple[int, int]]:
-    """Dual traversal of two trees (or one with itself), halving nodes in order of size: the pairs left at the leaves."""
+    """Dual traversal of two trees (or one with itself), halving nodes in order of size down to LEAF members; the pairs
+    (a < b) in different components that bitmaps and sizes can't rule out."""
 
     def tree(x: pd.DataFrame) -> tuple:
         x = x.sort_values(["n", "key"])
@@ -211,25 +246,52 @@ def traversed(members: pd.DataFrame, others: pd.DataFrame | None, percent: int)
         lo2, hi2, m1, m2, bits2, slack2 = node(t, x, y)
         if l1 == l2 == m1 == m2 or 100 * hi < percent * lo2 or 100 * hi2 < percent * lo or not _may_reach(slack, bits, lo, slack2, bits2, lo2, percent):
             continue
-        if j - i == 1 and y - x == 1:
-            a, b = int(s[0][i]), int(t[0][x])
-            if a != b and bool(_reach(_most_overlap(lo, lo2, bits, bits2), lo, lo2, percent)):
-                out.append((min(a, b), max(a, b)))
+        if j - i <= LEAF and y - x <= LEAF:
+            u, v = np.meshgrid(np.arange(i, j), np.arange(x, y), indexing="ij")
+            u, v = u.ravel(), v.ravel()
+            apart = (s[2][u] != t[2][v]) & (s[0][u] != t[0][v])
+            out += _near(s[0][u[apart]], t[0][v[apart]], s[1][u[apart]], t[1][v[apart]], s[3][u[apart]], t[3][v[apart]], percent)
             continue
-        left = [(i, (i + j) // 2), ((i + j) // 2, j)] if j - i > 1 else [(i, j)]
-        right = [(x, (x + y) // 2), ((x + y) // 2, y)] if y - x > 1 else [(x, y)]
+        left = [(i, (i + j) // 2), ((i + j) // 2, j)] if j - i > LEAF else [(i, j)]
+        right = [(x, (x + y) // 2), ((x + y) // 2, y)] if y - x > LEAF else [(x, y)]
         todo += [(*p, *q) for p in left for q in right if s is not t or p[0] <= q[0]]
     return out
 
 
-def _pairs_of(percent: int, two: bool) -> Callable:
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(traversed(frame, None, percent), columns=["a", "b"], dtype="int64")
-
+def _across(percent: int) -> Callable:
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(traversed(left, right, percent) if len(left) and len(right) else [], columns=["a", "b"], dtype="int64")
 
-    return both if two else one
+    return both
+
+
+def _within(percent: int) -> Callable:
+    """Pairs inside the leaves of rows sorted by leaf: neighbours at growing distances, for all leaves of a batch at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(x: pa.Table) -> pa.RecordBatch:
+            shard, leaf, key, n, label = (x.column(c).to_numpy() for c in ("shard", "leaf", "key", "n", "label"))
+            bits, out = _bit_rows(x.column("bits").to_pylist()), []
+            for d in range(1, len(key)):
+                i = np.flatnonzero((shard[:-d] == shard[d:]) & (leaf[:-d] == leaf[d:]))
+                if not len(i):
+                    break
+                i = i[(label[i] != label[i + d]) & (100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d]))]
+                out += _near(key[i], key[i + d], n[i], n[i + d], bits[i], bits[i + d], percent)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            shard, leaf = held.column("shard").to_numpy(), held.column("leaf").to_numpy()
+            whole = int(np.flatnonzero((shard != shard[-1]) | (leaf != leaf[-1]))[-1]) + 1 if len(shard) and ((shard != shard[-1]) | (leaf != leaf[-1])).any() else 0
+            if whole:
+                yield pairs(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    return run
 
 
 NODE = "shard long, leaf long, lo long, hi long, l1 long, l2 long, slack long, bits binary"
@@ -242,10 +304,11 @@ def _node(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([values], columns=["shard", "leaf", "lo", "hi", "l1", "l2", "slack", "bits"])
 
 
-def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that stand under one root, from rows (shard, key, n, label, bits).
+def tree_pairs(members: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that stand under one root, from rows (shard, key, n, label) and their
+    bitmaps in kinds.
 
-    A root with many members has leaves of LEAF members or so, by hash; its leaves are paired unless their nodes rule
+    Of roots with the same members one is searched. A root with many members has leaves of LEAF members or so, by hash; its leaves are paired unless their nodes rule
     it out, and each pair of leaves is a task of its own size, however large the root is.
     """
 
@@ -254,9 +317,11 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
             keep = [_may_reach(s1, np.frombuffer(b1, np.uint64), lo1, s2, np.frombuffer(b2, np.uint64), lo2, percent) for s1, b1, lo1, s2, b2, lo2 in zip(x["slack_p"], x["bits_p"], x["lo_p"], x["slack_q"], x["bits_q"], x["lo_q"], strict=True)]
             yield x.loc[keep, ["shard", "x", "y"]]
 
-    spread = members.groupBy("shard").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size")).where("l1 <> l2")
-    held = written(members.join(spread.select("shard", F.ceil(F.col("size") / LEAF).alias("leaves")), "shard").withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("leaves"))), "tree-members")
-    within = held.groupBy("shard", "leaf").applyInPandas(_pairs_of(percent, False), "a long, b long")
+    spread = members.groupBy("shard").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("xor"))
+    one_each = spread.where("l1 <> l2").groupBy("size", "sum", "xor").agg(F.min("shard").alias("shard"))
+    searched = members.join(one_each.select("shard", F.ceil(F.col("size") / LEAF).alias("leaves")), "shard").join(kinds.select("key", "bits"), "key")
+    held = written(searched.withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("leaves"))), "tree-members")
+    within = held.repartition("shard", "leaf").sortWithinPartitions("shard", "leaf").mapInArrow(_within(percent), "a long, b long")
     wide = held.where("leaves > 1")
     nodes = written(wide.groupBy("shard", "leaf").applyInPandas(_node, NODE), "tree-nodes")
     p = nodes.select("shard", F.col("leaf").alias("x"), *[F.col(c).alias(f"{c}_p") for c in ("lo", "hi", "l1", "l2", "slack", "bits")])
@@ -269,7 +334,7 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
         found = meet.join(wide.withColumnRenamed("leaf", leaf), ["shard", leaf])
         return found.select(*[F.col(c).alias(c) for c in ("shard", "x", "y", "key", "n", "label", "bits")]).groupBy("shard", "x", "y")
 
-    across = side("x").cogroup(side("y")).applyInPandas(_pairs_of(percent, True), "a long, b long")
+    across = side("x").cogroup(side("y")).applyInPandas(_across(percent), "a long, b long")
     return within.unionAll(across).distinct()
 
 
@@ -281,14 +346,15 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     Copies and repeated rows share a class. An empty table gives an empty one. Columns other than doc_id and text
     are not looked at. Sets are told apart by 64-bit keys.
     """
-    own = written(classes(docs, k, percent), "jaccard-docs")
-    kinds = written(own.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits")), "jaccard-classes")
-    shards = own.where("shards is not null").select(F.explode("shards").alias("shard"), "key", "n")
+    own = written(classes(docs, k), "jaccard-docs")
+    every = written(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
+    reps = every.join(written(with_company(own), "jaccard-company"), "key", "left_semi")
+    texts = written(class_texts(docs, reps, k, percent), "jaccard-texts")
+    kinds = texts.select("key", "n", "bits")
+    shards = texts.select(F.explode("shards").alias("shard"), "key", "n")
     roots = written(shards.groupBy("shard").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("shard", "least"), "jaccard-roots")
-    under = written(shards.join(roots, "shard").where("key <> least").select("shard", "key", "n", "least").distinct(), "jaccard-under")
+    under = written(shards.join(roots.hint("merge"), "shard").where("key <> least").select("shard", "key", "n", "least").distinct(), "jaccard-under")
     stars = written(pruned(under.select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), kinds, percent), "jaccard-stars")
-    wanted = under.select("key").unionAll(under.select(F.col("least").alias("key"))).distinct()
-    texts = written(class_texts(docs, kinds.join(wanted, "key", "left_semi"), k), "jaccard-texts")
 
     links = written(linked(stars.groupBy("a").agg(F.min("b").alias("b")), texts, k, percent), "jaccard-links")
     labels = components(links)
@@ -296,11 +362,11 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     apart = stars.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
     links = links.unionAll(written(linked(apart, texts, k, percent), "jaccard-links"))
     labels = components(links)
-    members = under.join(labels.withColumnRenamed("node", "key"), "key", "left").select("shard", "key", "n", F.coalesce("label", "key").alias("label")).join(kinds.select("key", "bits"), "key")
-    more = written(linked(tree_pairs(members, percent), texts, k, percent), "jaccard-links")
+    members = under.join(labels.withColumnRenamed("node", "key"), "key", "left").select("shard", "key", "n", F.coalesce("label", "key").alias("label"))
+    more = written(linked(tree_pairs(members, kinds, percent), texts, k, percent), "jaccard-links")
     labels = labels if more.isEmpty() else components(links.unionAll(more))
 
-    least = kinds.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
+    least = every.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     ids = written(least.join(least.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("key", "component_id"), "jaccard-ids")
     return own.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
 
