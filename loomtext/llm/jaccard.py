@@ -161,7 +161,7 @@ def pruned(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
     a = kinds.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     b = kinds.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return pairs.join(a, "a").join(b, "b").where(sized).mapInPandas(check, "a long, b long")
+    return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").where(sized).mapInPandas(check, "a long, b long")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -182,7 +182,7 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
 def class_texts(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
