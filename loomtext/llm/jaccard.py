@@ -1,9 +1,9 @@
 """Exact n-gram Jaccard join with signature trees.
 
-Documents with the same shingle set are one class. Classes without company (see with_company) have no link and need
-no tree. The trees' roots are shards: for a size range, the hash space is
-cut into so many parts that two sets within the threshold must agree on one non-empty part, and the content of a part
-is a root's key. Under a root, classes are first compared with its least member. What that leaves in different
+Documents with the same shingle set are one class. The trees' roots are shards: for a size range, the hash space is cut
+into so many parts that two sets within the threshold must agree on one non-empty part, and the content of a part is a
+root's key. A class that shares no root has no link, and its text stays where it is. Under a root, classes are first
+compared with its least member. What that leaves in different
 components is searched by dual traversal: nodes hold the OR of token bitmaps and the range of sizes (and of component
 labels), and a pair of nodes is dropped when the largest overlap its bitmaps and sizes allow misses the threshold, or
 when both lie in one component. Pairs of classes that remain are compared exactly.
@@ -91,48 +91,27 @@ def shard_keys(h: np.ndarray, slot: int, parts: int, spare: int) -> np.ndarray:
     return keys
 
 
-def sample_bits(n: int) -> int:
-    """How many leading zero bits a hash needs to be in the sample of a set of n: 32 to 63 hashes, or all."""
-    return max(0, n.bit_length() - 6)
-
-
-def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, key of its set, and for the first document of a set in a task its sample, of which the first `judged`
-    hashes are also in the sample of any set of a similar size."""
-    schema = "doc_id long, n long, key long, sample array<long>, judged int"
+def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, key of its set, and the shard keys of a set's first document in a task; for the others null."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        how, seen = Sharding(percent), set()
+        shape = [how.shape(s) for s in range(len(how.edges) - 1)]
         for batch in batches:
             for a, b, texts in text_slices(batch.column("text")):
                 h, first, n = shingle_sets(texts, k)
                 keys = as_long(set_keys(h, first, n))
-                samples, judged = [], []
+                shards = []
                 for i, key in enumerate(keys.tolist()):
                     if not n[i] or key in seen:
-                        samples.append(None)
-                        judged.append(0)
+                        shards.append(None)
                         continue
                     seen.add(key)
-                    own, zeros = h[first[i] : first[i] + n[i]], sample_bits(int(n[i]))
-                    within = lambda z: int(np.searchsorted(own, np.uint64((1 << (64 - z)) - 1), "right"))  # noqa: B023, E731
-                    samples.append(as_long(own[: within(zeros)]))
-                    judged.append(int(n[i]) if n[i] < 32 else within(zeros + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(keys), pa.array(samples, pa.list_(pa.int64())), pa.array(judged, pa.int32())], ["doc_id", "n", "key", "sample", "judged"])
-
-    return own_id(docs).mapInArrow(scan, schema)
-
+                    own = h[first[i] : first[i] + n[i]]
+                    shards.append(as_long(np.concatenate([shard_keys(own, s, *shape[s]) for s in how.slots(int(n[i])) if shape[s][0]] or [own[:0]])))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(keys), pa.array(shards, pa.list_(pa.int64()))], ["doc_id", "n", "key", "shards"])
 
-def with_company(own: DataFrame) -> DataFrame:
-    """Keys of classes a quarter of whose judged hashes other classes have too.
-
-    Of a set that has a link at 0.8, eight ninths of the hashes are shared, and 16 or more are judged: fewer than a
-    quarter are shared with a probability under 1e-9 (at 0.9, under 1e-13). Sets under 32 are judged whole.
-    """
-    told = own.where("sample is not null").select("key", "judged", F.posexplode("sample").alias("pos", "hash"))
-    shared = told.groupBy("hash").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("hash")
-    held = told.where("pos < judged").join(shared.hint("merge"), "hash", "left_semi")
-    return held.groupBy("key").agg(F.count("*").alias("n"), F.max("judged").alias("judged")).where("4 * n >= judged").select("key").unionAll(own.where("n > 0 and judged = 0 and sample is not null").select("key")).distinct()
+    return own_id(docs).mapInArrow(scan, "doc_id long, n long, key long, shards array<long>")
 
 
 def _most_overlap(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -185,30 +164,26 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
-def class_texts(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """key, text, n, shard keys and bitmap for rows (doc_id, key); a row of that doc_id with another text is left out."""
+def class_texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """key, text, n and bitmap for rows (doc_id, key); a row of that doc_id with another text is left out."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how = Sharding(percent)
-        shape = [how.shape(s) for s in range(len(how.edges) - 1)]
         for batch in batches:
             for a, b, texts in text_slices(batch.column("text")):
                 h, first, n = shingle_sets(texts, k)
                 low = (h % np.uint64(BITS)).astype(np.int64)
                 part = batch.slice(a, b - a).select(["key", "text"])
                 same = as_long(set_keys(h, first, n)) == part.column("key").to_numpy()
-                shards, bits = [], []
+                bits = []
                 for i in np.flatnonzero(same).tolist():
-                    own = slice(first[i], first[i] + n[i])
-                    shards.append(as_long(np.concatenate([shard_keys(h[own], s, *shape[s]) for s in how.slots(int(n[i])) if shape[s][0]] or [h[:0]])))
                     flags = np.zeros(BITS, np.uint8)
-                    flags[low[own]] = 1
+                    flags[low[first[i] : first[i] + n[i]]] = 1
                     bits.append(np.packbits(flags).tobytes())
                 kept = part.filter(pa.array(same))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n[same]), pa.array(shards, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["key", "text", "n", "shards", "bits"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n[same]), pa.array(bits, pa.binary())], ["key", "text", "n", "bits"])
 
     once = own_id(docs).join(reps.select("doc_id", "key").hint("merge"), "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "key", "same"])
-    return once.select("key", "text").mapInArrow(mark, "key long, text string, n long, shards array<long>, bits binary")
+    return once.select("key", "text").mapInArrow(mark, "key long, text string, n long, bits binary")
 
 
 def _may_reach(slack: int, bits: np.ndarray, lo: int, slack2: int, bits2: np.ndarray, lo2: int, percent: int) -> bool:
@@ -305,8 +280,8 @@ def _node(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def tree_pairs(members: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that stand under one root, from rows (shard, key, n, label) and their
-    bitmaps in kinds.
+    """Pairs of classes in different components that stand under one root, from rows (shard, key, label) and the sizes
+    and bitmaps in kinds.
 
     Of roots with the same members one is searched. A root with many members has leaves of LEAF members or so, by hash; its leaves are paired unless their nodes rule
     it out, and each pair of leaves is a task of its own size, however large the root is.
@@ -319,7 +294,7 @@ def tree_pairs(members: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
 
     spread = members.groupBy("shard").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("xor"))
     one_each = spread.where("l1 <> l2").groupBy("size", "sum", "xor").agg(F.min("shard").alias("shard"))
-    searched = members.join(one_each.select("shard", F.ceil(F.col("size") / LEAF).alias("leaves")), "shard").join(kinds.select("key", "bits"), "key")
+    searched = members.join(one_each.select("shard", F.ceil(F.col("size") / LEAF).alias("leaves")), "shard").join(kinds, "key")
     held = written(searched.withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("leaves"))), "tree-members")
     within = held.repartition("shard", "leaf").sortWithinPartitions("shard", "leaf").mapInArrow(_within(percent), "a long, b long")
     wide = held.where("leaves > 1")
@@ -346,14 +321,14 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     Copies and repeated rows share a class. An empty table gives an empty one. Columns other than doc_id and text
     are not looked at. Sets are told apart by 64-bit keys.
     """
-    own = written(classes(docs, k), "jaccard-docs")
+    own = written(classes(docs, k, percent), "jaccard-docs")
     every = written(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-    reps = every.join(written(with_company(own), "jaccard-company"), "key", "left_semi")
-    texts = written(class_texts(docs, reps, k, percent), "jaccard-texts")
-    kinds = texts.select("key", "n", "bits")
-    shards = texts.select(F.explode("shards").alias("shard"), "key", "n")
+    shards = own.where("shards is not null").select(F.explode("shards").alias("shard"), "key")
     roots = written(shards.groupBy("shard").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("shard", "least"), "jaccard-roots")
-    under = written(shards.join(roots.hint("merge"), "shard").where("key <> least").select("shard", "key", "n", "least").distinct(), "jaccard-under")
+    under = written(shards.join(roots.hint("merge"), "shard").where("key <> least").select("shard", "key", "least").distinct(), "jaccard-under")
+    company = written(under.select("key").unionAll(roots.select(F.col("least").alias("key"))).distinct(), "jaccard-company")
+    texts = written(class_texts(docs, every.join(company, "key", "left_semi"), k), "jaccard-texts")
+    kinds = texts.select("key", "n", "bits")
     stars = written(pruned(under.select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), kinds, percent), "jaccard-stars")
 
     links = written(linked(stars.groupBy("a").agg(F.min("b").alias("b")), texts, k, percent), "jaccard-links")
@@ -362,7 +337,7 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     apart = stars.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
     links = links.unionAll(written(linked(apart, texts, k, percent), "jaccard-links"))
     labels = components(links)
-    members = under.join(labels.withColumnRenamed("node", "key"), "key", "left").select("shard", "key", "n", F.coalesce("label", "key").alias("label"))
+    members = under.join(labels.withColumnRenamed("node", "key"), "key", "left").select("shard", "key", F.coalesce("label", "key").alias("label"))
     more = written(linked(tree_pairs(members, kinds, percent), texts, k, percent), "jaccard-links")
     labels = labels if more.isEmpty() else components(links.unionAll(more))
 
