@@ -4,7 +4,8 @@ Documents become token pieces; pieces that fill a sequence stand alone and the o
 decreasing, partition by partition. Dual feasible functions bound from below how many sequences a partition needs.
 A certified partition (its count equals the bound) gives up only its emptiest sequence, since rounding up once a
 partition is the one loss left; a partition with a gap gives up all its looser sequences. What is given up is dealt
-out anew to fewer partitions and packed again, until one partition is left.
+out anew to fewer partitions and packed again, until one partition is left. A round that would give up more than three
+quarters of its items gives up the emptiest sequence of each partition alone, so that every round shrinks.
 """
 
 from __future__ import annotations
@@ -85,26 +86,24 @@ def bins_bound(lengths: np.ndarray, size: int) -> int:
     for e in np.flatnonzero(count[: size // 2 + 1]).tolist():  # lengths over size - e count whole, those under e not at all
         value = np.where(x > size - e, size, np.where(x < e, 0, x))
         bound = max(bound, -(-int(count @ value) // size))
-    for k in range(1, 33):  # (k + 1) x / size rounded down, in units of 1 / k, unless it is whole
+    most = size // int(lengths.min()) if len(lengths) else 0  # of the shortest length in a sequence: equal lengths are bounded at this k
+    for k in range(1, max(32, most) + 1):  # (k + 1) x / size rounded down, in units of 1 / k, unless it is whole
         value = np.where((k + 1) * x % size == 0, x * k, (k + 1) * x // size * size)
         bound = max(bound, -(-int(count @ value) // (size * k)))
     return bound
 
 
-def _packer(size: int, step: int, last: bool) -> Callable:
+def _packer(size: int, step: int) -> Callable:
     def pack(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("item")
         lengths = frame["length"].to_numpy()
         bin_of, offset, fill = best_fit(lengths, size)
         certified = len(fill) == bins_bound(lengths, size)
-        released = np.zeros(len(fill), bool)
-        if not last:
-            released[np.argmin(fill)] = True
-            if not certified:
-                released |= fill < size - size // 64
+        emptiest = np.arange(len(fill)) == np.argmin(fill)
+        loose = emptiest if certified else emptiest | (fill < size - size // 64)
         frame["sequence_id"] = (step << 56) + (int(keys[0]) << 24) + bin_of
-        frame["offset"], frame["certified"], frame["released"] = offset, certified, released[bin_of]
-        return frame[["item", "length", "sequence_id", "offset", "certified", "released"]]
+        frame["offset"], frame["certified"], frame["emptiest"], frame["loose"] = offset, certified, emptiest[bin_of], loose[bin_of]
+        return frame[["item", "length", "sequence_id", "offset", "certified", "emptiest", "loose"]]
 
     return pack
 
@@ -113,21 +112,23 @@ def packed(items: DataFrame, size: int = 1024, partition_items: int = 8192) -> D
     """Place rows of (item, length), lengths from 1 to size: adds sequence_id, offset, certified.
 
     certified says that the item's partition met its lower bound. Ties are broken by item.
-    An empty table gives an empty one. At most partition_items items meet in a task, whatever the input.
+    An empty table gives an empty one. About partition_items items meet in a task, whatever the input, or what fills
+    two sequences where that is more: of two partitions or more one then keeps a sequence, and every round shrinks.
     """
-    schema = "item long, length long, sequence_id long, offset long, certified boolean, released boolean"
+    schema = "item long, length long, sequence_id long, offset long, certified boolean, emptiest boolean, loose boolean"
     done, rest, step = [], items.select("item", "length"), 0
+    n, ids = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     while True:
-        n = rest.count()
-        parts = max(1, -(-n // partition_items))
-        last = parts == 1
-
+        parts = max(1, min(-(-n // partition_items), -(-ids // (2 * size))))
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("item", F.lit(step)), F.lit(parts)))
-        now = written(dealt.groupBy("part").applyInPandas(_packer(size, step, last), schema), f"packed-{step}")
-        done.append(now.where(~F.col("released")).drop("released", "length"))
-        if last:
+        now = written(dealt.groupBy("part").applyInPandas(_packer(size, step), schema), f"packed-{step}")
+        if parts == 1:
+            done.append(now.drop("emptiest", "loose", "length"))
             break
-        rest, step = now.where("released").select("item", "length"), step + 1
+        of = {c: now.where(c).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first() for c in ("loose", "emptiest")}
+        given = "loose" if 4 * of["loose"][0] <= 3 * n else "emptiest"
+        done.append(now.where(~F.col(given)).drop("emptiest", "loose", "length"))
+        rest, (n, ids), step = now.where(given).select("item", "length"), of[given], step + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)

@@ -209,6 +209,44 @@ def test_packing_exchanges_between_partitions(spark):
     assert len({r.sequence_id for r in rows}) <= len(fill) * 1.02
 
 
+@pytest.mark.parametrize("kinds, n, size, partition_items", [([25], 9000, 1024, 8192), ([291, 179, 179], 2000, 1024, 512), ([1], 900, 1000, 20), ([], 0, 1024, 8192)])
+def test_packing_ends(spark, monkeypatch, kinds, n, size, partition_items):
+    """One length only, a mix that no bound certifies, and partitions of less than a sequence."""
+    import numpy as np
+
+    rounds, rows_in = [], []
+
+    def counted(df, name):
+        assert len(rounds) < 12, "the rounds do not end"
+        out = written(df, name)
+        rounds.append(name)
+        rows_in.append(out.count())
+        return out
+
+    written = packing.written
+    monkeypatch.setattr(packing, "written", counted)
+    rng = random.Random(2)
+    lengths = [rng.choice(kinds) for _ in range(n)]
+    rows = packing.packed(spark.createDataFrame(list(enumerate(lengths)), "item long, length long"), size, partition_items).collect()
+    assert sorted(r.item for r in rows) == list(range(n))
+    assert all(b < a for a, b in zip(rows_in, rows_in[1:], strict=False))
+    full = {}
+    for r in rows:
+        full.setdefault(r.sequence_id, []).append((r.offset, lengths[r.item]))
+    for parts in full.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(x for _, x in parts[:k]) for k in range(len(parts))] and sum(x for _, x in parts) <= size
+    assert len(full) <= len(packing.best_fit(np.array(lengths, np.int64), size)[2]) * 1.02
+
+
+def test_equal_lengths_are_certified():
+    import numpy as np
+
+    for n, least in ((19, 53), (25, 40), (27, 37), (1, 1024)):
+        lengths = np.full(8192, n)
+        assert packing.bins_bound(lengths, 1024) == -(-8192 // least) == len(packing.best_fit(lengths, 1024)[2])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_bounds_are_bounds(lengths):
