@@ -2,7 +2,8 @@
 
 The vocabulary's pattern splits a text into pretokens that are encoded on their own, so the ids of a text are those
 of its pretokens in a row. Splitting is vectorised for code points below 0x250; a text with others goes to the
-tokenizer whole, with the same result.
+tokenizer whole, with the same result. So does a text with the content of an added token (such as an end mark), which
+the tokenizer looks for before it splits.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -105,7 +106,7 @@ class PieceEncoder:
         out: list[np.ndarray | None] = [np.zeros(0, np.uint32)] * len(texts)
         plain = []
         for i, t in enumerate(texts):
-            if t and (t.isascii() or max(t) < chr(LIMIT)):
+            if t and (t.isascii() or max(t) < chr(LIMIT)) and not any(a in t for a in self.added):
                 plain.append(i)
             elif t:
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)

@@ -280,3 +280,22 @@ def test_pretokens_examples(text):
 
     coder = encoder(vocabulary_path())
     assert coder.encode([text])[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_recognised(spark):
+    """Texts with the content of the vocabulary's added token, beside others, against an untouched tokenizer."""
+    from tokenizers import Tokenizer
+
+    from loomtext.llm.pretokens import encoder
+
+    plain = Tokenizer.from_file(vocabulary_path())
+    ids = lambda t: plain.encode(t, add_special_tokens=False).ids
+    texts = ["end of one <|endoftext|> start of next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "日本 <|endoftext|>", "<|endoftext|", "< |endoftext|>", "no mark at all", ""]
+    assert 50256 in ids(texts[0]) and len(ids(texts[0])) == 8
+    assert [x.tolist() for x in encoder(vocabulary_path()).encode(texts)] == [ids(t) for t in texts]
+    long = "word " * 3000 + texts[0]
+    rows = packing.pack_documents(spark.createDataFrame(rows_of([*texts, long]), SCHEMA), vocabulary_path()).collect()
+    for i, t in enumerate([*texts, long]):
+        own, said = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece), [*ids(t), 2]
+        assert sum(r.length for r in own) == len(said)
+        assert [r.ids_crc32 for r in own] == [zlib.crc32(b"".join(x.to_bytes(4, "little") for x in said[r.start : r.start + r.length])) for r in own]
