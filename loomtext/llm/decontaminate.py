@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import own_id
+from loomtext.llm.shared import of_rows, own_id, text_id
 from loomtext.llm.textnum import Words, mix, shingles, text_slices
 
 RADIUS = 20
@@ -144,6 +144,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8,
     window. Repeated documents each give their rows. The benchmark is held in blocks of ITEMS_A_BLOCK items, one pass
     over the documents for each, so what is broadcast has that bound. Other columns are not looked at.
     """
+    return _leaks(docs, benchmark, k, least, radius).drop("tid")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """The rows of leaks(), with tid of the document's text."""
     blocks = max(1, -(-benchmark.count() // ITEMS_A_BLOCK))
     out = None
     for block in range(blocks):
@@ -157,12 +162,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8,
 
 
 def _scan(docs: DataFrame, items, k: int, least: float, radius: int) -> DataFrame:
-    schema = "doc_id long, item_id long, similarity double, start_word int, n_words int"
+    schema = "doc_id long, tid long, item_id long, similarity double, start_word int, n_words int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items.value, k, radius)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids, tids = batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist()
             rows = []
             for a, _, texts in text_slices(batch.column("text")):
                 words = Words(texts, lower=True)
@@ -188,13 +193,13 @@ def _scan(docs: DataFrame, items, k: int, least: float, radius: int) -> DataFram
                         for item, (s, p, size) in index.matches(hashes[first + x : first + y], sizes, least).items():
                             if item not in best or s > best[item][0]:
                                 best[item] = (s, p + x, size)
-                    rows += [(ids[a + j], index.ids[item], s, p, size) for item, (s, p, size) in sorted(best.items())]
+                    rows += [(ids[a + j], tids[a + j], index.ids[item], s, p, size) for item, (s, p, size) in sorted(best.items())]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "similarity", "start_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "tid", "item_id", "similarity", "start_word", "n_words"])
 
-    return own_id(docs).mapInArrow(scan, schema)
+    return own_id(docs).withColumn("tid", text_id()).mapInArrow(scan, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents in which no item is found, all columns kept."""
-    return docs.join(leaks(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return of_rows(docs, _leaks(docs, benchmark, **how).select("doc_id", "tid").distinct(), "left_anti").select(*docs.columns)

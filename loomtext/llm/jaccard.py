@@ -18,11 +18,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import components
-from loomtext.llm.shared import own_id, written
+from loomtext.llm.shared import of_rows, own_id, text_id, written
 from loomtext.llm.textnum import Words, as_long, mix, shingles, text_slices
 
 BITS = 2048
@@ -92,7 +92,7 @@ def shard_keys(h: np.ndarray, slot: int, parts: int, spare: int) -> np.ndarray:
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, key of its set, and the shard keys of a set's first document in a task; for the others null."""
+    """doc_id, tid of its text, n, key of its set, and the shard keys of a set's first document in a task; for the others null."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how, seen = Sharding(percent), set()
@@ -109,9 +109,9 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     seen.add(key)
                     own = h[first[i] : first[i] + n[i]]
                     shards.append(as_long(np.concatenate([shard_keys(own, s, *shape[s]) for s in how.slots(int(n[i])) if shape[s][0]] or [own[:0]])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(keys), pa.array(shards, pa.list_(pa.int64()))], ["doc_id", "n", "key", "shards"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tid").slice(a, b - a), pa.array(n), pa.array(keys), pa.array(shards, pa.list_(pa.int64()))], ["doc_id", "tid", "n", "key", "shards"])
 
-    return own_id(docs).mapInArrow(scan, "doc_id long, n long, key long, shards array<long>")
+    return own_id(docs).withColumn("tid", text_id()).mapInArrow(scan, "doc_id long, tid long, n long, key long, shards array<long>")
 
 
 def _most_overlap(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 
 def class_texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """key, text, n and bitmap for rows (doc_id, key); a row of that doc_id with another text is left out."""
+    """key, text, n and bitmap for rows (doc_id, tid, key)."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +182,7 @@ def class_texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
                 kept = part.filter(pa.array(same))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n[same]), pa.array(bits, pa.binary())], ["key", "text", "n", "bits"])
 
-    once = own_id(docs).join(reps.select("doc_id", "key").hint("merge"), "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "key", "same"])
+    once = of_rows(own_id(docs), reps.select("doc_id", "tid", "key"), "inner").dropDuplicates(["key"])
     return once.select("key", "text").mapInArrow(mark, "key long, text string, n long, bits binary")
 
 
@@ -313,16 +313,15 @@ def tree_pairs(members: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
     return within.unionAll(across).distinct()
 
 
-def joined(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document; links are exact, none is lost.
+def _least() -> tuple[Column, Column]:
+    """The least doc_id of a group and the text it has there; a text without an id only where no row has one."""
+    return F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("tid", "doc_id"), F.min("tid")).alias("tid")
 
-    Words are lower-cased in A-Z only and split at space, tab and the controls up to CR. With fewer words than k the
-    whole sequence is the one shingle; without words, or with a null text, the set is empty and linked with nothing.
-    Copies and repeated rows share a class. An empty table gives an empty one. Columns other than doc_id and text
-    are not looked at. Sets are told apart by 64-bit keys.
-    """
+
+def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, tid, n and key of every document; key, label of its component, doc_id and tid of every class."""
     own = written(classes(docs, k, percent), "jaccard-docs")
-    every = written(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
+    every = written(own.where("n > 0").groupBy("key").agg(*_least()), "jaccard-classes")
     shards = own.where("shards is not null").select(F.explode("shards").alias("shard"), "key")
     roots = written(shards.groupBy("shard").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("shard", "least"), "jaccard-roots")
     under = written(shards.join(roots.hint("merge"), "shard").where("key <> least").select("shard", "key", "least").distinct(), "jaccard-under")
@@ -341,12 +340,29 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     more = written(linked(tree_pairs(members, kinds, percent), texts, k, percent), "jaccard-links")
     labels = labels if more.isEmpty() else components(links.unionAll(more))
 
-    least = every.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
+    return own, every.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", "tid", F.coalesce("label", "key").alias("label"))
+
+
+def joined(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; links are exact, none is lost.
+
+    Words are lower-cased in A-Z only and split at space, tab and the controls up to CR. With fewer words than k the
+    whole sequence is the one shingle; without words, or with a null text, the set is empty and linked with nothing.
+    Copies and repeated rows share a class. An empty table gives an empty one. Columns other than doc_id and text
+    are not looked at. Sets are told apart by 64-bit keys. A component without any doc_id has a null component_id.
+    """
+    own, least = _labelled(docs, k, percent)
     ids = written(least.join(least.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("key", "component_id"), "jaccard-ids")
     return own.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the least doc_id of their component, one row a doc_id, all columns kept."""
-    first = joined(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each component, that with the least doc_id, all columns kept.
+
+    Texts of one doc_id in different components each stay; a null doc_id represents where no other does. Documents
+    without words are linked with nothing: one row a doc_id stays.
+    """
+    own, least = _labelled(docs, k, percent)
+    first = least.groupBy("label").agg(*_least()).select("doc_id", "tid").unionAll(own.where("n = 0").groupBy("doc_id").agg(F.min("tid").alias("tid")))
+    kept = of_rows(docs, first, "left_semi").withColumn("_tid", text_id())
+    return kept.dropDuplicates(["doc_id", "_tid"]).select(*docs.columns)

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_id() -> Column:
+    """A 64-bit hash that stands for the text; that of an empty one for a null text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def of_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Join docs with rows (doc_id, tid) of their documents by id and text: a null id is one too, and an id may have two texts."""
+    asked = rows.select(*[F.col(c).alias({"doc_id": "_asked_id", "tid": "_asked_tid"}.get(c, c)) for c in rows.columns])
+    same = F.col("doc_id").eqNullSafe(F.col("_asked_id")) & (text_id() == F.col("_asked_tid"))
+    return docs.join(asked.hint("merge"), same, how)
+
+
 def own_id(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns of the caller never clash; a null text is empty."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

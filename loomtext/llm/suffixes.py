@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import own_id, written
+from loomtext.llm.shared import of_rows, own_id, written
 from loomtext.llm.textnum import Hasher, as_long, byte_hasher, mix, text_slices
 
 SAMPLE = 200  # bytes of the strings that are sampled
@@ -170,7 +170,7 @@ def _mixed(groups: DataFrame, name: str) -> DataFrame:
 
 def texts_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """tid and text for rows (tid, doc_id), once each."""
-    return _keyed(docs).join(owners.select("doc_id", "tid").hint("merge"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"]).select("tid", "text")
+    return of_rows(_keyed(docs), owners.select("doc_id", "tid"), "inner").dropDuplicates(["tid"]).select("tid", "text")
 
 
 def repeated(docs: DataFrame, own: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:

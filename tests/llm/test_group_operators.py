@@ -104,6 +104,31 @@ def test_jaccard_join_of_chains_and_large_groups(spark):
     assert kept == {c for _, c in plain_components(texts, 5, 80).values()}
 
 
+def test_null_ids_and_ids_with_two_texts(spark):
+    """Rows without an id are linked, stay where no other stands for them, and one id may have two texts."""
+    rng = random.Random(33)
+    a, b, c, d, e = (prose(rng, 120) for _ in range(5))
+    near = lambda t, w: " ".join([*t.split()[:-1], w])
+    data = [(1, a), (2, near(a, "x")), (2, b), (None, c), (None, near(c, "y")), (None, d), (4, near(d, "z")), (5, ""), (5, e), (None, None), (None, e)]
+    docs = spark.createDataFrame([(i, t, 7, 8) for i, t in data], "doc_id long, text string, tid int, key int").repartition(3)
+    kept = jaccard.representatives(docs)
+    said = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(said) == len(set(said)) == 7
+    assert {x for x in said if x[1] not in (c, near(c, "y"))} == {(1, a), (2, b), (4, near(d, "z")), (5, ""), (5, e), (None, None)}
+    both = spark.createDataFrame([(None, a), (None, near(a, "x")), (3, b)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.joined(both).collect()} == {(None, None), (3, 3)} and jaccard.representatives(both, 3, 90).count() == 2
+    low_link = spark.createDataFrame([(None, a), (6, near(a, "x")), (7, near(a, "y"))], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.joined(low_link).collect()} == {6}
+
+
+def test_repeated_strings_without_ids(spark):
+    rng = random.Random(34)
+    texts = [prose(rng, 40) + prose(random.Random(1), 150) + prose(rng, n) for n in (30, 50)]
+    frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(frame).collect())
+    assert got == sorted(plain_removal(texts).values()) and all(0 < x[1] < x[0] for x in got)
+
+
 def test_shards_never_miss():
     """Two sets at the threshold agree on a key whatever elements differ."""
     rng = np.random.default_rng(7)

@@ -142,6 +142,14 @@ def test_decontamination(spark, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(frame, bench.where("false")).count() == 0
 
 
+def test_leaks_are_dropped_by_id_and_text(spark):
+    rng = random.Random(14)
+    item, a, b = prose(rng, 30), prose(rng, 60), prose(rng, 60)
+    frame = spark.createDataFrame([(None, a + " " + item), (None, a), (1, item), (1, b), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontaminate.without_leaks(frame, bench).collect()} == {(None, a), (1, b), (2, None)}
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     blocks = decontaminate._blocks(20)
     assert len(blocks) == 21 and sum(w for _, w in blocks) == 64
