@@ -35,7 +35,7 @@ _PROPOSED = (
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), 0.2, 0.5, ("iban", "account", "konto", "compte", "cuenta", "bank")),
     ("ssn", re.compile(r"(?<![0-9-])[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0.3, 0.1, ("ssn", "social security", "tax id", "taxpayer")),
     ("birth", re.compile(r"(?<![0-9./-])(?:[0-9]{4}[./-][0-9]{2}[./-][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![0-9./-])"), 0.2, 0.1, ("born", "birth", "dob", "geboren", "naissance", "nacimiento")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_=-])"), 0.1, 0.15, ("token", "secret", "api_key", "apikey", "api key", "password", "passwd", "bearer")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9+/_-])"), 0.1, 0.15, ("token", "secret", "api_key", "apikey", "api key", "password", "passwd", "bearer")),
 )
 _NEAR = 40
 
@@ -105,7 +105,7 @@ def _checked(kind: str, found: str) -> bool:
         a, b, c = re.split("[./-]", found)
         year, month, day = (a, b, c) if len(a) == 4 else (c, b, a)
         return "1900" <= year <= "2030" and 1 <= int(month) <= 12 and 1 <= int(day) <= 31
-    return bool(re.search("[0-9]", found)) and bool(re.search("[A-Za-z]", found)) and len(set(found)) >= 8
+    return bool(re.search("[0-9]", found)) and bool(re.search("[A-Za-z]", found)) and len(set(found.rstrip("="))) >= 8
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:

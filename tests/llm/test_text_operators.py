@@ -78,6 +78,18 @@ def test_added_spans_need_evidence():
     assert pii.spans_of("a" * 200_000 + "@" * 1000 + "1" * 200_000) == []
 
 
+def test_secrets_of_any_length_and_with_padding():
+    rng = random.Random(19)
+    key = "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(500)) + "a1"
+    for secret in ("c2VjcmV0a2V5MTIzNDU2Nzg5MTIzNA==", "c2VjcmV0a2V5MTIzNDU2Nzg5MTIzNDU=", key[:128], key[:129], key, key + "=="):
+        for text in (f"token: {secret} end", f"api_key={secret}", f'password "{secret}"'):
+            at = text.index(secret)
+            assert [s[:3] for s in pii.spans_of(text)] == [("secret", at, at + len(secret))], text
+            assert pii._scrubbed(text) == text.replace(secret, "<SECRET>")
+    assert pii.spans_of("my_service_token_name_v2=on") == [] and pii.spans_of(key) == []
+    assert pii.spans_of("token " + "Ab1+" * 5 + "=" * 200_000 + "x") == []
+
+
 def test_pii_query_and_redaction(spark, empty):
     data = [(1, "write to a.b@c.org or +44 20 7946 0958 é", "x"), (1, "write to a.b@c.org or +44 20 7946 0958 é", "x"), (2, None, "x"), (3, "", "x")]
     frame = spark.createDataFrame(data, "doc_id long, text string, spans string")
