@@ -4,7 +4,8 @@ A window of as many words as an item is fingerprinted by SimHash over its weight
 one block more than the radius, so two within the radius agree on some block: an index of blocks finds every item whose
 fingerprint is near. Candidates are then compared exactly: sum of weights in both over sum of weights in either, as
 multisets. Windows that share no shingle with any item have similarity 0, so fingerprints are made only around shared
-shingles, and only of the sizes of items that have one of them; this loses nothing.
+shingles, and only of the sizes of items that have one of them; this loses nothing. Weights are those of the whole
+benchmark, in however many blocks it is held.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.shared import of_rows, own_id, text_id
-from loomtext.llm.textnum import Words, mix, shingles, text_slices
+from loomtext.llm.textnum import Words, as_long, mix, shingles, text_slices
 
 RADIUS = 20
 ITEMS_A_BLOCK = 20_000  # of the benchmark, held by each task at a time
@@ -42,7 +43,9 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
 class Index:
     """The items of a benchmark block: their shingles and weights, and blocks of fingerprints by item length."""
 
-    def __init__(self, items: list[tuple[int, str | None]], k: int, radius: int) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], k: int, radius: int, common: tuple[np.ndarray, np.ndarray, int] | None = None) -> None:
+        """common: sorted shingles that two or more items of the benchmark have, in how many, and the number of items
+        with words; None if these items are the whole benchmark."""
         self.k, self.radius = k, radius
         words = Words([(t or "").encode() for _, t in items], lower=True)
         hashes = words.hashes()
@@ -53,11 +56,12 @@ class Index:
                 own[j] = self._grams(hashes[words.first_word[j] : words.first_word[j] + n], min(k, n))
         self.ids = [items[j][0] for j in own]
         self.size = [int(words.n_words[j]) for j in own]
-        df = Counter(x for g in own.values() for x in set(g.tolist()))
-        self.known = np.array(sorted(df), np.uint64)
-        unit = lambda d: round(1000 * math.log(1 + len(own) / d))
-        self.weights = np.array([unit(df[x]) for x in self.known.tolist()], np.int64)
-        self.other = unit(1)
+        self.known, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(g) for g in own.values())]), return_counts=True)
+        self.common, times, total = common or (self.known[df > 1], df[df > 1], len(own))
+        unit = lambda d: round(1000 * math.log(1 + total / d))
+        kinds, back = np.unique(times, return_inverse=True)
+        self.weights = np.array([unit(d) for d in kinds.tolist()], np.int64)[back]
+        self.other = unit(1)  # of a shingle of one item, or of none
         self.counts = [Counter(g.tolist()) for g in own.values()]
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
         for size in sorted(set(self.size)):
@@ -83,8 +87,8 @@ class Index:
         return shingles(words, np.zeros(n, np.int64), np.array([n]), np.array([0]), k)[0] ^ np.uint64(k)
 
     def weight(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
-        return np.where(self.known[at] == h, self.weights[at], self.other) if len(self.known) else np.full(len(h), self.other)
+        at = np.minimum(np.searchsorted(self.common, h), max(len(self.common) - 1, 0))
+        return np.where(self.common[at] == h, self.weights[at], self.other) if len(self.common) else np.full(len(h), self.other)
 
     def similarity(self, item: int, window: np.ndarray, weight: np.ndarray) -> float:
         theirs, ours = self.counts[item], Counter(window.tolist())
@@ -142,7 +146,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8,
     Words are lower-cased in A-Z and split at space, tab and the controls up to CR; items with fewer words than k are
     one shingle, items and documents without words (null and empty texts too) match nothing. Ties go to the first
     window. Repeated documents each give their rows. The benchmark is held in blocks of ITEMS_A_BLOCK items, one pass
-    over the documents for each, so what is broadcast has that bound. Other columns are not looked at.
+    over the documents for each; what is broadcast is a block and, with several, the shingles (16 bytes each) that two
+    or more items of the whole benchmark have. Other columns are not looked at.
     """
     return _leaks(docs, benchmark, k, least, radius).drop("tid")
 
@@ -150,22 +155,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8,
 def _leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """The rows of leaks(), with tid of the document's text."""
     blocks = max(1, -(-benchmark.count() // ITEMS_A_BLOCK))
+    common = docs.sparkSession.sparkContext.broadcast(_common(benchmark, k) if blocks > 1 else None)
     out = None
     for block in range(blocks):
         mine = benchmark.select("item_id", "text")
         if blocks > 1:
             mine = mine.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in mine.collect()])
-        found = _scan(docs, items, k, least, radius)
+        found = _scan(docs, items, common, k, least, radius)
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def _scan(docs: DataFrame, items, k: int, least: float, radius: int) -> DataFrame:
+def _common(benchmark: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """What Index takes as common, counted once over the whole benchmark."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in text_slices(batch.column("text")):
+                words = Words(texts, lower=True)
+                hashes = words.hashes()
+                cuts = [(int(a), int(n)) for a, n in zip(words.first_word, words.n_words, strict=True) if n]
+                for a, n in cuts:
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *as_long(np.unique(Index._grams(hashes[a : a + n], min(k, n)))).tolist()], pa.int64())], ["h"])
+
+    said = benchmark.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(grams, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    found = said.where("h is null or n > 1").toArrow()
+    h, n = found.column("h").combine_chunks(), found.column("n").to_numpy()
+    item = h.is_null().to_numpy(zero_copy_only=False)
+    keys = h.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], n[~item][order], int(n[item].sum())
+
+
+def _scan(docs: DataFrame, items, common, k: int, least: float, radius: int) -> DataFrame:
     schema = "doc_id long, tid long, item_id long, similarity double, start_word int, n_words int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items.value, k, radius)
+        index = Index(items.value, k, radius, common.value)
         for batch in batches:
             ids, tids = batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist()
             rows = []

@@ -162,6 +162,26 @@ def test_leaks_are_dropped_by_id_and_text(spark):
     assert {(r.doc_id, r.text) for r in decontaminate.without_leaks(frame, bench).collect()} == {(None, a), (1, b), (2, None)}
 
 
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    """Weights count the whole benchmark: many items share parts, and near copies stand around the threshold."""
+    rng = random.Random(15)
+    parts = [prose(rng, 12) for _ in range(6)]
+    items = [" ".join([rng.choice(parts), prose(rng, 12), rng.choice(parts)]) for _ in range(40)]
+    texts = []
+    for item in items:
+        for edits in (1, 2):
+            w = item.split()
+            for x in rng.sample(range(len(w)), edits):
+                w[x] = f"new{x}"
+            texts.append(prose(rng, 20) + " " + " ".join(w))
+    frame = spark.createDataFrame(rows_of(texts), SCHEMA).coalesce(2)
+    bench = spark.createDataFrame([*enumerate(items), (90, None), (91, "")], "item_id long, text string")
+    found = lambda: sorted(tuple(r) for r in decontaminate.leaks(frame, bench, least=0.5).collect())
+    one = found()
+    monkeypatch.setattr(decontaminate, "ITEMS_A_BLOCK", 11)
+    assert len(one) > 20 and found() == one
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     blocks = decontaminate._blocks(20)
     assert len(blocks) == 21 and sum(w for _, w in blocks) == 64
