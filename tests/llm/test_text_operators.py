@@ -44,6 +44,28 @@ def test_lm_scores(docs, texts, spark, empty):
     assert {r.n_words for r in lm.scored(docs.where("doc_id < 3")).collect()} == {0}
 
 
+def test_lm_scores_of_order_three(docs, texts):
+    """Two backoff steps, against counts kept one by one."""
+    said = [WORD.findall(low(t)) for t in texts]
+    grams = [[Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in said] for n in (1, 2, 3)]
+    whole = [sum(g, Counter()) for g in grams]
+    total, expected = sum(map(len, said)), {}
+    for i, s in enumerate(said):
+        others = lambda g, i=i: whole[len(g) - 1][g] - grams[len(g) - 1][i][g]
+
+        def p(g, i=i, s=s, others=others):
+            if len(g) == 1:
+                return max(others(g), 0.5) / max(total - len(s), 1)
+            return others(g) / others(g[:-1]) if others(g) > 0 else 0.4 * p(g[1:])
+
+        each = [tuple(s[max(0, k - 2) : k + 1]) for k in range(len(s))]
+        expected[i] = (len(s), sum(len(g) == 3 and others(g) > 0 for g in each), sum(round(math.log(p(g)) * 1e6) for g in each))
+    got = {r.doc_id: (r.n_words, r.n_hits, r.log_micro) for r in lm.scored(docs, order=3).collect()}
+    assert got.keys() == expected.keys() and any(hits for _, hits, _ in expected.values())
+    for i, (n, hits, micro) in expected.items():
+        assert got[i][:2] == (n, hits) and abs(got[i][2] - micro) <= n
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
