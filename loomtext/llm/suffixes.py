@@ -1,14 +1,15 @@
-"""Exact repeated byte strings by prefix doubling on sampled positions.
+"""Exact repeated byte strings by anchors sampled by content and hashes of ever smaller ranges of windows.
 
 Which windows of `size` bytes also start elsewhere? Positions are sampled by content: in every window the k-byte string
-of least hash is its anchor, so equal windows have their anchor at the same distance. The first ranks are those of the
-k-byte strings. Spark then ranks, for each anchor, the string that all windows of a range share (its core) and the one
-that they cover together (its hull), for ranges of ever fewer distances, so at ever longer common strings:
+of least hash is its anchor, so equal windows have their anchor at the same distance. The first groups are those of the
+k-byte strings. Spark then groups by hash, for each anchor, the string that all windows of a range share (its core) and the one
+that they cover together (its hull), for ranges of ever fewer distances, so at ever longer common strings. This stands in
+for prefix doubling: no offsets double, and no pairs of ranks are sorted.
 
 * a core that stands nowhere else is unique: its windows are too, and it drops out;
 * a hull that stands elsewhere is past the threshold: all its windows are repeated, and it is settled. One member of
   its group stays, as a witness for others;
-* the other ranges are split, and ranked again as pairs of the old rank and the longer string.
+* the other ranges are split into the cells of the next round, whose cores and hulls are hashed anew.
 
 The last ranges are single windows, so the result is exact, up to collisions of 128-bit hashes. Only ranks, positions
 and the texts of documents that still have open ranges move.
