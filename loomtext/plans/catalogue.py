@@ -478,15 +478,26 @@ def similarity_verdict(spark, sf_dir):
     return pairs.select("a", "b", said.alias("s")).select("a", "b", "s.similar", "s.auto")
 
 
+def _resolution_tables(spark, sf_dir):
+    """Candidates, decisions and judgements from part names by fixed arithmetic; a manuscript is 25 part keys in a row."""
+    parts = A.table(spark, sf_dir, "part").withColumn("words", F.split(F.initcap("p_name"), " "))
+    name = F.when(F.col("p_partkey") % 7 == 0, F.element_at("words", 1)).otherwise(F.array_join("words", " "))
+    first = parts.groupBy(F.floor(F.col("p_partkey") / 25).cast("string").alias("manuscript_id"), name.alias("canonical_name")).agg(F.min("p_partkey").alias("scene_order"))
+    alias = F.array(F.element_at(F.split("canonical_name", " "), 1))
+    candidates = first.select(
+        "manuscript_id", "scene_order", F.lit(0).cast("long").alias("pos"), "canonical_name", F.when(F.col("scene_order") % 3 == 0, alias).otherwise(F.array().cast("array<string>")).alias("aliases"), F.lit("minor").alias("role"), F.lit("person").alias("entity_kind")
+    )
+    side = lambda c: first.select("manuscript_id", F.col("canonical_name").alias(f"name_{c}"), F.col("scene_order").alias(c))
+    pairs = side("a").join(side("b"), "manuscript_id").where((F.col("name_a") < F.col("name_b")) & F.arrays_overlap(F.split("name_a", " "), F.split("name_b", " "))).withColumn("key", F.col("a") * 31 + F.col("b") * 17)
+    judgements = pairs.select("manuscript_id", "name_a", "name_b", (F.col("key") % 3 != 0).alias("same_entity"), ((40 + F.col("key") % 61) / 100).alias("confidence"), F.concat(F.lit("r"), F.col("key").cast("string")).alias("rationale"))
+    decisions = pairs.where("key % 11 < 2").select("manuscript_id", "name_a", "name_b", F.when(F.col("key") % 11 == 0, "accepted").otherwise("rejected").alias("status"))
+    return candidates, decisions, judgements
+
+
 @query("q34_resolution_fold")
 def resolution_fold(spark, sf_dir):
-    """Part names as candidates of the brands, whose own sets bound the fold; judgements come from a stored table."""
-    parts = A.table(spark, sf_dir, "part")
-    name = F.initcap("p_name")
-    candidates = parts.groupBy(F.col("p_brand").alias("manuscript_id"), name.alias("canonical_name")).agg(F.min("p_partkey").alias("scene_order")).select(
-        "manuscript_id", "scene_order", F.lit(0).cast("long").alias("pos"), "canonical_name", F.array(F.element_at(F.split("canonical_name", " "), 1)).alias("aliases"), F.lit("minor").alias("role"), F.lit("person").alias("entity_kind")
-    )
-    return resolution.resolved(candidates)
+    """Part names as candidates of manuscripts of 25 part keys, which bound the fold, with stored decisions and judgements."""
+    return resolution.resolved(*_resolution_tables(spark, sf_dir))
 
 
 def _gold_and_predicted(spark, sf_dir):

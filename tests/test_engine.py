@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import random
 import subprocess
 import sys
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtext import errors
 from loomtext.operators import evidence, metrics, reads, resolution, segmentation, upsert
-from loomtext.plans import ingest, layers
+from loomtext.plans import catalogue, ingest, layers
 from loomtext.schemas import BLOCK, RELATIONS, valid_relation
 from loomtext.sources import manuscripts, markup, models, responses
 from loomtext.streaming.incremental import ingest_stream
@@ -283,3 +284,48 @@ def test_stream_gives_the_tables_of_the_batch(spark, tmp_path):
 def test_the_rest_imports_without_the_llm_folders():
     code = "import sys; sys.modules['loomtext.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; assert len(e.queries()) > 40 and not any(k.startswith('op') for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0], timeout=60).returncode == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_resolution_fold_is_the_plain_fold(spark):
+    """The query, with its decisions and judgements, against a fold over plain rows; names have no titles."""
+    sf = "/root/testdata/sf0.001"
+    works = {}
+    for r in spark.read.parquet(f"{sf}/part.parquet").collect():
+        words = r.p_name.title().split(" ")
+        name = words[0] if r.p_partkey % 7 == 0 else " ".join(words)
+        first = works.setdefault(str(r.p_partkey // 25), {})
+        first[name] = min(first.get(name, r.p_partkey), r.p_partkey)
+    expected = set()
+    for work, first in works.items():
+        forms, known = {}, []
+        for name, at in sorted(first.items(), key=lambda x: x[1]):
+            aliases = [name.split()[0]] if at % 3 == 0 else []
+            target = next((forms[n.lower()] for n in [name, *aliases] if n.lower() in forms), None)
+            outcome, confidence, why = ("merged" if target else "new"), None, None
+            for other in [] if target else known:
+                x, y = sorted((name, other))
+                key, xs, ys = first[x] * 31 + first[y] * 17, x.lower().split(), y.lower().split()
+                if not set(xs) & set(ys):
+                    continue
+                if key % 11 == 0:
+                    outcome, target = "merged", other
+                    break
+                inside = len(xs) != len(ys)
+                if key % 11 == 1 or key % 3 == 0 or not (inside or xs[-1] == ys[-1]) or key % 61 < 10:
+                    continue
+                auto = inside and key % 61 >= 50 and min(xs, ys, key=len)[0] != max(xs, ys, key=len)[-1]
+                outcome, target, confidence, why = "merged" if auto else "queued", other, (40 + key % 61) / 100, f"r{key}"
+                break
+            expected.add((work, at, name, target or name, outcome, confidence, why))
+            canonical = forms.get((target if outcome == "merged" else name).lower())
+            if canonical is None:
+                canonical = name
+                known.append(name)
+                forms[name.lower()] = name
+            for alias in aliases:
+                forms[alias.lower()] = canonical
+    got = {(r.manuscript_id, r.scene_order, r.canonical_name, r.resolved_name, r.outcome, r.confidence, r.rationale) for r in catalogue.QUERIES["q34_resolution_fold"](spark, sf).collect()}
+    clean = lambda rows: {tuple(None if x != x else x for x in r) for r in rows}
+    assert clean(got) == expected and {r[4] for r in expected} == {"new", "merged", "queued"}
+    assert any(r[4] == "merged" and r[5] for r in expected)
