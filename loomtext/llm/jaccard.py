@@ -1,22 +1,25 @@
 """Exact n-gram Jaccard join with signature trees.
 
-Documents with the same shingle set are one class. The trees' roots are shards: for a size range, the hash space is cut
-into so many parts that two sets within the threshold must agree on one non-empty part, and the content of a part is a
-root's key. A class that shares no root has no link, and its text stays where it is. Under a root, classes are first
-compared with its least member. What that leaves in different
-components is searched by dual traversal: nodes hold the OR of token bitmaps and the range of sizes (and of component
-labels), and a pair of nodes is dropped when the largest overlap its bitmaps and sizes allow misses the threshold, or
-when both lie in one component. Pairs of classes that remain are compared exactly.
+Documents with the same shingle set are one class. Classes that may be linked stand under a common root: in one order of
+all shingles, two sets within the threshold share one of their first n - ceil(threshold * n) + 1, and a root is such a
+shingle together with a range of sizes. The order is by frequency, rare ones first, so that a passage that many documents share
+is no root of theirs. A class that shares no root has no link.
+
+Under a root, classes are first compared with its least member. What that leaves in different components is searched:
+
+* a root of up to LEAF classes is one leaf: pairs that bitmaps and sizes can't rule out are compared exactly;
+* a larger root is a tree: leaves of bounded size, above them ranges of sizes. Nodes hold the OR of token
+  bitmaps and the ranges of sizes and labels. A dual traversal pairs ranges, then leaves, and drops pairs whose largest
+  possible overlap misses the threshold or that lie in one component. Two leaves that remain are compared exactly in one
+  task, which joins what it links and tells a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,38 +29,12 @@ from loomtext.llm.shared import of_rows, own_id, text_id, written
 from loomtext.llm.textnum import Words, as_long, mix, shingles, text_slices
 
 BITS = 2048
+WORDS = BITS // 64
 LEAF = 64
-
-
-class Sharding:
-    """How sets of each size are cut, for a threshold of percent / 100."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
-        edges = [1]
-        while edges[-1] < 1 << 40:  # a partner of a set is at most one range up
-            n = edges[-1]
-            edges.append(max(n * 100 // percent + 1, n + n // 4))
-        self.edges = edges
-
-    def differences(self, both: int) -> int:
-        """Most elements in which two linked sets of so many elements together can differ."""
-        return both * (100 - self.percent) // (100 + self.percent)
-
-    def shape(self, slot: int) -> tuple[int, int]:
-        """Parts of a slot and how many of a set's parts may be empty before empty parts need keys too."""
-        least, most = self.edges[slot], self.edges[slot + 1] - 1
-        d = self.differences(most + most * 100 // self.percent)
-        spare = 1
-        for _ in range(30):  # enough for the parts a set of the slot leaves empty by chance, and four deviations more
-            empty = (d + 1 + spare) * math.exp(-least / (d + 1 + spare))
-            spare = max(spare, math.ceil(1 + empty + 4 * math.sqrt(empty)))
-        return (d + 1 + spare, spare) if d else (0, 0)
-
-    def slots(self, n: int) -> list[int]:
-        t = bisect_right(self.edges, n) - 1
-        lower = t > 0 and -(-n * self.percent // 100) < self.edges[t]
-        return [t, t - 1] if lower else [t]
+LEAF_SHINGLES = 100_000  # of a leaf of a large root, all its classes together
+FREQUENT = 5  # log2 of the least count of a shingle that the order knows as frequent
+MOST_FREQUENT = 1 << 20  # shingles the order knows at most; the others count as rare
+RUN = 4_000_000  # shingles a task counts together
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,39 +56,130 @@ def set_keys(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(sums[first + n] - sums[first] + n.astype(np.uint64)), np.uint64(0))
 
 
-def shard_keys(h: np.ndarray, slot: int, parts: int, spare: int) -> np.ndarray:
-    """Keys of the parts of one set, sorted by hash."""
-    part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    run = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    at = part[run] + np.uint64(slot << 40)
-    keys = mix(np.add.reduceat(mix(h + np.uint64(77)), run) + mix(at))
-    if parts - len(run) > spare:
-        empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[run]) + np.uint64(slot << 40)
-        keys = np.append(keys, mix(mix(empty) ^ np.uint64(0x5DEECE66D)))
-    return keys
+def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met often in different sets, sorted, and the log2 of how often; at most MOST_FREQUENT, the commonest.
+
+    A task counts runs of RUN shingles and tells those it met twice or more; all tasks' counts are added up. What this
+    overlooks counts as rare: that costs time, no link, as any one order of shingles gives the same links.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
+
+        def met_again() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            again = count > 1
+            return pa.RecordBatch.from_arrays([pa.array(as_long(token[again])), pa.array(count[again].astype(np.int64))], ["shingle", "count"])
+
+        for batch in batches:
+            for _, _, texts in text_slices(batch.column("text")):
+                h, first, n = shingle_sets(texts, k)
+                keys = set_keys(h, first, n).tolist()
+                new = np.zeros(len(keys), bool)
+                for i, key in enumerate(keys):
+                    new[i] = key not in seen
+                    seen.add(key)
+                held.append(h[np.repeat(new, n)])
+                size += len(held[-1])
+                if size > RUN:
+                    yield met_again()
+                    held, size, seen = [], 0, set()
+        yield met_again()
+
+    counts = own_id(docs).mapInArrow(scan, "shingle long, count long").groupBy("shingle").agg(F.floor(F.log2(F.sum("count"))).cast("int").alias("power")).where(F.col("power") >= FREQUENT)
+    counts = written(counts, "jaccard-frequent")
+    least, total = 64, 0
+    for power, n in sorted(counts.groupBy("power").count().collect(), reverse=True):
+        total += n
+        if total > MOST_FREQUENT:
+            break
+        least = power
+    told = counts.where(F.col("power") >= least).toArrow()
+    token, power = told.column("shingle").to_numpy().view(np.uint64), told.column("power").to_numpy()
+    order = np.argsort(token)
+    return token[order], power[order]
+
+
+class Roots:
+    """The roots of a set, for a threshold of percent / 100."""
+
+    def __init__(self, percent: int, frequent: np.ndarray, power: np.ndarray) -> None:
+        self.percent, self.frequent, self.power = percent, frequent, power
+        edges = [1]
+        while edges[-1] < 1 << 40:  # a smaller partner of a set is at most one range down
+            n = edges[-1]
+            edges.append(max(n * 100 // percent + 1, n + n // 2))
+        self.edges = edges
+
+    def ranges(self, n: int) -> list[int]:
+        t = bisect_right(self.edges, n) - 1
+        lower = t > 0 and -(-n * self.percent // 100) < self.edges[t]
+        return [t, t - 1] if lower else [t]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Roots of one set, given sorted by hash."""
+        n = len(h)
+        first = h
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+            rank = np.where(self.frequent[at] == h, self.power[at], 0)
+            first = h[np.argsort(rank, kind="stable")]
+        first = first[: n - -(-n * self.percent // 100) + 1]
+        return np.concatenate([mix(first + mix(np.array([s + 1], np.uint64))) for s in self.ranges(n)])
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, tid of its text, n, key of its set, and the shard keys of a set's first document in a task; for the others null."""
+    """doc_id, tid of its text, n, key of its set, and the roots of a set's first document in a task; for the others null."""
+    frequent, power = frequent_shingles(docs, k)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how, seen = Sharding(percent), set()
-        shape = [how.shape(s) for s in range(len(how.edges) - 1)]
+        how, seen = Roots(percent, frequent, power), set()
         for batch in batches:
             for a, b, texts in text_slices(batch.column("text")):
                 h, first, n = shingle_sets(texts, k)
                 keys = as_long(set_keys(h, first, n))
-                shards = []
+                roots = []
                 for i, key in enumerate(keys.tolist()):
                     if not n[i] or key in seen:
-                        shards.append(None)
+                        roots.append(None)
                         continue
                     seen.add(key)
+                    roots.append(as_long(how.of(h[first[i] : first[i] + n[i]])))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tid").slice(a, b - a), pa.array(n), pa.array(keys), pa.array(roots, pa.list_(pa.int64()))], ["doc_id", "tid", "n", "key", "roots"])
+
+    return own_id(docs).withColumn("tid", text_id()).mapInArrow(scan, "doc_id long, tid long, n long, key long, roots array<long>")
+
+
+def class_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """key, n, bitmap and sorted hashes for rows (doc_id, tid, key)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column("text")):
+                h, first, n = shingle_sets(texts, k)
+                keys = as_long(set_keys(h, first, n))
+                asked = batch.column("key").slice(a, b - a).to_numpy()
+                bits, hashes, kept = [], [], []
+                for i in np.flatnonzero(keys == asked).tolist():
+                    if int(keys[i]) in seen:
+                        continue
+                    seen.add(int(keys[i]))
                     own = h[first[i] : first[i] + n[i]]
-                    shards.append(as_long(np.concatenate([shard_keys(own, s, *shape[s]) for s in how.slots(int(n[i])) if shape[s][0]] or [own[:0]])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tid").slice(a, b - a), pa.array(n), pa.array(keys), pa.array(shards, pa.list_(pa.int64()))], ["doc_id", "tid", "n", "key", "shards"])
+                    flags = np.zeros(BITS, np.uint8)
+                    flags[(own % np.uint64(BITS)).astype(np.int64)] = 1
+                    bits.append(np.packbits(flags).view(np.int64))
+                    hashes.append(own.tobytes())
+                    kept.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(n[kept]), pa.array(bits, pa.list_(pa.int64())), pa.array(hashes, pa.binary())], ["key", "n", "bits", "hashes"])
 
-    return own_id(docs).withColumn("tid", text_id()).mapInArrow(scan, "doc_id long, tid long, n long, key long, shards array<long>")
+    once = of_rows(own_id(docs), reps.select("doc_id", "tid", "key"), "inner").select("key", "text")
+    return once.mapInArrow(mark, "key long, n long, bits array<long>, hashes binary")
+
+
+def _bit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
 
 
 def _most_overlap(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,194 +191,163 @@ def _reach(overlap: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) ->
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-def _bit_rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
-
-
-def pruned(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+def pruned(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that bitmaps and sizes can't rule out."""
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            if len(x):
-                na, nb = x["na"].to_numpy(), x["nb"].to_numpy()
-                x = x[_reach(_most_overlap(na, nb, _bit_rows(x["bits_a"]), _bit_rows(x["bits_b"])), na, nb, percent)]
-            yield x[["a", "b"]]
+            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
+            keep = _reach(_most_overlap(na, nb, _bit_rows(x.column("bits_a")), _bit_rows(x.column("bits_b"))), na, nb, percent)
+            yield x.select(["a", "b"]).filter(pa.array(keep))
 
-    a = kinds.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    b = kinds.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").where(sized).mapInPandas(check, "a long, b long")
+    a = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    b = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").where(sized).mapInArrow(check, "a long, b long")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose shingle sets reach the threshold, by comparing the sets."""
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold, by comparing the sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, left in text_slices(batch.column("ta"), 1_000_000):
-                right = [t or b"" for t in batch.column("tb").slice(x, y - x).cast(pa.large_binary()).to_pylist()]
-                h, first, n = shingle_sets(left + right, k)
-                m, keep = len(left), []
-                for i in range(m):
-                    both = np.concatenate([h[first[i] : first[i] + n[i]], h[first[m + i] : first[m + i] + n[m + i]]])
-                    both.sort()
-                    overlap = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * overlap >= percent * (int(n[i] + n[m + i]) - overlap))
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(x, y - x).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
-
-    a = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
-
-
-def class_texts(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """key, text, n and bitmap for rows (doc_id, tid, key)."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, texts in text_slices(batch.column("text")):
-                h, first, n = shingle_sets(texts, k)
-                low = (h % np.uint64(BITS)).astype(np.int64)
-                part = batch.slice(a, b - a).select(["key", "text"])
-                same = as_long(set_keys(h, first, n)) == part.column("key").to_numpy()
-                bits = []
-                for i in np.flatnonzero(same).tolist():
-                    flags = np.zeros(BITS, np.uint8)
-                    flags[low[first[i] : first[i] + n[i]]] = 1
-                    bits.append(np.packbits(flags).tobytes())
-                kept = part.filter(pa.array(same))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n[same]), pa.array(bits, pa.binary())], ["key", "text", "n", "bits"])
-
-    once = of_rows(own_id(docs), reps.select("doc_id", "tid", "key"), "inner").dropDuplicates(["key"])
-    return once.select("key", "text").mapInArrow(mark, "key long, text string, n long, bits binary")
-
-
-def _may_reach(slack: int, bits: np.ndarray, lo: int, slack2: int, bits2: np.ndarray, lo2: int, percent: int) -> bool:
-    """Whether members of two nodes can be linked: common elements have their bits in both ORs, and a member has at
-    most slack elements more than bits."""
-    most = min(slack, slack2) + int(np.bitwise_count(bits & bits2).sum())
-    return 100 * most >= percent * max(lo, lo2)
-
-
-def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    keep = _reach(_most_overlap(na, nb, bits_a, bits_b), na, nb, percent)
-    return list(zip(np.minimum(a, b)[keep].tolist(), np.maximum(a, b)[keep].tolist(), strict=True))
-
-
-def traversed(members: pd.DataFrame, others: pd.DataFrame | None, percent: int) -> list[tuple[int, int]]:
-    """Dual traversal of two trees (or one with itself), halving nodes in order of size down to LEAF members; the pairs
-    (a < b) in different components that bitmaps and sizes can't rule out."""
-
-    def tree(x: pd.DataFrame) -> tuple:
-        x = x.sort_values(["n", "key"])
-        bits = _bit_rows(x["bits"])
-        return x["key"].to_numpy(), x["n"].to_numpy(), x["label"].to_numpy(), bits, x["n"].to_numpy() - np.bitwise_count(bits).sum(-1), {}
-
-    def node(t: tuple, i: int, j: int) -> tuple:
-        if (i, j) not in t[5]:
-            t[5][i, j] = (int(t[1][i]), int(t[1][j - 1]), t[2][i:j].min(), t[2][i:j].max(), np.bitwise_or.reduce(t[3][i:j], axis=0), int(t[4][i:j].max()))
-        return t[5][i, j]
-
-    s = tree(members)
-    t = s if others is None else tree(others)
-    out, todo = [], [(0, len(s[0]), 0, len(t[0]))]
-    while todo:
-        i, j, x, y = todo.pop()
-        lo, hi, l1, l2, bits, slack = node(s, i, j)
-        lo2, hi2, m1, m2, bits2, slack2 = node(t, x, y)
-        if l1 == l2 == m1 == m2 or 100 * hi < percent * lo2 or 100 * hi2 < percent * lo or not _may_reach(slack, bits, lo, slack2, bits2, lo2, percent):
-            continue
-        if j - i <= LEAF and y - x <= LEAF:
-            u, v = np.meshgrid(np.arange(i, j), np.arange(x, y), indexing="ij")
-            u, v = u.ravel(), v.ravel()
-            apart = (s[2][u] != t[2][v]) & (s[0][u] != t[0][v])
-            out += _near(s[0][u[apart]], t[0][v[apart]], s[1][u[apart]], t[1][v[apart]], s[3][u[apart]], t[3][v[apart]], percent)
-            continue
-        left = [(i, (i + j) // 2), ((i + j) // 2, j)] if j - i > LEAF else [(i, j)]
-        right = [(x, (x + y) // 2), ((x + y) // 2, y)] if y - x > LEAF else [(x, y)]
-        todo += [(*p, *q) for p in left for q in right if s is not t or p[0] <= q[0]]
-    return out
-
+            keep = []
+            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                overlap = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * overlap >= percent * (len(both) - overlap))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _across(percent: int) -> Callable:
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(traversed(left, right, percent) if len(left) and len(right) else [], columns=["a", "b"], dtype="int64")
+    a = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
+    b = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
+    return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
 
-    return both
 
-
-def _within(percent: int) -> Callable:
-    """Pairs inside the leaves of rows sorted by leaf: neighbours at growing distances, for all leaves of a batch at once."""
+def small_root_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different labels under roots of up to LEAF classes (root, key, n, label, bits) that may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbours at growing distances, for all roots of a batch at once."""
+
         def pairs(x: pa.Table) -> pa.RecordBatch:
-            shard, leaf, key, n, label = (x.column(c).to_numpy() for c in ("shard", "leaf", "key", "n", "label"))
-            bits, out = _bit_rows(x.column("bits").to_pylist()), []
+            root, key, n, label = (x.column(c).to_numpy() for c in ("root", "key", "n", "label"))
+            bits, found = _bit_rows(x.column("bits")), [np.zeros((2, 0), np.int64)]
             for d in range(1, len(key)):
-                i = np.flatnonzero((shard[:-d] == shard[d:]) & (leaf[:-d] == leaf[d:]))
+                i = np.flatnonzero(root[:-d] == root[d:])
                 if not len(i):
                     break
                 i = i[(label[i] != label[i + d]) & (100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d]))]
-                out += _near(key[i], key[i + d], n[i], n[i + d], bits[i], bits[i + d], percent)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                i = i[_reach(_most_overlap(n[i], n[i + d], bits[i], bits[i + d]), n[i], n[i + d], percent)]
+                found.append(np.stack([np.minimum(key[i], key[i + d]), np.maximum(key[i], key[i + d])]))
+            a, b = np.concatenate(found, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         held: pa.Table | None = None
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            shard, leaf = held.column("shard").to_numpy(), held.column("leaf").to_numpy()
-            whole = int(np.flatnonzero((shard != shard[-1]) | (leaf != leaf[-1]))[-1]) + 1 if len(shard) and ((shard != shard[-1]) | (leaf != leaf[-1])).any() else 0
-            if whole:
-                yield pairs(held.slice(0, whole))
-                held = held.slice(whole)
+            root = held.column("root").to_numpy()
+            other = np.flatnonzero(root != root[-1]) if len(root) else np.zeros(0, np.int64)
+            if len(other):
+                yield pairs(held.slice(0, int(other[-1]) + 1))
+                held = held.slice(int(other[-1]) + 1)
         if held is not None and held.num_rows:
             yield pairs(held)
 
-    return run
+    return members.repartition("root").sortWithinPartitions("root").mapInArrow(run, "a long, b long").distinct()
+
+
+def _nodes(rows: DataFrame, *by: str) -> DataFrame:
+    """OR of bitmaps, ranges of sizes and labels, and the most elements that a member has beyond its bits."""
+    ors = F.array(*[F.bit_or(F.col("bits")[i]) for i in range(WORDS)]).alias("bits")
+    return rows.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("l1").alias("l1"), F.max("l2").alias("l2"), F.max("slack").alias("slack"), ors)
+
+
+def _meet(percent: int) -> Column:
+    """Whether members of the nodes p and q can be linked and are not yet: common elements have their bits in both ORs."""
+    p, q = (lambda c, s=s: F.col(f"{s}.{c}") for s in ("p", "q"))
+    most = F.least(p("slack"), q("slack")) + F.aggregate(F.zip_with(p("bits"), q("bits"), lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0).cast("long"), lambda s, x: s + x)
+    sized = (100 * p("hi") >= percent * q("lo")) & (100 * q("hi") >= percent * p("lo"))
+    apart = ~((p("l1") == p("l2")) & (p("l1") == q("l1")) & (q("l1") == q("l2")))
+    return sized & apart & (100 * most >= percent * F.greatest(p("lo"), q("lo")))
+
+
+def spanning_links(key: np.ndarray, label: np.ndarray, sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int, int]]:
+    """Links between members before and from split on (all with each other, if split is 0) that join what labels keep
+    apart: enough to connect all that is linked, one for each joining."""
+    n = np.array([len(s) for s in sets], np.int64)
+    left, right = (np.arange(split), np.arange(split, len(n))) if split else (np.arange(len(n)),) * 2
+    token, back = np.unique(np.concatenate(sets), return_inverse=True)
+    who = np.repeat(np.arange(len(n)), n)
+    often = np.bincount(back) > 1
+    column = np.cumsum(often) - 1
+    who, back = who[often[back]], column[back[often[back]]]
+    order = np.argsort(back, kind="stable")
+    who, back = who[order], back[order]
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    step = 4096
+    for c in range(0, int(often.sum()), step):
+        i, j = np.searchsorted(back, (c, c + step))
+        flags = np.zeros((len(n), step), np.float32)
+        flags[who[i:j], back[i:j] - c] = 1
+        overlap += flags[left] @ flags[right].T
+    overlap = np.rint(overlap).astype(np.int64)
+    link = _reach(overlap, n[left][:, None], n[right][None, :], percent)
+    _, part = np.unique(label, return_inverse=True)
+    out = []
+    for i in range(len(left)):
+        at = right[link[i]]
+        others, first = np.unique(part[at], return_index=True)
+        for p, f in zip(others.tolist(), first.tolist(), strict=True):
+            if p != part[left[i]]:
+                out.append((int(key[left[i]]), int(key[at[f]])))
+                part[part == p] = part[left[i]]
+    return out
 
 
-NODE = "shard long, leaf long, lo long, hi long, l1 long, l2 long, slack long, bits binary"
+def leaf_links(x: pa.Table, y: pa.Table | None, percent: int) -> pa.Table:
+    """Spanning links inside a leaf or between two."""
+    found = []
+    if x.num_rows and (y is None or y.num_rows):
+        both = x if y is None else pa.concat_tables([x, y])
+        sets = [np.frombuffer(h, np.uint64) for h in both.column("hashes").to_pylist()]
+        found = spanning_links(both.column("key").to_numpy(), both.column("label").to_numpy(), sets, 0 if y is None else x.num_rows, percent)
+    return pa.table([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _node(frame: pd.DataFrame) -> pd.DataFrame:
-    rows = _bit_rows(frame["bits"])
-    slack = int((frame["n"].to_numpy() - np.bitwise_count(rows).sum(-1)).max())
-    values = (frame["shard"].iloc[0], frame["leaf"].iloc[0], frame["n"].min(), frame["n"].max(), frame["label"].min(), frame["label"].max(), slack, np.bitwise_or.reduce(rows, axis=0).tobytes())
-    return pd.DataFrame([values], columns=["shard", "leaf", "lo", "hi", "l1", "l2", "slack", "bits"])
+class Trees:
+    """The trees of large roots, from rows (root, key, size, shingles)."""
 
+    def __init__(self, members: DataFrame, sets: DataFrame, percent: int) -> None:
+        self.percent, self.sets = percent, sets
+        leaves = F.greatest(F.ceil(F.col("shingles") / LEAF_SHINGLES), F.ceil(F.col("size") / (8 * LEAF)))
+        sized = members.join(sets.select("key", "n", "bits"), "key")
+        self.members = written(sized.select("root", "key", "n", "bits", F.floor(F.log(F.col("n").cast("double")) * 20).cast("int").alias("range"), F.pmod(F.xxhash64("key"), leaves).alias("leaf")), "tree-members")
 
-def tree_pairs(members: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that stand under one root, from rows (shard, key, label) and the sizes
-    and bitmaps in kinds.
+    def pairs(self, labels: DataFrame) -> DataFrame:
+        """root, (range, leaf) x and y of the leaves that a dual traversal leaves to compare."""
+        held = self.members.join(labels, "key", "left").select("root", "range", "leaf", F.col("n").alias("lo"), F.col("n").alias("hi"), *[F.coalesce("label", "key").alias(c) for c in ("l1", "l2")], (F.col("n") - F.aggregate("bits", F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))).alias("slack"), "bits")
+        leaves = written(_nodes(held, "root", "range", "leaf"), "tree-leaves")
+        ranges = written(_nodes(leaves, "root", "range"), "tree-ranges")
+        meet = F.col("p.root") == F.col("q.root")
+        above = ranges.alias("p").join(ranges.alias("q"), meet & (F.col("p.range") <= F.col("q.range"))).where(_meet(self.percent)).select("p.root", F.col("p.range").alias("x"), F.col("q.range").alias("y"))
+        p = above.withColumnRenamed("x", "range").join(leaves, ["root", "range"]).alias("p")
+        found = p.join(leaves.alias("q"), meet & (F.col("p.y") == F.col("q.range"))).where((F.col("p.range") < F.col("q.range")) | (F.col("p.leaf") <= F.col("q.leaf"))).where(_meet(self.percent))
+        return found.select("p.root", F.struct(F.col("p.range"), F.col("p.leaf")).alias("x"), F.struct(F.col("q.range"), F.col("q.leaf")).alias("y"))
 
-    Of roots with the same members one is searched. A root with many members has leaves of LEAF members or so, by hash; its leaves are paired unless their nodes rule
-    it out, and each pair of leaves is a task of its own size, however large the root is.
-    """
+    def links(self, labels: DataFrame, alone: bool) -> DataFrame:
+        """Spanning links inside leaves (alone) or between two."""
+        met = written(self.pairs(labels).where((F.col("x") == F.col("y")) == F.lit(alone)), "tree-pairs")
+        whole = self.members.select("root", F.struct("range", "leaf").alias("node"), "key").join(self.sets.select("key", "hashes"), "key").join(labels, "key", "left").select("root", "node", "key", F.coalesce("label", "key").alias("label"), "hashes")
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            keep = [_may_reach(s1, np.frombuffer(b1, np.uint64), lo1, s2, np.frombuffer(b2, np.uint64), lo2, percent) for s1, b1, lo1, s2, b2, lo2 in zip(x["slack_p"], x["bits_p"], x["lo_p"], x["slack_q"], x["bits_q"], x["lo_q"], strict=True)]
-            yield x.loc[keep, ["shard", "x", "y"]]
-
-    spread = members.groupBy("shard").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("xor"))
-    one_each = spread.where("l1 <> l2").groupBy("size", "sum", "xor").agg(F.min("shard").alias("shard"))
-    searched = members.join(one_each.select("shard", F.ceil(F.col("size") / LEAF).alias("leaves")), "shard").join(kinds, "key")
-    held = written(searched.withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("leaves"))), "tree-members")
-    within = held.repartition("shard", "leaf").sortWithinPartitions("shard", "leaf").mapInArrow(_within(percent), "a long, b long")
-    wide = held.where("leaves > 1")
-    nodes = written(wide.groupBy("shard", "leaf").applyInPandas(_node, NODE), "tree-nodes")
-    p = nodes.select("shard", F.col("leaf").alias("x"), *[F.col(c).alias(f"{c}_p") for c in ("lo", "hi", "l1", "l2", "slack", "bits")])
-    q = nodes.select("shard", F.col("leaf").alias("y"), *[F.col(c).alias(f"{c}_q") for c in ("lo", "hi", "l1", "l2", "slack", "bits")])
-    sizes = (100 * F.col("hi_p") >= percent * F.col("lo_q")) & (100 * F.col("hi_q") >= percent * F.col("lo_p"))
-    one = (F.col("l1_p") == F.col("l2_p")) & (F.col("l1_p") == F.col("l1_q")) & (F.col("l1_q") == F.col("l2_q"))
-    meet = written(p.join(q, "shard").where((F.col("x") < F.col("y")) & sizes & ~one).mapInPandas(check, "shard long, x long, y long"), "tree-meet")
-
-    def side(leaf: str):
-        found = meet.join(wide.withColumnRenamed("leaf", leaf), ["shard", leaf])
-        return found.select(*[F.col(c).alias(c) for c in ("shard", "x", "y", "key", "n", "label", "bits")]).groupBy("shard", "x", "y")
-
-    across = side("x").cogroup(side("y")).applyInPandas(_across(percent), "a long, b long")
-    return within.unionAll(across).distinct()
+        def side(c: str):
+            return met.join(whole.withColumnRenamed("node", c), ["root", c]).select(*[F.col(x).alias(x) for x in ("root", "x", "y", "key", "label", "hashes")]).groupBy("root", "x", "y")
+
+        percent, schema = self.percent, "a long, b long"
+        if alone:
+            return side("x").applyInArrow(lambda x: leaf_links(x, None, percent), schema)
+        return side("x").cogroup(side("y")).applyInArrow(lambda x, y: leaf_links(x, y, percent), schema)
 
 
 def _least() -> tuple[Column, Column]:
@@ -322,23 +359,28 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     """doc_id, tid, n and key of every document; key, label of its component, doc_id and tid of every class."""
     own = written(classes(docs, k, percent), "jaccard-docs")
     every = written(own.where("n > 0").groupBy("key").agg(*_least()), "jaccard-classes")
-    shards = own.where("shards is not null").select(F.explode("shards").alias("shard"), "key")
-    roots = written(shards.groupBy("shard").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("shard", "least"), "jaccard-roots")
-    under = written(shards.join(roots.hint("merge"), "shard").where("key <> least").select("shard", "key", "least").distinct(), "jaccard-under")
-    company = written(under.select("key").unionAll(roots.select(F.col("least").alias("key"))).distinct(), "jaccard-company")
-    texts = written(class_texts(docs, every.join(company, "key", "left_semi"), k), "jaccard-texts")
-    kinds = texts.select("key", "n", "bits")
-    stars = written(pruned(under.select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), kinds, percent), "jaccard-stars")
-
-    links = written(linked(stars.groupBy("a").agg(F.min("b").alias("b")), texts, k, percent), "jaccard-links")
+    stands = own.where("roots is not null").select(F.explode("roots").alias("root"), "key")
+    roots = stands.groupBy("root").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("root", "least")
+    under = written(stands.join(written(roots, "jaccard-roots").hint("merge"), "root").distinct(), "jaccard-under")
+    company = under.select("key").distinct()
+    sets = written(class_sets(docs, every.join(company, "key", "left_semi"), k), "jaccard-sets")
+    stars = under.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    stars = written(pruned(stars, sets, percent), "jaccard-stars")
+    links = written(linked(stars, sets, percent), "jaccard-links")
     labels = components(links)
-    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    apart = stars.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-    links = links.unionAll(written(linked(apart, texts, k, percent), "jaccard-links"))
+
+    named = under.join(labels.withColumnRenamed("node", "key"), "key", "left").select("root", "key", F.coalesce("label", "key").alias("label")).join(sets.select("key", "n"), "key")
+    spread = named.groupBy("root").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("xor"))
+    searched = written(spread.where("l1 <> l2").groupBy("size", "sum", "xor").agg(F.min("root").alias("root"), F.min("shingles").alias("shingles")), "jaccard-searched")  # of roots with the same members one
+    small = named.join(searched.where(F.col("size") <= LEAF).select("root"), "root").join(sets.select("key", "bits"), "key")
+    links = links.unionAll(written(linked(written(small_root_pairs(small, percent), "jaccard-pairs"), sets, percent), "jaccard-links"))
     labels = components(links)
-    members = under.join(labels.withColumnRenamed("node", "key"), "key", "left").select("shard", "key", F.coalesce("label", "key").alias("label"))
-    more = written(linked(tree_pairs(members, kinds, percent), texts, k, percent), "jaccard-links")
-    labels = labels if more.isEmpty() else components(links.unionAll(more))
+    large = searched.where(F.col("size") > LEAF)
+    if not large.isEmpty():
+        trees = Trees(under.join(large.select("root", "size", "shingles"), "root").select("root", "key", "size", "shingles"), sets, percent)
+        for alone in (True, False):
+            links = links.unionAll(written(trees.links(labels.withColumnRenamed("node", "key"), alone), "jaccard-links"))
+            labels = components(links)
 
     return own, every.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", "tid", F.coalesce("label", "key").alias("label"))
 

@@ -7,7 +7,6 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from loomtext.llm import jaccard, suffixes, toxicity, urls
@@ -129,34 +128,58 @@ def test_repeated_strings_without_ids(spark):
     assert got == sorted(plain_removal(texts).values()) and all(0 < x[1] < x[0] for x in got)
 
 
-def test_shards_never_miss():
-    """Two sets at the threshold agree on a key whatever elements differ."""
+def test_roots_never_miss():
+    """Two sets at the threshold share a root whatever elements differ and whichever the order calls frequent."""
     rng = np.random.default_rng(7)
     for percent in (80, 90):
-        how = jaccard.Sharding(percent)
         for n in (9, 10, 15, 31, 64, 200, 1000):
-            for _ in range(30):
-                most = how.differences(2 * n)
+            for trial in range(30):
                 a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-                cut = most // 2
-                b = np.unique(np.concatenate([a[rng.permutation(n)[cut:]], rng.integers(0, 1 << 63, cut, dtype=np.uint64) * np.uint64(2)]))
-                keys = [{int(x) for s in how.slots(len(v)) if how.shape(s)[0] for x in jaccard.shard_keys(v, s, *how.shape(s))} for v in (a, b)]
-                assert cut == 0 or keys[0] & keys[1], (percent, n)
+                lost = (2 * n * (100 - percent) // (100 + percent)) // 2
+                b = np.unique(np.concatenate([a[rng.permutation(n)[lost:]], rng.integers(0, 1 << 63, lost if trial % 2 else 0, dtype=np.uint64) * np.uint64(2)]))
+                known = np.unique(np.concatenate([a[rng.random(len(a)) < 0.5], b[rng.random(len(b)) < 0.3]])) if trial % 3 else a[:0]
+                how = jaccard.Roots(percent, known, rng.integers(5, 9, len(known)))
+                both = len(np.intersect1d(a, b))
+                assert 100 * both < percent * (len(a) + len(b) - both) or set(how.of(a).tolist()) & set(how.of(b).tolist()), (percent, n)
 
 
-def test_traversal_keeps_every_pair_that_may_reach():
+def test_spanning_links_connect_what_is_linked():
     rng = np.random.default_rng(3)
-    rows = []
     base = rng.integers(0, 1 << 62, 80, dtype=np.uint64)
-    for i in range(60):
-        v = np.unique(np.concatenate([base[rng.permutation(80)[: 76 + i % 4]], rng.integers(0, 1 << 62, i % 30, dtype=np.uint64)]))
-        flags = np.zeros(jaccard.BITS, np.uint8)
-        flags[(v % np.uint64(jaccard.BITS)).astype(int)] = 1
-        rows.append((i, len(v), i % 7, np.packbits(flags).tobytes(), set(v.tolist())))
-    frame = pd.DataFrame([r[:4] for r in rows], columns=["key", "n", "label", "bits"])
-    need = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[2] != y[2] and 100 * len(x[4] & y[4]) >= 90 * len(x[4] | y[4])}
-    assert need <= set(jaccard.traversed(frame, None, 90))
-    assert need <= set(jaccard.traversed(frame[:30], None, 90)) | set(jaccard.traversed(frame[30:], None, 90)) | set(jaccard.traversed(frame[:30], frame[30:], 90))
+    sets = [np.unique(np.concatenate([base[rng.permutation(80)[: 76 + i % 4]], rng.integers(0, 1 << 62, i % 30, dtype=np.uint64)])) for i in range(60)]
+    key, label = np.arange(60) * 7 - 100, np.arange(60) % 11
+    for split in (0, 25):
+        sides = [(i, j) for i in range(60) for j in range(60) if (i < j and not split) or (i < split <= j)]
+        need = [(i, j) for i, j in sides if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
+        told = jaccard.spanning_links(key, label, sets, split, 90)
+        assert {tuple(sorted(x)) for x in told} <= {(int(key[i]), int(key[j])) for i, j in need}
+
+        def parts(links):
+            part = label.copy()
+            for i, j in links:
+                part[part == part[j]] = part[i]
+            return {frozenset(np.flatnonzero(part == p).tolist()) for p in part}
+
+        back = {int(k): i for i, k in enumerate(key)}
+        assert parts(need) == parts([(back[a], back[b]) for a, b in told]) and len(told) < 11
+
+
+def test_trees_of_large_roots(spark, monkeypatch):
+    """Near copies of which few are linked with one another: leaves of a few sets, all paired through the trees."""
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    monkeypatch.setattr(jaccard, "LEAF_SHINGLES", 1500)
+    rng = random.Random(77)
+    w = prose(rng, 150).split()
+    texts = []
+    for i in range(90):
+        x = list(w)
+        for at in rng.sample(range(0, 150, 15), rng.randint(1, 4)):
+            x[at] = f"e{rng.randrange(3)}"
+        texts.append(" ".join(x[: 150 - i % 5]))
+    frame = spark.createDataFrame(rows_of(texts), SCHEMA)
+    want = plain_components(texts, 3, 90)
+    assert joined(frame, 3, 90) == want and 3 < len({c for _, c in want.values()}) < 80
+    assert joined(frame.unionAll(frame), 3, 90) == want
 
 
 def test_components(spark):
