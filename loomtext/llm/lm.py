@@ -4,8 +4,9 @@ Documents are dealt into blocks of a few megabytes. A block's distinct n-grams,
 hash: all entries of an n-gram meet in one hash partition, which adds them up and answers each block with what the
 other blocks have of its n-grams, in the order they came (mostly zeros, which shuffle as next to nothing). Back at its
 block, the answers stand beside the documents' own n-grams and scores are summed per document. Both uses of the blocks
-read one shuffle of the texts. Arrays keep a row per block and hash partition rather than one per n-gram occurrence, and a
-frequent n-gram costs one entry a block, so no key is hot.
+read one shuffle of the texts. Arrays keep a row per block and hash partition rather than one per n-gram occurrence; sorted
+hashes are sent as differences in as few bytes as the largest needs. However often an n-gram occurs, it costs one entry a
+block, of 12 bytes in memory: the most frequent one, in every block of 100 TB, 300 MB in its hash partition.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.shared import own_id
-from loomtext.llm.textnum import Words, as_long, mix
+from loomtext.llm.textnum import Words, mix
 
-BLOCK_BYTES = 8_000_000
-BUCKET_BYTES = 8_000_000  # of text, whose n-grams one hash partition adds up
+BLOCK_BYTES = 4_000_000
+BUCKET_BYTES = 4_000_000  # of text, whose n-grams one hash partition adds up
 
 
 def _ngrams(texts: list[bytes], order: int) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
@@ -41,6 +42,23 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def packed(key: np.ndarray) -> bytes:
+    """Sorted values as differences of equal width; the first byte tells the width."""
+    steps = np.diff(key, prepend=np.uint64(0))
+    width = max(1, -(-int(steps[1:].max(initial=0)).bit_length() // 8))
+    first = key[:1].astype("<u8").tobytes()
+    return bytes([width]) + first + steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(rest) + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = rest
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _texts(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table.column("text").cast(pa.large_binary()).to_pylist()]
 
@@ -67,18 +85,17 @@ def scored(docs: DataFrame, order: int = 2, alpha: float = 0.4) -> DataFrame:
         cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(key) else np.zeros(0, np.int64)
         offsets = pa.array(np.append(cut, len(key)).astype(np.int32))
         block = table.column("block")[0].as_py()
-        return pa.table({"bucket": pa.array(of[cut].astype(np.int64)), "block": pa.array(np.full(len(cut), block, np.int64)), "hashes": pa.ListArray.from_arrays(offsets, pa.array(as_long(key))), "counts": pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))})
+        return pa.table({"bucket": pa.array(of[cut].astype(np.int64)), "block": pa.array(np.full(len(cut), block, np.int64)), "hashes": pa.array([packed(k) for k in np.split(key, cut[1:])] if len(key) else [], pa.binary()), "counts": pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))})
 
     def add_up(table: pa.Table) -> pa.Table:
-        flat = [table.column(c).combine_chunks() for c in ("hashes", "counts")]
-        h, c = (x.flatten().to_numpy(zero_copy_only=False) for x in flat)
-        key, back = np.unique(h, return_inverse=True)
+        counts = table.column("counts").combine_chunks()
+        c = counts.flatten().to_numpy(zero_copy_only=False)
+        key, back = np.unique(np.concatenate([unpacked(x.as_buffer().to_pybytes()) for x in table.column("hashes")]), return_inverse=True)
         others = np.bincount(back, c, len(key)).astype(np.int64)[back] - c
-        lengths = np.array([len(x) for x in flat[0]], np.int64)
-        offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
+        offsets = pa.array(np.append(0, np.cumsum(counts.value_lengths().to_numpy())).astype(np.int32))
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "others": pa.ListArray.from_arrays(offsets, pa.array(others))})
 
-    spread = blocks.groupBy("block").applyInArrow(entries, "bucket long, block long, hashes array<long>, counts array<int>")
+    spread = blocks.groupBy("block").applyInArrow(entries, "bucket long, block long, hashes binary, counts array<int>")
     answers = spread.groupBy("bucket").applyInArrow(add_up, "bucket long, block long, others array<long>")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -361,3 +361,11 @@ def test_added_tokens_are_recognised(spark):
         own, said = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece), [*ids(t), 2]
         assert sum(r.length for r in own) == len(said)
         assert [r.ids_crc32 for r in own] == [zlib.crc32(b"".join(x.to_bytes(4, "little") for x in said[r.start : r.start + r.length])) for r in own]
+
+
+def test_lm_hashes_travel_whole():
+    rng = np.random.default_rng(4)
+    for values in ([0], [7, 8, 9], [0, (1 << 64) - 1], rng.integers(0, 1 << 64, 5000, dtype=np.uint64)):
+        key = np.unique(np.array(values, np.uint64))
+        assert (lm.unpacked(lm.packed(key)) == key).all()
+    assert len(lm.packed(np.arange(100, dtype=np.uint64))) == 9 + 99
