@@ -68,13 +68,16 @@ def silent_bad_merges(gold_pairs: DataFrame, first_match: DataFrame, covered: Da
 def relation_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """By bucket (extracted, inferred, all): precision, recall, f1, type_accuracy, from rows (a, b, rel_type, provenance).
 
-    A predicted pair hits if it is gold in any bucket; type accuracy is over the matched pairs of the bucket's gold.
+    A predicted pair is precise if it is gold in any bucket; a gold pair is found by a prediction of the same bucket, and
+    type accuracy is over the pairs found, null without any. All three buckets have a row, also without pairs.
     """
+    names = F.array(*map(F.lit, ("extracted", "inferred", "all")))
     buckets = lambda d: d.withColumn("bucket", F.explode(F.array(F.col("provenance"), F.lit("all"))))
-    g, p = gold.select("a", "b", F.col("rel_type").alias("g_type")), predicted.select("a", "b", F.col("rel_type").alias("p_type"))
-    by_gold = buckets(gold).join(p, ["a", "b"], "left").groupBy("bucket").agg(F.count("*").alias("n_gold"), F.count("p_type").alias("found"), F.count_if(F.col("p_type") == F.col("rel_type")).alias("typed"))
+    g, p = gold.select("a", "b", F.col("rel_type").alias("g_type")), buckets(predicted).select("bucket", "a", "b", F.col("rel_type").alias("p_type"))
+    by_gold = buckets(gold).join(p, ["bucket", "a", "b"], "left").groupBy("bucket").agg(F.count("*").alias("n_gold"), F.count("p_type").alias("found"), F.count_if(F.col("p_type") == F.col("rel_type")).alias("typed"))
     by_pred = buckets(predicted).join(g, ["a", "b"], "left").groupBy("bucket").agg(F.count("*").alias("n_pred"), F.count("g_type").alias("hits"))
-    rows = by_gold.join(by_pred, "bucket", "full").fillna(0)
+    every = gold.sparkSession.range(1).select(F.explode(names).alias("bucket"))
+    rows = every.join(by_gold, "bucket", "left").join(by_pred, "bucket", "left").fillna(0)
     scored = rows.select("bucket", hit_rate(F.col("hits"), F.col("n_pred"), F.col("n_gold")).alias("precision"), hit_rate(F.col("found"), F.col("n_gold"), F.col("n_pred")).alias("recall"), F.when(F.col("found") > 0, F.col("typed") / F.nullif(F.col("found"), F.lit(0))).alias("type_accuracy"))
     return scored.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 

@@ -15,16 +15,19 @@ def structure(scenes: DataFrame) -> DataFrame:
     return chapters.groupBy("manuscript_id").agg(F.array_sort(F.collect_list(F.struct("order_narrative", "scenes"))).alias("chapters"))
 
 
-def character_list(characters: DataFrame, appearances: DataFrame, role: str | None = None, include_mentioned_only: bool = True, order_by: str = "appearance_count") -> DataFrame:
-    """Characters with their counts, the first scene in narrative order, and their place in the list."""
+def character_list(characters: DataFrame, appearances: DataFrame, role: str | None = None, include_mentioned_only: bool = True, order_by: str = "appearances") -> DataFrame:
+    """Characters with their counts, the first scene in narrative order, and their place in the list.
+
+    Lists are ordered by appearances (the most first; also if order_by is unknown), first_appearance or name.
+    """
     seen = appearances.groupBy("character_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "present").alias("present"), F.min("scene_id").alias("first_scene"))
     rows = characters.join(seen, "character_id", "left").withColumn("appearance_count", F.coalesce("n", F.lit(0)))
     if role:
         rows = rows.where(F.col("role") == role)
     if not include_mentioned_only:
         rows = rows.where(F.coalesce("present", F.lit(0)) > 0)
-    orders = {"appearance_count": [F.desc("appearance_count"), F.col("canonical_name")], "canonical_name": [F.col("canonical_name")], "first_appearance": [F.col("first_scene").asc_nulls_last()]}
-    return ranked(rows.select("character_id", "canonical_name", "appearance_count", "first_scene"), *orders.get(order_by, orders["first_appearance"]), F.col("character_id"))
+    orders = {"appearances": [F.desc("appearance_count"), F.col("canonical_name")], "first_appearance": [F.col("first_scene").asc_nulls_last()], "name": [F.col("canonical_name")]}
+    return ranked(rows.select("character_id", "canonical_name", "appearance_count", "first_scene"), *orders.get(order_by, orders["appearances"]), F.col("character_id"))
 
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:

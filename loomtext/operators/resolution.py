@@ -135,7 +135,7 @@ def fold(candidates: pd.DataFrame, decisions: dict[tuple[str, str], str], judge:
                     outcome, target, confidence, why = "queued", known, said["confidence"], said["rationale"]
                     break
         if outcome == "merged":
-            registry.add(target, aliases + ([name] if add_merged_name else []), c.role, c.entity_kind)
+            registry.add(target, aliases + ([name] if add_merged_name else []), "unknown", c.entity_kind)  # what is known keeps its role
         else:
             registry.add(name, aliases, c.role, c.entity_kind)
         rows.append((c.scene_order, c.pos, name, target if target else name, outcome, confidence, why))

@@ -13,8 +13,8 @@ from loomtext.functions.text import heading_kind, heading_title, normalized, par
 
 #: Declared roles of blocks that are not narrative, and their kind.
 ROLE_KINDS = {
-    "cover": "cover", "title-page": "frontmatter", "titlepage": "frontmatter", "copyright-page": "license", "copyright": "license", "toc": "toc", "loi": "toc", "lot": "toc",
-    "index": "backmatter", "bibliography": "backmatter", "glossary": "backmatter", "dedication": "frontmatter", "acknowledgements": "backmatter", "colophon": "backmatter", "notes": "backmatter",
+    "cover": "cover", "title-page": "cover", "titlepage": "cover", "copyright-page": "license", "copyright": "license", "toc": "toc", "loi": "toc", "lot": "toc",
+    "dedication": "frontmatter", "acknowledgements": "frontmatter", "notes": "backmatter", "colophon": "backmatter", "index": "backmatter", "bibliography": "backmatter", "glossary": "backmatter",
 }
 
 

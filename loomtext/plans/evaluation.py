@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.ids import canonical_pair
@@ -26,19 +26,17 @@ def people(characters: DataFrame) -> DataFrame:
 
 
 def overlaps(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(work, gold, pred) whose folded names meet; identifiers sort in list order."""
-    g = folded_names(gold).select("work", F.struct("order", "ident").alias("gold"), "name")
-    p = folded_names(predicted).select("work", F.struct("order", "ident").alias("pred"), "name")
-    return g.join(p, ["work", "name"]).select("work", "gold", "pred").distinct()
+    """(work, gold, pred) whose folded names meet: both as struct(place, ident), place in the work's list order."""
+    place = F.row_number().over(Window.partitionBy("work").orderBy("order", "ident"))
+    side = lambda d, c: d.select("work", F.struct(place.alias("place"), "ident").alias(c), "ident").join(folded_names(d).select("work", "ident", "name"), ["work", "ident"]).select("work", c, "name")
+    return side(gold, "gold").join(side(predicted, "pred"), ["work", "name"]).select("work", "gold", "pred").distinct()
 
 
 def _matched(edges: DataFrame, first: str, second: str) -> DataFrame:
-    """Greedy matches on ranks, turned back to identifiers."""
-    plain = edges.select("work", F.to_json(F.col("gold.order")).alias("go"), F.col("gold.ident").alias("gold"), F.to_json(F.col("pred.order")).alias("po"), F.col("pred.ident").alias("pred"))
-    keyed = plain.select("work", F.concat_ws("\t", "go", "gold").alias("gold"), F.concat_ws("\t", "po", "pred").alias("pred"))
-    found = metrics.greedy_matches(keyed, "work", first, second)
-    last = lambda c: F.element_at(F.split(c, "\t"), -1).alias(c)
-    return found.select("work", last("gold"), last("pred"))
+    """Greedy matches on places, turned back to identifiers."""
+    found = metrics.greedy_matches(edges.select("work", F.col("gold.place").alias("gold"), F.col("pred.place").alias("pred")), "work", first, second)
+    said = edges.select("work", F.col("gold.place").alias("g"), F.col("pred.place").alias("p"), F.col("gold.ident").alias("gold_id"), F.col("pred.ident").alias("pred_id"))
+    return found.withColumnsRenamed({"gold": "g", "pred": "p"}).join(said, ["work", "g", "p"]).select("work", F.col("gold_id").alias("gold"), F.col("pred_id").alias("pred"))
 
 
 def detection(gold: DataFrame, predicted: DataFrame) -> DataFrame:

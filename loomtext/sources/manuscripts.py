@@ -96,13 +96,13 @@ def docx_blocks(content: bytes) -> tuple[str | None, list[tuple]]:
         style = names.get(values.get("pStyle", ""), values.get("pStyle", ""))
         text = "".join(e.text or "" for e in p.iter() if _local(e) == "t").strip()
         low = style.lower()
-        if "separator" in low or "separador" in low or (values.get("jc") == "center" and (not text or only_separators(text))) or only_separators(text):
+        if text and (low.startswith("heading") or low in ("title", "título", "titulo")):
+            digits = re.sub(r"\D", "", style)
+            blocks.append(("heading", text, int(digits) if digits else 1, style, None))
+        elif "separator" in low or "separador" in low or (values.get("jc") == "center" and (not text or only_separators(text))) or only_separators(text):
             blocks.append(("separator", text or "***", None, style or None, None))
         elif not text:
             continue
-        elif low.startswith("heading") or low in ("title", "título", "titulo"):
-            digits = re.sub(r"\D", "", style)
-            blocks.append(("heading", text, int(digits) if digits else 1, style, None))
         else:
             blocks.append(("paragraph", text, None, style or None, None))
     return title, blocks

@@ -51,10 +51,10 @@ class BlockParser(HTMLParser):
         text = " ".join(parts)
         if not text:
             return
-        if only_separators(text):
-            self.blocks.append(("separator", text, None))
-        elif tag in _HEADINGS:
+        if tag in _HEADINGS:
             self.blocks.append(("heading", text, int(tag[1])))
+        elif only_separators(text):
+            self.blocks.append(("separator", text, None))
         else:
             self.blocks.append(("paragraph", text, None))
 

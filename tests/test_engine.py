@@ -329,3 +329,31 @@ def test_resolution_fold_is_the_plain_fold(spark):
     clean = lambda rows: {tuple(None if x != x else x for x in r) for r in rows}
     assert clean(got) == expected and {r[4] for r in expected} == {"new", "merged", "queued"}
     assert any(r[4] == "merged" and r[5] for r in expected)
+
+
+def test_headings_of_signs_are_headings():
+    from loomtext.sources.markup import parsed
+
+    assert parsed("<h2>* * *</h2><p>* * *</p><p>x</p>") == [("heading", "* * *", 2), ("separator", "* * *", None), ("paragraph", "x", None)]
+    w = 'xmlns:w="http://w"'
+    paragraph = lambda style, text, extra="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/>{extra}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
+    body = paragraph("Heading1", "—") + paragraph("Normal", "—") + paragraph("SceneSeparator", "x") + paragraph("Normal", "", '<w:jc w:val="center"/>') + paragraph("Heading2", "")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    _, blocks = manuscripts.docx_blocks(out.getvalue())
+    assert [b[:3] for b in blocks] == [("heading", "—", 1), ("separator", "—", None), ("separator", "x", None), ("separator", "***", None)]
+
+
+def test_kinds_of_declared_roles(spark):
+    rows = [("m", i, "paragraph", f"t{i}", None, None, role) for i, role in enumerate(("Title-Page", "cover", "copyright", "titlepage", "acknowledgements", "dedication", "notes", "loi"))]
+    found = segmentation.non_narrative(spark.createDataFrame(rows, BLOCK)).orderBy("block_no").collect()
+    assert [(r.kind, r.text.replace("\n\n", " ")) for r in found] == [("cover", "t0 t1"), ("license", "t2"), ("cover", "t3"), ("frontmatter", "t4 t5"), ("backmatter", "t6"), ("toc", "t7")]
+
+
+def test_orders_of_the_character_list(spark):
+    people = spark.createDataFrame([("a", "Zoe", "minor"), ("b", "Ann", "minor"), ("c", "Mia", "minor")], "character_id string, canonical_name string, role string")
+    seen = spark.createDataFrame([("a", "s1", "present"), ("a", "s2", "present"), ("b", "s3", "mentioned"), ("c", "s0", "present")], "character_id string, scene_id string, kind string")
+    said = lambda **how: [r.character_id for r in reads.character_list(people, seen, **how).orderBy("place").collect()]
+    assert said() == said(order_by="unheard of") == said(order_by="appearances") == ["a", "b", "c"]
+    assert said(order_by="first_appearance") == ["c", "a", "b"] and said(order_by="name") == ["b", "c", "a"] and said(include_mentioned_only=False) == ["a", "c"]

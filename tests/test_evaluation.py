@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.errors import NotMeasured
+from loomtext.operators import metrics
 from loomtext.plans import evaluation as E
 from loomtext.sources import gold as G
 
@@ -50,3 +51,37 @@ def test_results_are_kept_and_nothing_is_not_zero(spark, work, tmp_path):
     assert G.last_result(spark, str(tmp_path), "characters", "a/b.txt") == {"f1": 0.7} and G.last_result(spark, str(tmp_path), "characters", "other") is None
     with pytest.raises(NotMeasured):
         G.measured(work[0].where("false"), "characters")
+
+
+def test_greedy_order_is_that_of_the_lists(spark):
+    """Twelve entities and more: places count as numbers, names as names, and each side takes the first that is free."""
+    gold = [(f"g{i}", i, f"Name{i}", ["Shared"] if i in (2, 10, 11) else []) for i in range(13)]
+    predicted = [(f"p{i}", n, [x]) for i, (n, x) in enumerate([("Ann Lee", "Shared"), ("Ann", "Shared"), ("Zoe", "Name12"), ("Bob", "Name3")])]
+    g = spark.createDataFrame(gold, "ident string, pos int, canonical_name string, aliases array<string>").select(F.lit("w").alias("work"), "ident", F.struct("pos").alias("order"), "canonical_name", "aliases")
+    p = E.people(spark.createDataFrame([("w", i, n, a, "person") for i, n, a in predicted], "manuscript_id string, character_id string, canonical_name string, aliases array<string>, entity_kind string"))
+
+    def greedy(first, second):
+        taken, out = set(), set()
+        for i, names in first:
+            hit = next((j for j, others in second if j not in taken and names & others), None)
+            if hit:
+                taken.add(hit)
+                out.add((i, hit))
+        return out
+
+    golds = [(i, {n.lower(), *(a.lower() for a in al)}) for i, _, n, al in gold]
+    preds = [(i, {n.lower(), *(a.lower() for a in al)}) for i, n, al in sorted(predicted, key=lambda x: (x[1], x[0]))]
+    assert {(r.gold, r.pred) for r in E.alignment(g, p).collect()} == greedy(golds, preds) == {("g2", "p1"), ("g3", "p3"), ("g10", "p0"), ("g12", "p2")}
+    assert {(r.pred, r.gold) for r in E._matched(E.overlaps(g, p), "pred", "gold").collect()} == greedy(preds, golds)
+
+
+def test_relation_buckets(spark):
+    """A prediction of another bucket is precise, but finds nothing in the gold pair's own bucket."""
+    schema = "a string, b string, rel_type string, provenance string"
+    rows = lambda *x: spark.createDataFrame(x, schema)
+    by = {r.bucket: r for r in metrics.relation_metrics(rows(("x", "y", "family", "extracted")), rows(("x", "y", "family", "inferred"))).collect()}
+    assert (by["extracted"].precision, by["extracted"].recall, by["extracted"].type_accuracy) == (0.0, 0.0, None)
+    assert (by["inferred"].precision, by["inferred"].recall, by["inferred"].type_accuracy) == (1.0, 0.0, None)
+    assert (by["all"].precision, by["all"].recall, by["all"].type_accuracy) == (1.0, 1.0, 1.0)
+    nothing = spark.createDataFrame([], schema)
+    assert {(r.bucket, r.precision, r.recall, r.f1, r.type_accuracy) for r in metrics.relation_metrics(nothing, nothing).collect()} == {(b, 1.0, 1.0, 1.0, None) for b in ("extracted", "inferred", "all")}
