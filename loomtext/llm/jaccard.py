@@ -1,11 +1,12 @@
 """Exact n-gram Jaccard join with signature trees.
 
-Documents with the same shingle set are one class. Classes that may be linked stand under a common root: in one order of
-all shingles, two sets within the threshold share one of their first n - ceil(threshold * n) + 1, and a root is such a
-shingle together with a range of sizes. The order is by frequency, rare ones first, so that a passage that many documents share
-is no root of theirs. A class that shares no root has no link.
+Documents with the same shingle set are one class. Classes that may be linked stand under common roots: in one order of
+all shingles, two sets within the threshold share c of their first n - ceil(threshold * n) + c, and roots are these
+shingles. The order is by frequency, rare ones first, so that a passage that many documents share is no root of theirs.
+A class that shares too few roots with classes of its size has no link.
 
-Under a root, classes are first compared with its least member. What that leaves in different components is searched:
+Each class is first compared with the least of its size under its roots. What that leaves in different components is
+searched:
 
 * a root of up to LEAF classes is one leaf: pairs that bitmaps and sizes can't rule out are compared exactly;
 * a larger root is a tree: leaves of bounded size, above them ranges of sizes. Nodes hold the OR of token
@@ -16,7 +17,7 @@ Under a root, classes are first compared with its least member. What that leaves
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ BITS = 2048
 WORDS = BITS // 64
 LEAF = 64
 LEAF_SHINGLES = 100_000  # of a leaf of a large root, all its classes together
+SHARED = 50  # shingles for which linked sets share one root more
 FREQUENT = 5  # log2 of the least count of a shingle that the order knows as frequent
 MOST_FREQUENT = 1 << 20  # shingles the order knows at most; the others count as rare
 RUN = 4_000_000  # shingles a task counts together
@@ -100,21 +102,17 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], power[order]
 
 
+def least_shared(n: Column | int) -> Column | int:
+    """Roots that two linked sets have in common at least, the smaller of n shingles."""
+    return 1 + F.floor(n / SHARED) if isinstance(n, Column) else 1 + n // SHARED
+
+
 class Roots:
-    """The roots of a set, for a threshold of percent / 100."""
+    """The roots of a set, for a threshold of percent / 100: its first shingles in the order of frequency, so many that
+    linked sets share least_shared() of them."""
 
     def __init__(self, percent: int, frequent: np.ndarray, power: np.ndarray) -> None:
         self.percent, self.frequent, self.power = percent, frequent, power
-        edges = [1]
-        while edges[-1] < 1 << 40:  # a smaller partner of a set is at most one range down
-            n = edges[-1]
-            edges.append(max(n * 100 // percent + 1, n + n // 2))
-        self.edges = edges
-
-    def ranges(self, n: int) -> list[int]:
-        t = bisect_right(self.edges, n) - 1
-        lower = t > 0 and -(-n * self.percent // 100) < self.edges[t]
-        return [t, t - 1] if lower else [t]
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Roots of one set, given sorted by hash."""
@@ -124,8 +122,7 @@ class Roots:
             at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
             rank = np.where(self.frequent[at] == h, self.power[at], 0)
             first = h[np.argsort(rank, kind="stable")]
-        first = first[: n - -(-n * self.percent // 100) + 1]
-        return np.concatenate([mix(first + mix(np.array([s + 1], np.uint64))) for s in self.ranges(n)])
+        return first[: n - -(-n * self.percent // 100) + least_shared(n)]
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -150,6 +147,24 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return own_id(docs).withColumn("tid", text_id()).mapInArrow(scan, "doc_id long, tid long, n long, key long, roots array<long>")
 
 
+def company(stands: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """root, key, n and size_step of the rows (root, key) of sets that may be linked, under roots that they may share.
+
+    Sizes of linked sets are in the same step or in neighbouring ones. A set stays if it shares as many roots with sets
+    of such sizes as linked sets do at least. Counts and minima of partial groups decide, never a group as a whole.
+    """
+    again = stands.groupBy("root").count().where("count > 1").select("root")
+    step = math.log(100 / percent) * 1.001 if percent < 100 else 1.0
+    met = stands.join(written(again, "jaccard-roots").hint("merge"), "root", "left_semi").distinct().join(sizes, "key")
+    met = written(met.withColumn("size_step", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "jaccard-met")
+    cells = met.groupBy("root", "size_step").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    around = cells.select("root", F.explode(F.array(*[F.col("size_step") + d for d in (-1, 0, 1)])).alias("size_step"), "least", "most")
+    shared = around.groupBy("root", "size_step").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("root", "size_step")
+    held = written(met.join(shared.hint("merge"), ["root", "size_step"], "left_semi"), "jaccard-held")
+    enough = held.groupBy("key").agg(F.count("*").alias("roots"), F.min("n").alias("n")).where(F.col("roots") >= least_shared(F.ceil(F.col("n") * percent / 100)))
+    return held.join(enough.select("key").hint("merge"), "key", "left_semi").select("root", "key", "n", "size_step")
+
+
 def class_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """key, n, bitmap and sorted hashes for rows (doc_id, tid, key)."""
 
@@ -191,21 +206,6 @@ def _reach(overlap: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) ->
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-def pruned(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that bitmaps and sizes can't rule out."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
-            keep = _reach(_most_overlap(na, nb, _bit_rows(x.column("bits_a")), _bit_rows(x.column("bits_b"))), na, nb, percent)
-            yield x.select(["a", "b"]).filter(pa.array(keep))
-
-    a = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    b = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").where(sized).mapInArrow(check, "a long, b long")
-
-
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold, by comparing the sets."""
 
@@ -358,18 +358,15 @@ def _least() -> tuple[Column, Column]:
 def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, tid, n and key of every document; key, label of its component, doc_id and tid of every class."""
     own = written(classes(docs, k, percent), "jaccard-docs")
-    every = written(own.where("n > 0").groupBy("key").agg(*_least()), "jaccard-classes")
-    stands = own.where("roots is not null").select(F.explode("roots").alias("root"), "key")
-    roots = stands.groupBy("root").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("root", "least")
-    under = written(stands.join(written(roots, "jaccard-roots").hint("merge"), "root").distinct(), "jaccard-under")
-    company = under.select("key").distinct()
-    sets = written(class_sets(docs, every.join(company, "key", "left_semi"), k), "jaccard-sets")
-    stars = under.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
-    stars = written(pruned(stars, sets, percent), "jaccard-stars")
-    links = written(linked(stars, sets, percent), "jaccard-links")
+    every = written(own.where("n > 0").groupBy("key").agg(*_least(), F.min("n").alias("n")), "jaccard-classes")
+    under = written(company(own.where("roots is not null").select(F.explode("roots").alias("root"), "key"), every.select("key", "n"), percent), "jaccard-under")
+    sets = written(class_sets(docs, every.join(under.select("key").distinct(), "key", "left_semi"), k), "jaccard-sets")
+    least = under.groupBy("root", "size_step").agg(F.min("key").alias("b"))
+    stars = under.join(least, ["root", "size_step"]).where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("shared"))
+    links = written(linked(stars.groupBy("a").agg(F.max_by("b", "shared").alias("b")), sets, percent), "jaccard-links")
     labels = components(links)
 
-    named = under.join(labels.withColumnRenamed("node", "key"), "key", "left").select("root", "key", F.coalesce("label", "key").alias("label")).join(sets.select("key", "n"), "key")
+    named = under.join(labels.withColumnRenamed("node", "key"), "key", "left").select("root", "key", "n", F.coalesce("label", "key").alias("label"))
     spread = named.groupBy("root").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("xor"))
     searched = written(spread.where("l1 <> l2").groupBy("size", "sum", "xor").agg(F.min("root").alias("root"), F.min("shingles").alias("shingles")), "jaccard-searched")  # of roots with the same members one
     small = named.join(searched.where(F.col("size") <= LEAF).select("root"), "root").join(sets.select("key", "bits"), "key")
