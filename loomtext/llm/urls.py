@@ -1,7 +1,6 @@
 """URL filters: base rules by host and path, and association rules mined from labelled URLs.
 
-A URL is a set of tokens: parts of the host with their level from the right, words of the host and path, and the
-scheme. Spark's FP-growth mines which token combinations come with which label; rules under the support or confidence
+A URL is a set of tokens: parts of the host with their level from the right, and words of the host and path. Spark's FP-growth mines which token combinations come with which label; rules under the support or confidence
 asked for, and rules that a more general one already implies, are pruned. The rules are matched by an inverted index:
 each token of a URL points to the rules it is part of, and a rule fires when it is hit as often as it has tokens.
 """
@@ -47,19 +46,33 @@ def tokens() -> Column:
     return F.array_distinct(F.concat(levels, words, steps))
 
 
-def mined_rules(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9) -> DataFrame:
-    """Rules (rule_id, items, label, confidence, support) from rows of (tokens, label).
+def mined_rules(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, groups: int = 1) -> DataFrame:
+    """Rules (rule_id, items, label, confidence, support) from rows of (tokens, label) and, for groups over 1, group.
 
-    A rule is dropped if a rule with fewer of its tokens says the same. No labelled rows give no rules. The number of
-    rules depends on support, not on the rows: each item set has at least that share of them.
+    A rule must hold in so many groups: with the confidence asked for among the rows of each on which it fires. It is
+    dropped if a rule with fewer of its tokens says the same. No labelled rows give no rules.
     """
     label = lambda x: F.concat(F.lit("="), x)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(F.concat("tokens", F.array(label(F.col("label")))).alias("items")))
     rules = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    rules = written(rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 2, 100).alias("label"), "confidence", "support"), "url-rules")
-    a, b = rules.alias("a"), rules.alias("b")
-    wider = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.size("b.items") < F.size("a.items")) & (F.size(F.array_except("b.items", "a.items")) == 0), "left_anti")
-    return wider.withColumn("rule_id", F.xxhash64(F.array_join("items", " "), "label"))
+    said = F.col("consequent")[0]
+    rules = rules.select(F.array_sort("antecedent").alias("items"), F.substring(said, F.lit(2), F.length(said)).alias("label"), "confidence", "support")
+    rules = written(rules.withColumn("rule_id", F.xxhash64(F.array_join("items", " "), "label")), "url-rules")
+    if groups > 1:
+        sets = labelled.groupBy("tokens", "group", F.col("label").alias("told")).agg(F.count("*").alias("rows")).withColumn("set_id", F.xxhash64(F.array_join(F.array_sort("tokens"), " ")))
+        per = _fired(sets.select("set_id", "tokens").distinct(), rules).select("set_id", "rule_id", "label").join(sets, "set_id").groupBy("rule_id", "group").agg((F.sum(F.when(F.col("told") == F.col("label"), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("share"))
+        rules = written(rules.join(per.where(F.col("share") >= confidence).groupBy("rule_id").count().where(F.col("count") >= groups), "rule_id", "left_semi"), "url-rules-held")
+    parts = F.transform(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)"), lambda m: F.filter("items", lambda x, i: F.getbit(m, i) == 1))
+    fewer = rules.where(F.size("items") > 1).select("rule_id", "label", F.explode(parts).alias("items"))
+    implied = fewer.join(rules.select("items", "label"), ["items", "label"], "left_semi").select("rule_id").distinct()
+    return rules.join(implied, "rule_id", "left_anti").select("items", "label", "confidence", "support", "rule_id")
+
+
+def _fired(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """set_id and the rules that fire on it, by an inverted index of tokens."""
+    index = rules.select(F.explode("items").alias("token"), "rule_id", F.size("items").alias("needed"), "label", "confidence", "support")
+    hits = sets.select("set_id", F.explode("tokens").alias("token")).join(index, "token")
+    return hits.groupBy("set_id", "rule_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("needed", "label", "confidence", "support")]).where("n >= needed")
 
 
 def verdicts(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -69,20 +82,23 @@ def verdicts(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataF
     its distinct sets. A URL on which no rule fires gets the default.
     """
     sets = urls.select("tokens").distinct().withColumn("set_id", F.xxhash64(F.array_join(F.array_sort("tokens"), " ")))
-    index = rules.select(F.explode("items").alias("token"), "rule_id", F.size("items").alias("needed"), "label", "confidence", "support")
-    hits = sets.select("set_id", F.explode("tokens").alias("token")).join(index, "token")
-    fired = hits.groupBy("set_id", "rule_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("needed", "label", "confidence", "support")]).where("n >= needed")
-    best = fired.groupBy("set_id").agg(F.max_by("label", F.struct("confidence", "support", -F.col("rule_id").cast("decimal(20,0)"))).alias("mined"))
+    best = _fired(sets, rules).groupBy("set_id").agg(F.max_by("label", F.struct("confidence", "support", -F.col("rule_id").cast("decimal(20,0)"))).alias("mined"))
     return urls.withColumn("set_id", F.xxhash64(F.array_join(F.array_sort("tokens"), " "))).join(best, "set_id", "left").withColumn("mined", F.coalesce("mined", F.lit(default)))
 
 
 def judged(pages: DataFrame, labels: DataFrame | None = None, support: float = 0.005, confidence: float = 0.9) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
-    labels, if given, are rows of (page_id, label) with label allow or block to mine from; else every page that a base
-    rule fits is an example with that rule's verdict.
+    labels, if given, are rows of (page_id, label) with label allow or block to mine from. Else every page is an
+    example: with the verdict of the base rule that fits it, or allow if none does, so that what base rules say of some
+    paths of a domain is not taken for the whole domain; and a rule must hold among the pages of two base rules, else it
+    would only say again what one of them says. Where no mined rule fires the verdict is allow. Several labels of one
+    page each count as an example.
     """
     parts = written(with_parts(pages).withColumn("base", base_rule()).withColumn("tokens", tokens()), "url-parts")
-    known = parts.join(labels.select("page_id", "label"), "page_id") if labels is not None else parts.where("base is not null").withColumn("label", F.col("base.verdict"))
-    out = verdicts(parts, mined_rules(known, support, confidence))
+    if labels is not None:
+        rules = mined_rules(parts.join(labels.select("page_id", "label"), "page_id"), support, confidence)
+    else:
+        rules = mined_rules(parts.select("tokens", F.coalesce("base.verdict", F.lit("allow")).alias("label"), F.coalesce("base.rule", F.lit("")).alias("group")), support, confidence, groups=2)
+    out = verdicts(parts, rules)
     return out.select("page_id", "host", "path", F.col("base.rule").alias("rule"), F.coalesce("base.verdict", "mined").alias("verdict"))

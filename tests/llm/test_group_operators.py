@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -308,6 +309,50 @@ def test_urls(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def plain_mined(rows, support, confidence, groups=1):
+    """All token sets of (tokens, label, group) rows by enumeration; the rules as {(tokens, label): confidence}."""
+    count, hit = defaultdict(int), defaultdict(int)
+    for tokens, label, group in rows:
+        for n in range(1, len(tokens) + 1):
+            for part in combinations(sorted(tokens), n):
+                for g in ("*", group):
+                    count[part, g] += 1
+                    hit[part, label, g] += 1
+    good = {(p, lab): k / count[p, "*"] for (p, lab, g), k in hit.items() if g == "*" and k >= support * len(rows) and k >= confidence * count[p, "*"]}
+    all_groups = {g for _, _, g in rows}
+    good = {r: c for r, c in good.items() if groups == 1 or sum(count[r[0], g] > 0 and hit[(*r, g)] >= confidence * count[r[0], g] for g in all_groups) >= groups}
+    return {r: c for r, c in good.items() if not any(o != r and o[1] == r[1] and set(o[0]) < set(r[0]) for o in good)}
+
+
+def test_url_rules_are_those_of_enumeration(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        x = [t for t in "abcdef" if rng.random() < 0.45]
+        bad = ("a" in x and "b" in x) or "f" in x and rng.random() < 0.97
+        rows.append((x, "block" if bad else "allow", rng.choice("uvw") if "c" in x else "u"))
+    frame = spark.createDataFrame(rows, "tokens array<string>, label string, group string")
+    for groups in (1, 2, 3):
+        found = {(tuple(r["items"]), r.label): r.confidence for r in urls.mined_rules(frame, 0.03, 0.9, groups).collect()}
+        want = plain_mined(rows, 0.03, 0.9, groups)
+        assert found.keys() == want.keys() and all(abs(found[r] - want[r]) < 1e-9 for r in want) and len(want) > 0
+    assert urls.mined_rules(frame.limit(0), 0.03, 0.9).count() == 0
+
+
+def test_url_verdicts_with_and_without_labels(spark):
+    """Unlabelled paths of a blocked domain stay allowed; given labels decide, ties go to the rule of the lowest id."""
+    hosts = [f"http://h{i}.net/{p}/x" for i in range(12) for p in ("es", "fr", "en", "de")] + [f"http://h{i}.com/en/x" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string")
+    said = {r.page_id: (r.rule, r.verdict) for r in urls.judged(pages).collect()}
+    assert all(said[i] == (("net/es/", "block") if "/es/" in u else ("net/fr/", "block") if "/fr/" in u else ("com/", "allow") if ".com" in u else (None, "allow")) for i, u in enumerate(hosts))
+    labels = spark.createDataFrame([(i, "block" if "/de/" in u else "allow") for i, u in enumerate(hosts) if "/fr/" not in u], "page_id long, label string")
+    told = {r.page_id: (r.rule, r.verdict) for r in urls.judged(pages, labels).collect()}
+    assert all(told[i][1] == "block" for i, u in enumerate(hosts) if "/de/" in u) and all(told[i][1] == "allow" for i, u in enumerate(hosts) if "net/en/" in u)
+    tie = spark.createDataFrame([(7, ["a"], "block", 0.9, 0.5), (5, ["b"], "allow", 0.9, 0.5)], "rule_id long, items array<string>, label string, confidence double, support double")
+    asked = spark.createDataFrame([(1, ["a", "b"])], "page_id long, tokens array<string>")
+    assert urls.verdicts(asked, tie, "none").first().mined == "allow"
+
+
 def test_url_rules_match_by_index(spark):
     pages = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["b", "c", "a"]), (4, [])], "page_id long, tokens array<string>")
     rules = spark.createDataFrame([(10, ["a", "b"], "block", 0.9, 0.5), (11, ["c"], "allow", 0.95, 0.1)], "rule_id long, items array<string>, label string, confidence double, support double")
