@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
-Everything is built from DataFrame functions. Shingles are five words. A template of m shingles belongs to the size
+Everything is built from DataFrame functions. Words are runs of letters and digits, so that punctuation around a notice
+does not hide it; shingles are five words. A template of m shingles belongs to the size
 class c, the least power of two from m up; texts are cut into windows of c + max(1, c / 2) shingles that begin every
 max(1, c / 2), so a passage of up to c shingles lies whole in one. Such a window has a Jaccard similarity of a quarter
 or more with a template of which it contains four fifths, and with BANDS bands of one row it collides with it with a
@@ -20,24 +21,25 @@ from loomtext.llm.shared import own_id
 
 SHINGLE = 5
 BANDS = 32
-#: Public license notices and opening passages.
+#: Public license notices and texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
 )
 
 
 def words(text: str) -> Column:
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def shingled(rows: DataFrame) -> DataFrame:
@@ -85,7 +87,8 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     any_of = F.array(*[F.lit(s) for s in sorted({r["s"] for r in found})])
     # The row number keeps Spark from evaluating the shingles again inside the filter.
     texts = shingled(own_id(docs)).select("doc_id", "shingles", F.monotonically_increasing_id().alias("row")).where(F.arrays_overlap("shingles", any_of))
-    held = texts.withColumn("hits", F.filter(F.sequence(F.lit(1), F.size("shingles")), lambda i: F.array_contains(any_of, F.get("shingles", i - 1))))
+    common = texts.withColumn("common", F.array_intersect("shingles", any_of))
+    held = common.withColumn("hits", F.filter(F.sequence(F.lit(1), F.size("shingles")), lambda i: F.array_contains("common", F.get("shingles", i - 1))))
     spots = F.flatten(F.array(*[_spots(c) for c in sorted({r["class"] for r in found})]))
     windows = held.select("row", "doc_id", "shingles", F.explode(spots).alias("at")).select("row", "doc_id", "at.class", "at.start", F.slice("shingles", F.col("at.start"), F.col("at.length")).alias("window"))
     hashed = windows.withColumn("bands", minhashes("window")).select("row", "doc_id", "class", "start", "window", F.posexplode("bands").alias("band", "value"))

@@ -222,16 +222,20 @@ def test_licenses(spark, docs, empty):
     cut = mit.split()
     cut[3] = "gratis,"
     texts = [prose(rng, 300) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(rng, 100), prose(rng, 700) + " " + mit, "x " + " ".join(cut) + " y", "Released under the MIT License.", prose(rng, 50), None, "", "Licensed under"]
+    texts += ["…Licensed under the Apache License, Version 2.0 and more…", "it is «licensed under the apache license version 2.0.»", "(Released under the MIT License)", prose(rng, 4000) + " " + dict(licenses.TEMPLATES)["ISC"] + prose(rng, 9000)]
+    texts += ["Released under the MIT License. " + prose(rng, 40) + " released under the MIT license."]  # a tie: the first window
     frame = spark.createDataFrame(rows_of(texts), SCHEMA)
     expected = set()
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [low(t).split()] for i in range(len(w) - 4)}
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", low(t))] for i in range(len(w) - 4)}
     for i, t in enumerate(texts):
         for j, (_, template) in enumerate(licenses.TEMPLATES):
             if len(grams(t or "") & grams(template)) >= 0.8 * len(grams(template)):
                 expected.add((i, j))
     got = licenses.scanned(frame).collect()
     assert {(r.doc_id, r.template) for r in got} == expected and len(got) == len(expected)
-    assert {r.start_word for r in got if r.doc_id == 3} == {0}
+    assert {r.start_word for r in got if r.doc_id in (3, 10, 12)} == {0} and {8, 9, 10, 11, 12} <= {i for i, _ in expected}
+    twice = licenses.scanned(frame.unionAll(frame)).collect()
+    assert sorted(map(tuple, twice)) == sorted([*map(tuple, got), *map(tuple, got)])
     assert licenses.scanned(docs).count() == 0 and licenses.scanned(empty).count() == 0 and licenses.scanned(frame, ()).count() == 0
 
 
