@@ -16,29 +16,18 @@ from pyspark.sql import functions as F
 from loomtext.llm.shared import own_id, written
 
 WINDOW = 8
-_POSITION_BITS = 24  # a text of 16 million words and more would need more
 FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "line_words")
 
 
-def _repeated(packed: Column, array: str) -> Column:
-    """Of sorted values, those whose upper bits equal a neighbour's."""
-    top = lambda x: F.shiftright(x, _POSITION_BITS)
-    return F.filter(
-        packed,
-        lambda x, i: F.coalesce(top(F.get(F.col(array), i - 1)) == top(x), F.lit(False)) | F.coalesce(top(F.get(F.col(array), i + 1)) == top(x), F.lit(False)),
-    )
-
-
 def stats(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and counts for the features.
 
     Words are runs of characters other than space, tab and the controls up to CR. A null or empty text has none and
     all counts 0. Repeated rows each give a row; columns other than doc_id and text are not looked at, those named in
     `more` are handed on.
-    Repeated 8-word windows are found inside the row: window hashes are sorted with their positions in the low bits,
-    once by the hash's upper bits and, for those found, once by its lower bits, so that all 64 decide.
+    Repeated 8-word windows are found inside the row: 64-bit hashes of windows, made of the hashes of their words, are
+    sorted with their positions, and those equal to a neighbour's are repeated.
     """
-    mask = (1 << _POSITION_BITS) - 1
     kept = lambda pattern: F.length(F.regexp_replace("text", pattern, "")).cast("long")
     worded = (
         docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
@@ -56,14 +45,15 @@ def stats(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
             F.size("lines").cast("long").alias("n_lines"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         )
-        .withColumn("grams", F.when(F.col("n_words") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))))
+        .withColumn("words", F.when(F.col("n_words") > WINDOW, F.transform("words", lambda w: F.xxhash64(w))))
+        .withColumn("grams", F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)])))
         .drop("words")
     )
     some = worded.withColumn("grams", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.col("grams")))
-    upper = some.withColumn("packed", F.sort_array(F.transform("grams", lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))))
-    found = upper.withColumn("at", F.transform(_repeated(F.col("packed"), "packed"), lambda x: x.bitwiseAND(F.lit(mask)).cast("int"))).drop("packed")
-    lower = found.withColumn("packed", F.sort_array(F.transform("at", lambda p: F.shiftleft(F.get(F.col("grams"), p), _POSITION_BITS).bitwiseOR(p.cast("long"))))).drop("grams", "at")
-    sure = lower.withColumn("at", F.sort_array(F.transform(_repeated(F.col("packed"), "packed"), lambda x: x.bitwiseAND(F.lit(mask))))).drop("packed")
+    placed = some.withColumn("placed", F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("p"))))).drop("grams")
+    same = lambda x, j: F.coalesce(F.get("placed", j)["h"] == x["h"], F.lit(False))
+    again = F.filter("placed", lambda x, i: same(x, i - 1) | same(x, i + 1))
+    sure = placed.withColumn("at", F.sort_array(F.transform(again, lambda x: x["p"]))).drop("placed")
     steps = F.transform("at", lambda p, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce(F.get(F.col("at"), i + 1) - p, F.lit(WINDOW).cast("long"))))
     return sure.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))).drop("at")
 
@@ -175,8 +165,9 @@ def verdict(rules: list[Rule]) -> Column:
 
 def learnt_from(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, **how) -> list[Rule]:
     """Rules from at most most_labelled labelled documents, those of the least hash of doc_id; all labelled rows up to
-    that bound, so the list of ids that is broadcast has that bound too. Labels with a null are not used."""
-    some = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    that bound, so the list of ids that is broadcast has that bound too. Labels with a null are not used; of several of
+    one document the lowest quality counts."""
+    some = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     own = with_features(stats(own_id(docs).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")))
     return learnt(own.join(F.broadcast(some), "doc_id").select("doc_id", *FEATURES, (1 - F.col("quality")).alias("bad")), **how)
 
