@@ -27,9 +27,19 @@ WINDOW = 24  # tokens of a training segment
 _PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()[]{}*#$%&|<>-_=+~/", np.uint8))
 
 
+def lower_latin(text: bytes) -> bytes:
+    """UTF-8 text with the capitals from À to Þ in lower case; its length stays."""
+    if b"\xc3" not in text:
+        return text
+    a = np.frombuffer(text, np.uint8).copy()
+    at = np.flatnonzero((a[:-1] == 0xC3) & (a[1:] >= 0x80) & (a[1:] <= 0x9E) & (a[1:] != 0x97)) + 1
+    a[at] += 0x20
+    return a.tobytes()
+
+
 def token_features(texts: list[bytes]) -> tuple[Words, np.ndarray]:
     """The words of texts and six feature hashes for each. Punctuation around a word does not count."""
-    words = Words([t.replace("É".encode(), "é".encode()).replace("Ä".encode(), "ä".encode()) for t in texts], lower=True)
+    words = Words([lower_latin(t) for t in texts], lower=True)
     start, end = words.start.copy(), words.end.copy()
     for _ in range(4):
         start += _PUNCTUATION[words.buf[start]] & (end - start > 1) if len(start) else 0
@@ -161,12 +171,16 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, most_keys: int = 20_000, segments: int = 30_000) -> Field:
-    """A field from at most most_labelled labelled documents (those of the least hash of doc_id, held-out ones never),
-    a lexicon of at most most_keys features, and at most so many training segments. Labels with a null are not used;
-    without toxic documents the lexicon is empty and every score the same."""
-    some = labels.select("doc_id", "toxic").dropna().where(~held_out()).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = written(own_id(docs).join(F.broadcast(some), "doc_id").dropDuplicates(["text"]).repartition(24), "toxicity-sample")
+def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000) -> Field:
+    """A field from at most most_labelled labelled documents (those of the least hash of doc_id, held-out ones never).
+
+    What the driver trains on has a bound that follows from it: two features and three segments for each labelled
+    document. Labels with a null are not used; of several labels of one document or one text the toxic one counts.
+    Without toxic documents the lexicon is empty and every score the same.
+    """
+    most_keys, segments = 2 * most_labelled, 3 * most_labelled
+    some = labels.select("doc_id", "toxic").dropna().where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    sample = written(own_id(docs).join(F.broadcast(some), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).repartition(24), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,10 +238,9 @@ def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, mos
     tags = (np.append(seed, False)[x].any(axis=2) & real & (got["toxic"].to_numpy() == 1)[:, None]).astype(float)
     params = _fit(x, tags, real, len(keys))
     field = Field(keys, params[: len(keys)], *(float(p) for p in params[len(keys) :]))
-    found = _tagged(sample, field, ["toxic"]).toPandas()
-    sums = found["spans"].map(lambda s: sum(r["p"] for r in s)).to_numpy(float)
-    most = found["spans"].map(lambda s: max((r["p"] for r in s), default=0.0)).to_numpy(float)
-    field.scale = _calibrated(np.column_stack([np.log1p(sums), most]), found["toxic"].to_numpy(float))
+    p = F.transform("spans", lambda s: s["p"])
+    found = _tagged(sample, field, ["toxic"]).select("toxic", F.aggregate(p, F.lit(0.0), lambda a, x: a + x).alias("sum"), F.coalesce(F.array_max(p), F.lit(0.0)).alias("most")).toPandas()
+    field.scale = _calibrated(np.column_stack([np.log1p(found["sum"]), found["most"]]), found["toxic"].to_numpy(float))
     return field
 
 

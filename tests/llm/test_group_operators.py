@@ -232,6 +232,19 @@ def test_toxicity_learns_from_some_and_finds_the_rest(spark, docs, empty):
     assert toxicity.scored(empty, nothing).count() == 0 and {r.predicted for r in toxicity.scored(docs, nothing).select((F.col("score") >= 0.5).alias("predicted")).collect()} == {False}
 
 
+def test_toxicity_labels_that_differ(spark):
+    """Of several labels the toxic one counts, whatever their order; capitals from À to Þ are lowered in place."""
+    rng = random.Random(19)
+    data = [prose(rng, 30) + (" vilewort vilewort" if i % 4 == 0 else "") for i in range(300)]
+    docs = spark.createDataFrame(rows_of(data), SCHEMA)
+    sure = [(i, int(i % 4 == 0)) for i in range(300)]
+    both = [*[(i, 0) for i in range(0, 300, 4)], *sure]
+    fields = [toxicity.trained(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (sure, both, both[::-1])]
+    assert len(fields[0].keys) and all((f.keys == fields[0].keys).all() and np.allclose(f.weights, fields[0].weights) for f in fields[1:])
+    text = "ÀÉÞ×ß straße ÄÖÜ 日本 É"
+    assert toxicity.lower_latin(text.encode()).decode() == "àéþ×ß straße äöü 日本 é" and toxicity.lower_latin(b"") == b""
+
+
 def test_marginals_are_those_of_the_whole_chain():
     field = toxicity.Field(np.zeros(0, np.uint64), np.zeros(0), -2.0, 0.3, -0.4, 1.1)
     places, emitted, n = np.array([1, 2, 6]), np.array([2.5, 1.0, 3.0]), 9
