@@ -1,9 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, weighted-shingle similarity.
 
-A window of as many words as an item is fingerprinted by SimHash over its weighted shingles. Fingerprints are cut into
-one block more than the radius, so two within the radius agree on some block: an index of blocks finds every item whose
-fingerprint is near. Candidates are then compared exactly: sum of weights in both over sum of weights in either, as
-multisets. Windows that share no shingle with any item have similarity 0, so fingerprints are made only around shared
+A window of as many words as an item is fingerprinted by SimHash of 256 bits over its weighted shingles. Fingerprints are
+cut into blocks of 16 bits. Two within the radius of 47 differ in at most 2 bits of some block, so an index that holds each
+block of an item with all its neighbours of up to 2 bits finds every item whose fingerprint is near; a random
+fingerprint meets an item there with a probability of 3 in 100. At a similarity of 0.8 fingerprints differ in 39 bits on
+average, so the radius retrieves nine in ten pairs that just reach it and more of the others. Candidates are then compared
+exactly: sum of weights in both over sum of weights in either, as multisets. Windows that share no shingle with any item have similarity 0, so fingerprints are made only around shared
 shingles, and only of the sizes of items that have one of them; this loses nothing. Weights are those of the whole
 benchmark, in however many blocks it is held.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +25,30 @@ from pyspark.sql import functions as F
 from loomtext.llm.shared import of_rows, own_id, text_id
 from loomtext.llm.textnum import Words, as_long, mix, shingles, text_slices
 
-RADIUS = 20
-ITEMS_A_BLOCK = 20_000  # of the benchmark, held by each task at a time
+WORDS = 4  # of a fingerprint, 64 bits each
+BLOCKS = 16  # of a fingerprint, 16 bits each
+RADIUS = 47
+ITEMS_A_BLOCK, BYTES_A_BLOCK = 4_000, 8_000_000  # of the benchmark, held by each task at a time
+RUN = 8_192  # shingles fingerprinted at a time
 
 
 def _fingerprints(h: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each run of `size` shingles, as 64-bit values."""
-    bits = np.unpackbits(np.ascontiguousarray(mix(h ^ np.uint64(0xABCDEF))).view(np.uint8).reshape(-1, 8), axis=1)
-    signed = (bits.astype(np.int32) * 2 - 1) * weight[:, None]
-    sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(signed, axis=0, dtype=np.int64)])
-    return np.packbits(sums[size:] - sums[:-size] > 0, axis=1).view(np.uint64).ravel()
+    """SimHash of each run of `size` shingles, a row of 64-bit values."""
+    bits = np.unpackbits(np.stack([mix(h ^ np.uint64(0xABCDEF + 977 * i)) for i in range(WORDS)], axis=1).view(np.uint8).reshape(len(h), -1), axis=1)
+    signed = (bits.astype(np.int32) * 2 - 1) * weight[:, None].astype(np.int32)
+    sums = np.concatenate([np.zeros((1, 64 * WORDS), np.int64), np.cumsum(signed, axis=0, dtype=np.int64)])
+    return np.packbits(sums[size:] - sums[:-size] > 0, axis=1).view(np.uint64)
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """Shift and width of radius + 1 blocks of a 64-bit fingerprint."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def blocks_of(prints: np.ndarray) -> np.ndarray:
+    """The BLOCKS blocks of each fingerprint."""
+    return np.ascontiguousarray(prints).view(np.uint16).reshape(len(prints), BLOCKS)
+
+
+def neighbours(radius: int) -> np.ndarray:
+    """What to flip in a block to get all that some block of a fingerprint within the radius can be."""
+    near = radius // BLOCKS
+    return np.array([sum(1 << b for b in bits) for n in range(near + 1) for bits in combinations(range(16), n)], np.uint16)
 
 
 class Index:
@@ -64,14 +75,15 @@ class Index:
         self.other = unit(1)  # of a shingle of one item, or of none
         self.counts = [Counter(g.tolist()) for g in own.values()]
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
+        flips = neighbours(radius)
         for size in sorted(set(self.size)):
             at = np.array([i for i, s in enumerate(self.size) if s == size])
             prints = np.concatenate([_fingerprints(g, self.weight(g), len(g)) for g in (list(own.values())[i] for i in at)])
             tables = []
-            for shift, width in _blocks(radius):
-                value = (prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            for block in blocks_of(prints).T:
+                value = (block[:, None] ^ flips).ravel()
                 order = np.argsort(value, kind="stable")
-                tables.append((value[order], order))
+                tables.append((value[order], (order // len(flips)).astype(np.int32)))
             self.by_size[size] = (at, prints, tables)
         sizes: dict[int, set[int]] = {}
         for g, n in zip(own.values(), self.size, strict=True):
@@ -109,22 +121,22 @@ class Index:
             h = self._grams(words, k)
             run = size - k + 1
             weight = self.weight(h)
-            windows = _fingerprints(h, weight, run)
-            pairs = []
-            for (shift, width), (values, order) in zip(_blocks(self.radius), tables, strict=True):
-                own = (windows >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, "right")
-                n = hi - lo
-                w = np.repeat(np.arange(len(own)), n)
-                pairs.append(w * len(items) + order[np.repeat(lo, n) + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)])
-            found = np.unique(np.concatenate(pairs))
-            w, i = found // len(items), found % len(items)
-            near = np.bitwise_count(windows[w] ^ prints[i]) <= self.radius
-            for a, b in zip(w[near].tolist(), i[near].tolist(), strict=True):
-                s = self.similarity(int(items[b]), h[a : a + run], weight[a : a + run])
-                have = best.get(int(items[b]))
-                if s >= least and (have is None or s > have[0]):
-                    best[int(items[b])] = (s, a, size)
+            for first in range(0, len(h) - run + 1, RUN):
+                windows = _fingerprints(h[first : first + RUN + run - 1], weight[first : first + RUN + run - 1], run)
+                pairs = []
+                for own, (values, order) in zip(blocks_of(windows).T, tables, strict=True):
+                    lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+                    n = hi - lo
+                    w = np.repeat(np.arange(len(own)), n)
+                    pairs.append(w * len(items) + order[np.repeat(lo, n) + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)])
+                found = np.unique(np.concatenate(pairs))
+                w, i = found // len(items), found % len(items)
+                near = np.bitwise_count(windows[w] ^ prints[i]).sum(axis=1) <= self.radius
+                for a, b in zip((w[near] + first).tolist(), i[near].tolist(), strict=True):
+                    s = self.similarity(int(items[b]), h[a : a + run], weight[a : a + run])
+                    have = best.get(int(items[b]))
+                    if s >= least and (have is None or s > have[0]):
+                        best[int(items[b])] = (s, a, size)
         return best
 
 
@@ -145,16 +157,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8,
 
     Words are lower-cased in A-Z and split at space, tab and the controls up to CR; items with fewer words than k are
     one shingle, items and documents without words (null and empty texts too) match nothing. Ties go to the first
-    window. Repeated documents each give their rows. The benchmark is held in blocks of ITEMS_A_BLOCK items, one pass
-    over the documents for each; what is broadcast is a block and, with several, the shingles (16 bytes each) that two
-    or more items of the whole benchmark have. Other columns are not looked at.
+    window. Repeated documents each give their rows. The benchmark is held in blocks of about ITEMS_A_BLOCK items and
+    BYTES_A_BLOCK bytes, one pass over the documents for each; what is broadcast is a block and, with several, the
+    shingles (16 bytes each) that two or more items of the whole benchmark have. Other columns are not looked at.
     """
     return _leaks(docs, benchmark, k, least, radius).drop("tid")
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """The rows of leaks(), with tid of the document's text."""
-    blocks = max(1, -(-benchmark.count() // ITEMS_A_BLOCK))
+    n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS_A_BLOCK), -(-size // BYTES_A_BLOCK))
     common = docs.sparkSession.sparkContext.broadcast(_common(benchmark, k) if blocks > 1 else None)
     out = None
     for block in range(blocks):

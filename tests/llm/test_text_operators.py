@@ -7,9 +7,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomtext.llm import decontaminate, licenses, lm, packing, pii, quality
 from loomtext.llm.queries import vocabulary_path
@@ -205,15 +207,64 @@ def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
 
 
 def test_hamming_blocks_find_all_within_the_radius():
-    blocks = decontaminate._blocks(20)
-    assert len(blocks) == 21 and sum(w for _, w in blocks) == 64
-    rng = random.Random(1)
-    for _ in range(300):
-        x, y = rng.getrandbits(64), 0
-        y = x
-        for bit in rng.sample(range(64), 20):
-            y ^= 1 << bit
-        assert any((x >> s) % (1 << w) == (y >> s) % (1 << w) for s, w in blocks)
+    rng = np.random.default_rng(1)
+    flips = set(decontaminate.neighbours(decontaminate.RADIUS).tolist())
+    assert len(flips) == 1 + 16 + 120
+    x = rng.integers(0, 1 << 64, (300, decontaminate.WORDS), dtype=np.uint64)
+    y = np.unpackbits(x.view(np.uint8), axis=1)
+    for row in y:
+        row[rng.permutation(256)[: decontaminate.RADIUS]] ^= 1
+    y = np.packbits(y, axis=1).view(np.uint64)
+    assert (np.bitwise_count(x ^ y).sum(axis=1) == decontaminate.RADIUS).all()
+    apart = decontaminate.blocks_of(x) ^ decontaminate.blocks_of(y)
+    assert all(any(int(b) in flips for b in row) for row in apart)
+    other = decontaminate.blocks_of(x[:-1]) ^ decontaminate.blocks_of(x[1:])
+    assert np.mean([any(int(b) in flips for b in row) for row in other]) < 0.1
+
+
+def plain_leaks(texts, items, k, least):
+    """Best similarity of each document and item over all windows of the item's size."""
+    words = lambda t: WORD.findall(low(t or ""))
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    own = {i: grams(w, min(k, len(w))) for i, t in items if (w := words(t))}
+    df = Counter(g for x in own.values() for g in set(x))
+    weight = lambda g: round(1000 * math.log(1 + len(own) / df.get(g, 1)))
+    out = {}
+    for d, t in enumerate(texts):
+        w = words(t)
+        for i, x in items:
+            n = len(words(x))
+            theirs = Counter(own.get(i, []))
+            for at in range(len(w) - n + 1 if n else 0):
+                ours = Counter(grams(w[at : at + n], min(k, n)))
+                if ours.keys() & theirs.keys():
+                    s = sum((ours & theirs)[g] * weight(g) for g in ours) / sum(c * weight(g) for g, c in (ours | theirs).items())
+                    if s >= least and s > out.get((d, i), (0, 0))[0]:
+                        out[d, i] = (s, at)
+    return out
+
+
+def test_leaks_against_all_windows(spark):
+    """Nothing is found that is not there, and of pairs around the threshold nine in ten at least; copies and ties always."""
+    rng = random.Random(40)
+    items = [(i, prose(rng, rng.choice([3, 12, 40, 80, 120]))) for i in range(24)] + [(50, None), (51, ""), (52, "one two")]
+    texts = [None, "", "one two", items[3][1] + " x " + items[3][1]]
+    for i, item in items[:24]:
+        for edits in (0, 1, 1, 2, 2, 3):
+            w = item.split()
+            for x in rng.sample(range(len(w)), min(edits, len(w) - 1)):
+                w[x] = f"new{x}"
+            texts.append(prose(rng, rng.randint(0, 30)) + " " + " ".join(w) + " " + prose(rng, 20))
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA).withColumns({c: F.lit(1) for c in ("item_id", "similarity", "tid", "words")})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    found = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.leaks(docs, bench).collect()}
+    want = plain_leaks(texts, items, 5, 0.8)
+    assert found.keys() <= want.keys() and len(want) > 50
+    exact = {k for k, (s, _) in want.items() if s == 1}
+    assert exact <= found.keys() and len(found) >= 0.9 * len(want) and len(found.keys() - exact) >= 0.9 * len(want.keys() - exact)
+    assert all(abs(found[k][0] - want[k][0]) < 1e-9 and found[k][1] == want[k][1] for k in exact) and found[3, 3][1] == 0
+    twice = decontaminate.leaks(docs.unionAll(docs), bench).count()
+    assert twice == 2 * len(found)
 
 
 def test_licenses(spark, docs, empty):
