@@ -13,8 +13,8 @@ from loomtext.functions.text import strip
 #: Word lists that decide what a name is.
 HONORIFICS = ("mr", "mrs", "ms", "miss", "dr", "prof", "sir", "lord", "lady", "don", "dona", "senor", "senora", "senorita", "monsieur", "madame", "mademoiselle")
 PRONOUNS = (
-    "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "his", "hers", "its", "their", "theirs", "myself", "himself", "herself",
-    "yo", "tu", "el", "ella", "usted", "ustedes", "nosotros", "nosotras", "ellos", "ellas", "le", "les", "lo", "los", "la", "las", "su", "sus",
+    "she", "he", "her", "him", "his", "hers", "they", "them", "their", "theirs", "it", "its", "i", "you", "we", "me", "us", "myself", "herself", "himself",
+    "ella", "el", "le", "la", "lo", "les", "las", "los", "su", "sus", "yo", "tu", "usted", "ustedes", "nosotros", "nosotras", "ellos", "ellas",
 )
 KIN = (
     "mother", "father", "mamma", "mama", "papa", "mom", "dad", "parents", "sister", "brother", "aunt", "uncle", "cousin", "niece", "nephew", "wife", "husband", "son", "daughter",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import ids, names
@@ -21,12 +21,12 @@ def keyed(scenes: DataFrame, model: str, prompt: str, schema: str, casts: DataFr
 
 
 def extractions(scenes: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
-    return responses.looked_up(scenes, stored, EXTRACTION, F.col("response.mentions").isNotNull() & F.col("response.new_characters").isNotNull(), force)
+    return responses.looked_up(scenes, stored, EXTRACTION, extraction_contract(), force)
 
 
 def candidates(extracted: DataFrame) -> DataFrame:
     """CANDIDATE rows and whether the scene has the character present."""
-    return extracted.where("hit").select("manuscript_id", "scene_id", F.col("order_narrative_global").cast("long").alias("scene_order"), F.posexplode("response.new_characters").alias("pos", "c")).select(
+    return extracted.where("response is not null").select("manuscript_id", "scene_id", F.col("order_narrative_global").cast("long").alias("scene_order"), F.posexplode("response.new_characters").alias("pos", "c")).select(
         "manuscript_id", "scene_id", "scene_order", F.col("pos").cast("long").alias("pos"), "c.canonical_name", F.coalesce("c.aliases", F.array().cast("array<string>")).alias("aliases"),
         F.coalesce("c.role", F.lit("unknown")).alias("role"), F.coalesce("c.entity_kind", F.lit("person")).alias("entity_kind"), F.coalesce("c.is_present_in_scene", F.lit(False)).alias("present"),
     )
@@ -60,12 +60,12 @@ def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, ju
         split = rows.withColumn("s", names.split_honorific(names.fold(name))).withColumn("base", F.concat_ws("|", "manuscript_id", "s.base")).withColumn("honorific", F.col("s.honorific"))
         return resolution.lookup(split, forms).where("canonical is not null").withColumnRenamed("canonical", "character_id").drop("s", "base", "honorific")
 
-    told = extracted.where("hit").select("manuscript_id", "scene_id", "text", F.explode("response.mentions").alias("m")).withColumn("start_offset", offset_of(F.col("text"), F.col("m.surface"))).where("start_offset is not null")
+    told = extracted.where("response is not null").select("manuscript_id", "scene_id", "text", F.explode("response.mentions").alias("m")).withColumn("start_offset", offset_of(F.col("text"), F.col("m.surface"))).where("start_offset is not null")
     mentions = linked(told, F.coalesce("m.links_to", "m.surface")).select(
         ids.mention_id(F.col("scene_id"), F.col("m.surface"), F.col("start_offset")).alias("mention_id"), "character_id", "scene_id", "manuscript_id", "m.surface", "m.kind", "start_offset",
         (F.col("start_offset") + F.length("m.surface")).alias("end_offset"), "m.quote",
     ).dropDuplicates(["mention_id", "character_id"])
-    listed = linked(extracted.where("hit").select("manuscript_id", "scene_id", F.explode("response.present_entities").alias("name")), F.col("name")).select("character_id", "scene_id", F.lit("present").alias("kind"))
+    listed = linked(extracted.where("response is not null").select("manuscript_id", "scene_id", F.explode("response.present_entities").alias("name")), F.col("name")).select("character_id", "scene_id", F.lit("present").alias("kind"))
     came = named.where("present").select(entity_id.alias("character_id"), "scene_id", F.lit("present").alias("kind"))
     seen = mentions.select("character_id", "scene_id", F.lit("mentioned").alias("kind")).unionAll(listed).unionAll(came)
     appearances = seen.groupBy("character_id", "scene_id").agg(F.when(F.max((F.col("kind") == "present").cast("int")) == 1, "present").otherwise("mentioned").alias("kind"))
@@ -77,12 +77,27 @@ def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, ju
 
 
 def _evidences(looked: DataFrame, columns: list[str]) -> DataFrame:
-    return looked.where("hit").select("manuscript_id", "scene_id", "cast_ids", F.col("order_narrative_global").alias("narrative_order"), F.posexplode("response.evidences").alias("pos", "e")).select("manuscript_id", "scene_id", "cast_ids", "narrative_order", "pos", "e", *[f"e.{c}" for c in columns])
+    return looked.where("response is not null").select("manuscript_id", "scene_id", "cast_ids", F.col("order_narrative_global").alias("narrative_order"), F.posexplode("response.evidences").alias("pos", "e")).select("manuscript_id", "scene_id", "cast_ids", "narrative_order", "pos", "e", *[f"e.{c}" for c in columns])
+
+
+def relation_contract() -> Column:
+    return F.col("response.evidences").isNotNull() & F.forall("response.evidences", valid_relation)
+
+
+def attribute_contract() -> Column:
+    return F.col("response.evidences").isNotNull() & F.forall("response.evidences", valid_attribute)
+
+
+def extraction_contract() -> Column:
+    return F.col("response.mentions").isNotNull() & F.col("response.new_characters").isNotNull()
 
 
 def relation_layer(scenes: DataFrame, stored: DataFrame, force: bool = False) -> dict[str, DataFrame]:
-    """relation_evidence and relates_to from keyed() scenes: inside the cast, one evidence a scene and pair."""
-    looked = responses.looked_up(scenes, stored, RELATIONS, F.col("response.evidences").isNotNull() & F.forall("response.evidences", valid_relation), force)
+    return relation_tables(responses.looked_up(scenes, stored, RELATIONS, relation_contract(), force))
+
+
+def relation_tables(looked: DataFrame) -> dict[str, DataFrame]:
+    """relation_evidence and relates_to from keyed() scenes with responses: inside the cast, one evidence a scene and pair."""
     rows = _evidences(looked, ["character_a_id", "character_b_id", "rel_type", "descriptor", "role_a", "role_b", "provenance", "confidence", "quote"])
     inside = rows.where(F.array_contains("cast_ids", F.col("character_a_id")) & F.array_contains("cast_ids", F.col("character_b_id"))).drop("e", "cast_ids")
     kept = evidence.strongest(evidence.canonical(inside), ["scene_id", "character_a_id", "character_b_id"], "pos")
@@ -91,7 +106,10 @@ def relation_layer(scenes: DataFrame, stored: DataFrame, force: bool = False) ->
 
 
 def attribute_layer(scenes: DataFrame, stored: DataFrame, force: bool = False) -> dict[str, DataFrame]:
-    looked = responses.looked_up(scenes, stored, ATTRIBUTES, F.col("response.evidences").isNotNull() & F.forall("response.evidences", valid_attribute), force)
+    return attribute_tables(responses.looked_up(scenes, stored, ATTRIBUTES, attribute_contract(), force))
+
+
+def attribute_tables(looked: DataFrame) -> dict[str, DataFrame]:
     rows = _evidences(looked, ["character_id", "key", "value_norm", "value_quote", "confidence"])
     inside = rows.where(F.array_contains("cast_ids", F.col("character_id"))).drop("e", "cast_ids").withColumn("value_norm", F.lower(F.trim("value_norm")))
     kept = evidence.strongest(inside, ["scene_id", "character_id", "key"], "pos")

@@ -9,7 +9,8 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -108,34 +109,44 @@ def docx_blocks(content: bytes) -> tuple[str | None, list[tuple]]:
     return title, blocks
 
 
-def _zipped(rows: DataFrame, parse: Callable[[bytes], tuple[str | None, list[tuple]]]) -> DataFrame:
+PARSED = "manuscript_id string, title string, error string, blocks array<struct<pos:bigint,kind:string,text:string,level:int,style:string,source_role:string>>"
+
+
+def zipped(found: DataFrame) -> DataFrame:
+    """manuscript_id, title, error and blocks of the epub and docx files; a file that can't be read has an error and no blocks."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("pos", "kind", "text", "level", "style", "source_role")
         for batch in batches:
             out = []
-            for ident, content in zip(batch["manuscript_id"], batch["content"], strict=True):
+            for ident, content, kind in zip(batch["manuscript_id"], batch["content"], batch["format"], strict=True):
                 try:
-                    _, blocks = parse(content)
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as e:
-                    raise InvalidFile(f"{ident}: {e}") from e
-                out += [(ident, pos, *b) for pos, b in enumerate(blocks)]
-            yield pd.DataFrame(out, columns=["manuscript_id", "pos", "kind", "text", "level", "style", "source_role"]).astype({"level": "Int32"})
-
-    return rows.select("manuscript_id", "content").mapInPandas(run, BLOCK)
-
-
-def blocks(found: DataFrame) -> DataFrame:
-    """BLOCK rows of files(); each format has its own branch of the plan."""
-    own = lambda f: found.where(F.col("format") == f)
-    texts = text_blocks(own("txt").select("manuscript_id", decoded("content").alias("text")))
-    return texts.unionByName(_zipped(own("epub"), epub_blocks)).unionByName(_zipped(own("docx"), docx_blocks))
-
-
-def checked(found: DataFrame) -> DataFrame:
-    """The files, or an error naming the first of an unknown format or without content."""
-    odd = found.where(~F.col("format").isin(*SOURCE_FORMATS)).select("manuscript_id").take(1)
-    if odd:
-        raise UnsupportedFormat(odd[0][0])
-    blank = found.where((F.length("content") == 0) | ((F.col("format") == "txt") & (F.trim(F.regexp_replace(F.col("content").cast("string"), r"\s+", "")) == ""))).select("manuscript_id").take(1)
-    if blank:
-        raise InvalidFile(blank[0][0])
-    return found
+                    title, blocks = epub_blocks(content) if kind == "epub" else docx_blocks(content)
+                    error = None if blocks else "no text"
+                except (zipfile.BadZipFile, zlib.error, LookupError, StopIteration, ElementTree.ParseError, ValueError, NotImplementedError, RuntimeError) as e:
+                    title, blocks, error = None, [], f"{type(e).__name__}: {e}"
+                out.append((ident, title, error, [dict(zip(names, (pos, *b), strict=True)) for pos, b in enumerate(blocks)]))
+            yield pd.DataFrame(out, columns=["manuscript_id", "title", "error", "blocks"])
+
+    return found.where(F.col("format").isin("epub", "docx")).select("manuscript_id", "content", "format").mapInPandas(run, PARSED)
+
+
+def parsed_files(found: DataFrame) -> DataFrame:
+    """PARSED rows of files(), one a file, with the code of what is wrong with it; blocks of text files are left to blocks()."""
+    none = F.lit(None).cast("string")
+    text = F.col("content").cast("string")
+    blank = (F.length("content") == 0) | ~text.rlike(r"(?U)\S")
+    other = found.where(~F.col("format").isin("epub", "docx"))
+    code = F.when(~F.col("format").isin(*SOURCE_FORMATS), UnsupportedFormat.code).when(blank, InvalidFile.code)
+    plain = other.select("manuscript_id", none.alias("title"), code.alias("code"), F.when(code.isNotNull(), "unknown format or no text").alias("error"))
+    return zipped(found).withColumn("code", F.when(F.col("error").isNotNull(), InvalidFile.code)).unionByName(plain, allowMissingColumns=True)
+
+
+def blocks(found: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """BLOCK rows of files(), of those that can be read; each kind of format has its own branch of the plan.
+
+    parsed: parsed_files() of the same files, where it is already at hand.
+    """
+    texts = text_blocks(found.where(F.col("format") == "txt").select("manuscript_id", decoded("content").alias("text")))
+    zips = zipped(found) if parsed is None else parsed
+    return texts.unionByName(zips.select("manuscript_id", F.explode("blocks").alias("b")).select("manuscript_id", "b.*"))

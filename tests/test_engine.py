@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from loomtext import errors
 from loomtext.operators import evidence, metrics, reads, resolution, segmentation, upsert
-from loomtext.plans import catalogue, ingest, layers
-from loomtext.schemas import BLOCK, RELATIONS, valid_relation
+from loomtext.plans import catalogue, ingest, layers, model_path
+from loomtext.schemas import BLOCK, EXTRACTION, RELATIONS, valid_relation
 from loomtext.sources import manuscripts, markup, models, responses
 from loomtext.streaming.incremental import ingest_stream
 
@@ -357,3 +357,76 @@ def test_orders_of_the_character_list(spark):
     said = lambda **how: [r.character_id for r in reads.character_list(people, seen, **how).orderBy("place").collect()]
     assert said() == said(order_by="unheard of") == said(order_by="appearances") == ["a", "b", "c"]
     assert said(order_by="first_appearance") == ["c", "a", "b"] and said(order_by="name") == ["b", "c", "a"] and said(include_mentioned_only=False) == ["a", "c"]
+
+
+def test_bad_files_fail_alone_and_titles_stay(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    for name, content in (("a.epub", epub()), ("b.epub", b"PK no zip"), ("c.docx", docx()), ("d.pdf", b"x"), ("e.txt", b" \n\t"), ("f.txt", b"CHAPTER I\n\n***"), ("g.txt", b"Just text.")):
+        (d / name).write_bytes(content)
+    tables = ingest.ingest(spark, str(d), str(tmp_path / "staging"))
+    name = lambda r: r.source_id.rsplit("/", 1)[1]
+    assert {(name(r), r.title) for r in tables["manuscript"].collect()} == {("a.epub", "T"), ("c.docx", None), ("g.txt", None)}
+    assert {(name(r), r.code) for r in tables["failed"].collect()} == {("b.epub", "invalid_file"), ("d.pdf", "unsupported_format"), ("e.txt", "invalid_file"), ("f.txt", "no_narrative_content")}
+    known = tables["manuscript"].where("source_format = 'txt'")
+    said = {r.source_format: r for r in ingest.summaries(tables, known).collect()}
+    assert (said["txt"].created, said["epub"].created, said["epub"].non_narrative_block_count, said["epub"].scene_count) == (False, True, 1, 2)
+    assert all(r.created for r in ingest.summaries(tables).collect())
+
+
+class Author:
+    """A model that knows each scene by a word of it; it counts nothing, as each task has its own."""
+
+    def complete_structured(self, system, user, schema):
+        if "broken" in user:
+            raise errors.ContractViolation("no tool call")
+        scene = user.split("<scene>\n")[1]
+        return {"mentions": [], "new_characters": [{"canonical_name": scene.split()[0], "aliases": [], "role": "minor", "entity_kind": "person", "is_present_in_scene": True}], "present_entities": [], "notes": user.split("\n")[0]}
+
+
+class Silent:
+    def complete_structured(self, system, user, schema):
+        raise errors.ModelUnavailable("no network")
+
+
+def test_misses_go_to_the_model_and_stay_stored(spark, tmp_path):
+    store = str(tmp_path / "store")
+    scenes = spark.createDataFrame([("m", f"m:c0:s{i}", i, t, f"CHAPTER {i}" if i else None) for i, t in enumerate(("Ana sings", "Ben sleeps", "broken scene", "Ana sings"))], "manuscript_id string, scene_id string, order_narrative_global int, text string, title string")
+    keyed = layers.keyed(scenes, "m", "1", "1")
+    ask = lambda client, **how: model_path.completed(keyed, store, "extraction", EXTRACTION, layers.extraction_contract(), client, F.array(F.lit("Known")), F.col("title"), **how)
+    counts = lambda done: model_path.counters(done).first().asDict()
+    assert counts(ask(None)) == {"manuscript_id": "m", "scenes": 4, "cache_hits": 0, "written": 0, "failed": 0, "skipped": 4}
+    first = ask(Author).cache()
+    assert counts(first) == {"manuscript_id": "m", "scenes": 4, "cache_hits": 0, "written": 3, "failed": 1, "skipped": 0}
+    said = {r.order_narrative_global: r for r in first.collect()}
+    assert said[2].error.startswith("contract_violation") and said[2].response is None
+    assert said[1].response.notes == "Chapter: CHAPTER 1" and said[0].response.notes == 'Context: ["Known"]'
+    again = ask(None)
+    assert counts(again)["cache_hits"] == 3 and counts(again)["skipped"] == 1
+    assert {r.canonical_name for r in layers.character_layer(again)["character"].collect()} == {"Ana", "Ben"}
+    rows = spark.read.parquet(store).count()
+    forced = ask(Author, force=True)
+    assert counts(forced)["cache_hits"] == 0 and counts(forced)["written"] == 3 and spark.read.parquet(store).count() == rows + 3
+    with pytest.raises(Exception, match="no network"):
+        ask(Silent)
+    assert counts(ask(None))["cache_hits"] == 3
+
+
+def test_judge_is_asked_about_similar_names_with_quotes(spark):
+    c = lambda scene, name: ("m", scene, 0, name, [], "minor", "person")
+    rows = spark.createDataFrame([c(0, "Fitzwilliam Darcy"), c(1, "Georgiana Darcy"), c(2, "Ana"), c(3, "Darcy"), c(4, "Mrs. Hill")], resolution.CANDIDATE)
+    scenes = spark.createDataFrame([("m", i, f"text {i} " * 900) for i in range(5)], "manuscript_id string, order_narrative_global int, text string")
+    mentions = spark.createDataFrame([("m", "Fitzwilliam Darcy", f"quote {i} " * 100, f"id{i}", i) for i in range(5)], "manuscript_id string, canonical_name string, quote string, mention_id string, scene_order int")
+    asked = {(r.name_a, r.name_b): r.prompt for r in model_path.judge_questions(rows, scenes, mentions).collect()}
+    assert set(asked) == {("Fitzwilliam Darcy", "Georgiana Darcy"), ("Fitzwilliam Darcy", "Darcy"), ("Georgiana Darcy", "Darcy")}
+    prompt = asked["Fitzwilliam Darcy", "Darcy"]
+    assert "quote 2" in prompt and "quote 3" not in prompt and "text 3" in prompt and len(prompt) < 1500 + 3 * 320 + 500
+
+    class Judge:
+        def complete_structured(self, system, user, schema):
+            if "Georgiana" in user:
+                raise errors.ContractViolation("x")
+            return {"same_entity": True, "confidence": 0.95, "rationale": "one family"}
+
+    told = model_path.judgements(model_path.judge_questions(rows, scenes, mentions), Judge).collect()
+    assert [(r.name_a, r.name_b, r.same_entity, r.confidence) for r in told] == [("Fitzwilliam Darcy", "Darcy", True, 0.95)]
