@@ -49,3 +49,7 @@ class ContractViolation(EngineError):
 
 class NotMeasured(EngineError):
     code = "not_measured"
+
+
+class InconsistentGold(EngineError):
+    code = "inconsistent_gold"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.errors import ManuscriptNotFound, NotExtracted
+from loomtext.operators.evidence import first_appearances
 
 
 def structure(scenes: DataFrame) -> DataFrame:
@@ -15,6 +16,34 @@ def structure(scenes: DataFrame) -> DataFrame:
     return chapters.groupBy("manuscript_id").agg(F.array_sort(F.collect_list(F.struct("order_narrative", "scenes"))).alias("chapters"))
 
 
+def structure_summary(tables: dict[str, DataFrame], include_snippets: bool = True, snippet_len: int = 120) -> DataFrame:
+    """One row a manuscript of the raw layer: its counts, chapters with their scenes, and non-narrative blocks in order.
+
+    Manuscripts without chapters, and chapters without scenes, have empty arrays.
+    """
+    scene = ["order_in_chapter", "order_narrative_global", "char_count", "boundary_reason", *([F.substring("snippet", 1, snippet_len).alias("snippet")] if include_snippets else [])]
+    scenes = tables["scene"].groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct(*scene))).alias("scenes"))
+    chapters = tables["chapter"].join(scenes, "chapter_id", "left").withColumn("scenes", F.coalesce("scenes", F.array().cast(scenes.schema["scenes"].dataType)))
+    listed = chapters.groupBy("manuscript_id").agg(F.array_sort(F.collect_list(F.struct("order_narrative", "title", "kind", "word_count", F.size("scenes").alias("scene_count"), "scenes"))).alias("chapters"))
+    aside = tables["non_narrative_block"].withColumn("no", F.regexp_extract("block_id", r"(\d+)$", 1).cast("int"))
+    asides = aside.groupBy("manuscript_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "kind", "detected_by", "position"))), lambda x: F.struct(x["kind"].alias("kind"), x["detected_by"].alias("detected_by"), x["position"].alias("position"))).alias("non_narrative_blocks"))
+    rows = tables["manuscript"].join(listed, "manuscript_id", "left").join(asides, "manuscript_id", "left")
+    empty = lambda c, d: F.coalesce(c, F.array().cast(d.schema[c].dataType)).alias(c)
+    return rows.select("manuscript_id", "title", "source_format", "word_count", "chapter_count", "scene_count", empty("chapters", listed), empty("non_narrative_blocks", asides))
+
+
+def pending_count(candidates: DataFrame, manuscript_id: str) -> int:
+    """Merge candidates of a manuscript that wait for a decision."""
+    return candidates.where((F.col("manuscript_id") == manuscript_id) & (F.col("status") == "pending")).count()
+
+
+def characters_of(manuscript_id: str, characters: DataFrame, appearances: DataFrame, scenes: DataFrame, mentions: DataFrame, **how) -> DataFrame:
+    """character_list() of one manuscript with each one's first scene in narrative order and first quote there."""
+    own = characters.where(F.col("manuscript_id") == manuscript_id)
+    first = first_appearances(appearances, scenes, mentions).select("character_id", F.col("order_narrative_global").alias("first_order"), F.col("quote").alias("first_quote"))
+    return character_list(own, appearances, **how).join(first, "character_id", "left")
+
+
 def character_list(characters: DataFrame, appearances: DataFrame, role: str | None = None, include_mentioned_only: bool = True, order_by: str = "appearances") -> DataFrame:
     """Characters with their counts, the first scene in narrative order, and their place in the list.
 

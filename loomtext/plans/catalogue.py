@@ -549,7 +549,7 @@ d AS (SELECT a, b, event_id % 2 AS half, arg_min(rel_type, event_id) AS rel_type
     "q38_relation_metrics",
     _HALF_SQL
     + """, gb AS (SELECT g.*, unnest([g.provenance, 'all']) AS bucket FROM g), pb AS (SELECT p.*, unnest([p.provenance, 'all']) AS bucket FROM p),
-bg AS (SELECT bucket, count(*) AS n_gold, count(p.rel_type) AS found, count(*) FILTER (WHERE p.rel_type = gb.rel_type) AS typed FROM gb LEFT JOIN pb p ON p.bucket = gb.bucket AND p.a = gb.a AND p.b = gb.b GROUP BY ALL),
+bg AS (SELECT gb.bucket, count(*) AS n_gold, count(p.rel_type) AS found, count(*) FILTER (WHERE p.rel_type = gb.rel_type) AS typed FROM gb LEFT JOIN pb p ON p.bucket = gb.bucket AND p.a = gb.a AND p.b = gb.b GROUP BY ALL),
 bp AS (SELECT bucket, count(*) AS n_pred, count(g.rel_type) AS hits FROM pb LEFT JOIN g ON g.a = pb.a AND g.b = pb.b GROUP BY ALL),
 s AS (SELECT bucket, CAST(hits AS DOUBLE) / n_pred AS pr, CAST(found AS DOUBLE) / n_gold AS re, CAST(typed AS DOUBLE) / found AS ty FROM bg JOIN bp USING (bucket))
 SELECT bucket, round(pr, 9) AS precision, round(re, 9) AS recall, round(ty, 9) AS type_accuracy, round(2 * pr * re / (pr + re), 9) AS f1 FROM s""",

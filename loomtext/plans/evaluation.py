@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.errors import InconsistentGold, NotMeasured
 from loomtext.functions.ids import canonical_pair
 from loomtext.functions.names import fold
+from loomtext.functions.ratios import accuracy
 from loomtext.operators import metrics
 from loomtext.operators.reads import scene_coordinates
 from loomtext.schemas import GATE_KEYS
@@ -61,6 +63,60 @@ def gold_clusters(characters: DataFrame) -> DataFrame:
     return told.select(F.concat_ws("::", "m.scene", F.lower(F.trim("m.surface"))).alias("key"), F.col("gold_id").alias("cluster")).distinct()
 
 
+def annotated_clusters(characters: DataFrame) -> DataFrame | None:
+    """gold_clusters() of a work whose characters all have mentions; None if none has, an error if only some have."""
+    with_, all_ = characters.agg(F.count("mentions"), F.count("*")).first()
+    if not with_:
+        return None
+    if with_ != all_:
+        raise InconsistentGold(", ".join(r.gold_id for r in characters.where("mentions is null").select("gold_id").orderBy("gold_id").take(5)))
+    return gold_clusters(characters)
+
+
+def resolution_scores(characters: DataFrame, mentions: DataFrame, scenes: DataFrame) -> DataFrame | None:
+    """B-cubed scores of predicted mentions against annotated ones; None where the gold has no mentions."""
+    told = annotated_clusters(characters)
+    return None if told is None else metrics.bcubed(told, mention_clusters(mentions, scenes))
+
+
+def first_matches(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(work, gold, pred): for each gold entity the first prediction in list order whose names meet, taken or not."""
+    return overlaps(gold, predicted).groupBy("work", F.col("gold.ident").alias("gold")).agg(F.min(F.col("pred"))["ident"].alias("pred"))
+
+
+def silent_bad_merges(gold: DataFrame, predicted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(work, x, y, pred): gold entities without a common name that became one prediction, no candidate of theirs covering it.
+
+    candidates: (work, a, b), structs of canonical_name and aliases, of any status. First matches of one prediction are
+    compared with each other only, so a prediction that swallowed many gold entities gives as many pairs as it deserves.
+    """
+    first = first_matches(gold, predicted)
+    x, y = first.select("work", "pred", F.col("gold").alias("x")), first.select("work", "pred", F.col("gold").alias("y"))
+    one = x.join(y, ["work", "pred"]).where("x < y")
+    mine = folded_names(gold).select("work", "ident", "name")
+    alike = mine.withColumnRenamed("ident", "x").join(mine.withColumnRenamed("ident", "y"), ["work", "name"]).where("x < y").select("work", "x", "y").distinct()
+    every = lambda c: F.explode(F.array_union(F.array(f"{c}.canonical_name"), F.coalesce(f"{c}.aliases", F.array().cast("array<string>"))))
+    numbered = candidates.distinct().withColumn("n", F.xxhash64("work", "a", "b"))
+    touched = lambda c: numbered.select("work", "n", every(c).alias("name")).withColumn("name", fold(F.col("name"))).where("name <> ''").join(mine, ["work", "name"]).select("work", "n", F.col("ident").alias(c)).distinct()
+    known = touched("a").join(touched("b"), ["work", "n"]).where("a <> b").select("work", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    return one.join(alike, ["work", "x", "y"], "left_anti").join(known, ["work", "x", "y"], "left_anti").select("work", "x", "y", "pred")
+
+
+def segmentation(annotations: DataFrame, scenes: DataFrame) -> DataFrame:
+    """manuscript_id, chapter_accuracy and separator_accuracy, from (manuscript_id, expected_chapters, expected_separators)."""
+    found = scenes.groupBy("manuscript_id").agg(F.count_distinct("order_narrative").alias("chapters"), F.count_if(F.col("boundary_reason") == "separator").alias("separators"))
+    rows = annotations.join(found, "manuscript_id", "left")
+    score = lambda c: accuracy(F.coalesce(c, F.lit(0)), F.col(f"expected_{c}"))
+    return rows.select("manuscript_id", score("chapters").alias("chapter_accuracy"), score("separators").alias("separator_accuracy"))
+
+
+def skipped_or_failed(reason: str, strict: str | None) -> str:
+    """The reason to skip a gate that can't be measured; an error if strict is exactly "1"."""
+    if strict == "1":
+        raise NotMeasured(reason)
+    return reason
+
+
 def relations(gold: DataFrame, relates_to: DataFrame, aligned: DataFrame) -> DataFrame:
     """relation_metrics of one work; gold pairs without a counterpart stay and are misses."""
     to = lambda c: aligned.select(F.col("gold").alias(c), F.col("pred").alias(f"{c}_id"))

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from loomtext.plans import more_queries  # noqa: F401
 from loomtext.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

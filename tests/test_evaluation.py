@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.errors import NotMeasured
+from loomtext.errors import InconsistentGold, NotMeasured
 from loomtext.operators import metrics
 from loomtext.plans import evaluation as E
+from loomtext.plans import wipe
 from loomtext.sources import gold as G
 
 
@@ -85,3 +86,27 @@ def test_relation_buckets(spark):
     assert (by["all"].precision, by["all"].recall, by["all"].type_accuracy) == (1.0, 1.0, 1.0)
     nothing = spark.createDataFrame([], schema)
     assert {(r.bucket, r.precision, r.recall, r.f1, r.type_accuracy) for r in metrics.relation_metrics(nothing, nothing).collect()} == {(b, 1.0, 1.0, 1.0, None) for b in ("extracted", "inferred", "all")}
+
+
+def test_gold_without_mentions_is_no_score_and_half_annotated_is_an_error(spark):
+    schema = "work string, gold_id string, mentions array<struct<scene:string,surface:string>>"
+    rows = lambda *x: spark.createDataFrame(x, schema)
+    mentions = spark.createDataFrame([("s0", "Ana", "name", "p1")], "scene_id string, surface string, kind string, character_id string")
+    scenes = spark.createDataFrame([("s0", 0, 0)], "scene_id string, order_narrative int, order_in_chapter int")
+    assert E.resolution_scores(rows(("w", "a", None), ("w", "b", None)), mentions, scenes) is None
+    with pytest.raises(InconsistentGold, match="b"):
+        E.resolution_scores(rows(("w", "a", [("c0/s0", "Ana")]), ("w", "b", None)), mentions, scenes)
+    assert E.resolution_scores(rows(("w", "a", [("c0/s0", "ANA ")]), ("w", "b", [])), mentions, scenes).first().f1 == 1.0
+    assert E.skipped_or_failed("no graph", None) == E.skipped_or_failed("no graph", "true") == "no graph"
+    with pytest.raises(NotMeasured):
+        E.skipped_or_failed("no graph", "1")
+
+
+def test_wipes(spark):
+    tables = {n: spark.createDataFrame([("m", f"{n}1"), ("o", f"{n}2")], "manuscript_id string, character_id string") for n in ("character", "mention", "merge_candidate", "scene")}
+    tables["appears_in"] = spark.createDataFrame([("character1", "s"), ("character2", "t")], "character_id string, scene_id string")
+    assert {(r.table_name, r.rows) for r in wipe.preview(tables, "m").collect()} == {("character", 1), ("mention", 1), ("merge_candidate", 1)}
+    left = wipe.wiped(tables, "m")
+    assert {n: d.count() for n, d in left.items()} == {"character": 1, "mention": 1, "merge_candidate": 1, "scene": 2, "appears_in": 1}
+    ids = lambda **how: sorted(r.character_id for r in wipe.wiped_ids(tables["character"], "character_id", **how).collect())
+    assert ids() == ids(ids=[]) == ids(prefix="") == ["character1", "character2"] and ids(ids=["character1"]) == ["character2"] and ids(prefix="char") == []
