@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import names as N
@@ -34,40 +32,26 @@ def lookup(asked: DataFrame, forms: DataFrame) -> DataFrame:
     return asked.join(per_base, "base", "left").withColumn("canonical", F.when(F.col("by_title").isNotNull(), answer)).drop("by_title")
 
 
-def _split(name: str) -> tuple[str, str]:
-    folded = fold_text(name)
-    found = re.match(rf"({'|'.join(N.HONORIFICS)})\.?\s+(\S.*)", folded, re.S)
-    return (found[1], found[2].strip()) if found else ("", folded)
-
-
-def _similar(a: str, b: str) -> tuple[bool, bool]:
-    (t, x), (u, y) = _split(a), _split(b)
-    if t and u and t != u:
-        return False, False
-    if x == y:
-        return True, True
-    xs, ys = x.split(), y.split()
-    if x in y or y in x:
-        short, long = (x, ys) if len(x) < len(y) else (y, xs)
-        return True, not (len(long) > 1 and short == long[-1])
-    if len(xs) > 1 and len(ys) > 1 and xs[-1] == ys[-1]:
-        return True, xs[:-1] == ys[:-1]
-    return False, False
-
-
 @dataclass
 class Registry:
-    """Entities of one manuscript in the order they came, and which forms of a base stand for which."""
+    """Entities of one manuscript in the order they came, and which forms of a base stand for which.
+
+    splits: (honorific, base) of names, as names.split_honorific() has them; a name that is not there has no honorific.
+    """
 
     entries: dict[str, dict] = field(default_factory=dict)
     forms: dict[str, dict[str, str]] = field(default_factory=dict)
+    splits: dict[str, tuple[str, str]] = field(default_factory=dict)
+
+    def split(self, name: str) -> tuple[str, str]:
+        return self.splits.get(name) or ("", fold_text(name))
 
     def note(self, name: str, canonical: str) -> None:
-        title, base = _split(name)
+        title, base = self.split(name)
         self.forms.setdefault(base, {})[title] = canonical
 
     def find(self, name: str) -> str | None:
-        title, base = _split(name)
+        title, base = self.split(name)
         known = self.forms.get(base, {})
         if title in known:
             return known[title]
@@ -101,20 +85,25 @@ class Registry:
             self.note(name, a)
 
 
-Judge = Callable[[dict, dict], dict | None]
+#: From a known and a new name to what was said of them: same_entity, confidence, rationale, and auto, whether a sure answer
+#: merges without a review; None for names that are not similar or were not judged.
+Judge = Callable[[str, str], dict | None]
 
 
 def fold(candidates: pd.DataFrame, decisions: dict[tuple[str, str], str], judge: Judge | None, registry: Registry | None = None, add_merged_name: bool = False) -> tuple[list[tuple], Registry]:
     """Resolve candidates in order; each needs only the registry before it. Rows as in RESOLVED, without the manuscript."""
     registry = registry or Registry()
+    for c in candidates.itertuples():
+        registry.splits |= {c.canonical_name: (c.split["honorific"], c.split["base"])} | {x["alias"]: (x["honorific"], x["base"]) for x in c.forms}
     rows = []
     for c in candidates.sort_values(["scene_order", "pos"]).itertuples():
-        name, aliases = c.canonical_name, list(c.valid_aliases)
+        name, every = c.canonical_name, [x["alias"] for x in c.forms]
+        aliases = [x["alias"] for x in c.forms if x["valid"]]
         outcome, target, confidence, why = "new", None, None, None
         if c.filtered:
             rows.append((c.scene_order, c.pos, name, None, "filtered", None, None))
             continue
-        target = next((t for t in map(registry.find, [name, *c.aliases]) if t), None)
+        target = next((t for t in map(registry.find, [name, *every]) if t), None)
         if target:
             outcome = "merged"
         else:
@@ -125,8 +114,8 @@ def fold(candidates: pd.DataFrame, decisions: dict[tuple[str, str], str], judge:
                 if decision == "accepted":
                     outcome, target = "merged", known
                     break
-                similar, auto = _similar(name, known)
-                said = judge({"canonical_name": known, **registry.entries[known]}, {"canonical_name": name, "aliases": list(c.aliases), "role": c.role}) if similar else None
+                said = judge(known, name)
+                auto = bool(said) and said["auto"]
                 if said and said["same_entity"] and said["confidence"] >= (AUTO_MERGE if auto else QUEUE):
                     confidence, why = said["confidence"], said["rationale"]
                     outcome, target = ("merged", known) if auto else ("queued", known)
@@ -142,27 +131,29 @@ def fold(candidates: pd.DataFrame, decisions: dict[tuple[str, str], str], judge:
     return rows, registry
 
 
-def with_validity(candidates: DataFrame) -> DataFrame:
-    """Adds filtered and valid_aliases: decided for all rows at once, before the fold."""
-    return candidates.withColumn("filtered", N.is_collective(F.col("canonical_name")) | N.is_unnamed(F.col("canonical_name"))).withColumn("valid_aliases", F.coalesce(_valid_aliases(), F.array().cast("array<string>")))
-
+def with_forms(candidates: DataFrame) -> DataFrame:
+    """Adds filtered, split (of the name) and forms (the aliases in order, split, and whether each is valid): decided for
+    all rows at once, before the fold."""
+    key = ["manuscript_id", "scene_order", "pos"]
+    every = candidates.select(*key, F.posexplode("aliases").alias("i", "alias")).where("alias <> ''").withColumn("s", N.split_honorific(N.fold(F.col("alias"))))
+    told = every.withColumn("valid", N.is_valid_alias(F.col("alias"))).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "alias", "s.honorific", "s.base", "valid"))).alias("forms"))
+    rows = candidates.join(told, key, "left").withColumn("forms", F.coalesce("forms", F.array().cast(told.schema["forms"].dataType)))
+    return rows.withColumn("filtered", N.is_collective(F.col("canonical_name")) | N.is_unnamed(F.col("canonical_name"))).withColumn("split", N.split_honorific(N.fold(F.col("canonical_name"))))
 
-def _valid_aliases() -> Column:
-    def keep(column: pd.Series) -> pd.Series:
-        return column.map(lambda xs: [x for x in (xs if xs is not None else []) if x and valid_alias(x)])
 
-    return F.pandas_udf(keep, "array<string>")("aliases")
+TOLD = "manuscript_id string, name_a string, name_b string, status string, same_entity boolean, confidence double, rationale string, auto boolean"
 
 
-def valid_alias(alias: str) -> bool:
-    """The rule of functions.names.is_valid_alias for one name."""
-    folded = fold_text(alias)
-    if not folded or folded in N.PRONOUNS:
-        return False
-    head = re.sub(rf"^(?:{'|'.join(N.ALIAS_PREFIXES)})\s+", "", folded, flags=re.I).strip()
-    bare = re.sub(rf"^(?:{'|'.join(N.ARTICLES)})\s+", "", alias.strip(), flags=re.I)
-    kin = [re.match(p, bare, re.I) for p in (r"(\S+)\s+(?:de|of)\s+\S+", r".+'s\s+(\S+)\s*$")]
-    return head not in N.KIN and bool(bare) and not any(m and fold_text(m[1]) in N.KIN for m in kin) and any(t[:1].isupper() for t in bare.split())
+def _told(spark: SparkSession, decisions: DataFrame | None, judgements: DataFrame | None) -> DataFrame:
+    """Decisions, and the judgements of similar names, as rows of TOLD."""
+    out = spark.createDataFrame([], TOLD)
+    if decisions is not None:
+        out = out.unionByName(decisions.select("manuscript_id", "name_a", "name_b", "status"), allowMissingColumns=True)
+    if judgements is not None:
+        split = lambda c: N.split_honorific(N.fold(F.col(c)))
+        said = judgements.select("manuscript_id", "name_a", "name_b", "same_entity", "confidence", "rationale", N.similarity(split("name_a"), split("name_b")).alias("s")).where("s.similar")
+        out = out.unionByName(said.withColumn("auto", F.col("s.auto")).drop("s"), allowMissingColumns=True)
+    return out
 
 
 def resolved(candidates: DataFrame, decisions: DataFrame | None = None, judgements: DataFrame | None = None) -> DataFrame:
@@ -170,22 +161,19 @@ def resolved(candidates: DataFrame, decisions: DataFrame | None = None, judgemen
 
     decisions: (manuscript_id, name_a, name_b, status) of earlier reviews; judgements: (manuscript_id, name_a, name_b,
     same_entity, confidence, rationale), the stored answers to "are these one person?". Without judgements only
-    deterministic merges happen.
+    deterministic merges happen. scene_order and pos name a candidate within its manuscript.
     """
-    pack = lambda d: d.groupBy("manuscript_id").agg(F.to_json(F.collect_list(F.struct(*[c for c in d.columns if c != "manuscript_id"]))).alias("told"))
-    rows = with_validity(candidates)
-    for name, told in (("decisions", decisions), ("judgements", judgements)):
-        rows = rows.join(pack(told).withColumnRenamed("told", name), "manuscript_id", "left") if told is not None else rows.withColumn(name, F.lit(None).cast("string"))
     ask = judgements is not None
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        pairs = lambda text: {tuple(sorted((x["name_a"], x["name_b"]))): x for x in json.loads(text or "[]")}
-        earlier = {k: v["status"] for k, v in pairs(first["decisions"]).items()}
-        answers = pairs(first["judgements"])
-        judge = (lambda known, new: answers.get(tuple(sorted((known["canonical_name"], new["canonical_name"]))))) if ask else None
+    pair = lambda x: tuple(sorted((x.name_a, x.name_b)))
+
+    def run(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame([], columns=[x.split()[0] for x in RESOLVED.split(", ")])
+        earlier = {pair(x): x.status for x in told.itertuples() if x.status is not None and x.status == x.status}
+        answers = {pair(x): {"same_entity": bool(x.same_entity), "confidence": x.confidence, "rationale": x.rationale, "auto": bool(x.auto)} for x in told.itertuples() if x.auto is not None and x.auto == x.auto}
+        judge = (lambda known, new: answers.get(tuple(sorted((known, new))))) if ask else None
         found, _ = fold(frame, earlier, judge)
-        return pd.DataFrame([(first["manuscript_id"], *r) for r in found], columns=[x.split()[0] for x in RESOLVED.split(", ")])
-
-    return rows.groupBy("manuscript_id").applyInPandas(run, RESOLVED)
+        return pd.DataFrame([(frame["manuscript_id"].iloc[0], *r) for r in found], columns=[x.split()[0] for x in RESOLVED.split(", ")])
 
+    told = _told(candidates.sparkSession, decisions, judgements)
+    return with_forms(candidates).groupBy("manuscript_id").cogroup(told.groupBy("manuscript_id")).applyInPandas(run, RESOLVED)
