@@ -35,6 +35,7 @@ LEAF = 64
 LEAF_SHINGLES = 100_000  # of a leaf of a large root, all its classes together
 SHARED = 50  # shingles for which linked sets share one root more
 FREQUENT = 5  # log2 of the least count of a shingle that the order knows as frequent
+WHOLE = 4_096  # rows of a root whose sizes a task compares
 MOST_FREQUENT = 1 << 20  # shingles the order knows at most; the others count as rare
 RUN = 4_000_000  # shingles a task counts together
 
@@ -147,22 +148,45 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return own_id(docs).withColumn("tid", text_id()).mapInArrow(scan, "doc_id long, tid long, n long, key long, roots array<long>")
 
 
-def company(stands: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """root, key, n and size_step of the rows (root, key) of sets that may be linked, under roots that they may share.
+def company(stands: DataFrame, percent: int) -> DataFrame:
+    """root, key and n of the rows (root, key, n) of sets that may be linked, under roots that they may share.
 
-    Sizes of linked sets are in the same step or in neighbouring ones. A set stays if it shares as many roots with sets
-    of such sizes as linked sets do at least. Counts and minima of partial groups decide, never a group as a whole.
+    A set stays under a root if a set of a size within the threshold stands there too, and stays at all if it stays
+    under as many roots as linked sets share at least. Sizes are compared where a task has all rows of a root; the rows
+    of a root of more than WHOLE, or of one that is dealt to several tasks, all stay.
     """
-    again = stands.groupBy("root").count().where("count > 1").select("root")
-    step = math.log(100 / percent) * 1.001 if percent < 100 else 1.0
-    met = stands.join(written(again, "jaccard-roots").hint("merge"), "root", "left_semi").distinct().join(sizes, "key")
-    met = written(met.withColumn("size_step", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "jaccard-met")
-    cells = met.groupBy("root", "size_step").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    around = cells.select("root", F.explode(F.array(*[F.col("size_step") + d for d in (-1, 0, 1)])).alias("size_step"), "least", "most")
-    shared = around.groupBy("root", "size_step").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("root", "size_step")
-    held = written(met.join(shared.hint("merge"), ["root", "size_step"], "left_semi"), "jaccard-held")
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def with_neighbours(x: pa.Table) -> list[pa.RecordBatch]:
+            root, n, count = (x.column(c).to_numpy() for c in ("root", "n", "count"))
+            order = np.lexsort((n, root))
+            r, m = root[order], n[order]
+            near = (r[1:] == r[:-1]) & (100 * m[:-1] >= percent * m[1:])
+            stays = np.append(False, near) | np.append(near, False)
+            first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            here = np.repeat(np.diff(np.append(first, len(r))), np.diff(np.append(first, len(r))))
+            stays |= here < count[order]
+            return x.select(["root", "key", "n"]).take(pa.array(order[stays])).combine_chunks().to_batches(len(r) or 1)
+
+        held: pa.Table | None = None
+        for batch in batches:
+            hot = batch.column("count").to_numpy() > WHOLE
+            yield batch.select(["root", "key", "n"]).filter(pa.array(hot))
+            own = pa.Table.from_batches([batch.filter(pa.array(~hot))])
+            held = own if held is None else pa.concat_tables([held, own])
+            root = held.column("root").to_numpy()
+            other = np.flatnonzero(root != root[-1]) if len(root) else np.zeros(0, np.int64)
+            if len(other):
+                yield from with_neighbours(held.slice(0, int(other[-1]) + 1))
+                held = held.slice(int(other[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield from with_neighbours(held)
+
+    again = written(stands.groupBy("root").count().where("count > 1"), "jaccard-roots")
+    met = stands.join(again.hint("merge"), "root").sortWithinPartitions("root").select("root", "key", "n", "count")
+    held = written(met.mapInArrow(sized, "root long, key long, n long"), "jaccard-held")
     enough = held.groupBy("key").agg(F.count("*").alias("roots"), F.min("n").alias("n")).where(F.col("roots") >= least_shared(F.ceil(F.col("n") * percent / 100)))
-    return held.join(enough.select("key").hint("merge"), "key", "left_semi").select("root", "key", "n", "size_step")
+    return held.join(enough.select("key").hint("merge"), "key", "left_semi").select("root", "key", "n").distinct()
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -358,8 +382,9 @@ def _least() -> tuple[Column, Column]:
 def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, tid, n and key of every document; key, label of its component, doc_id and tid of every class."""
     own = written(classes(docs, k, percent), "jaccard-docs")
-    every = written(own.where("n > 0").groupBy("key").agg(*_least(), F.min("n").alias("n")), "jaccard-classes")
-    under = written(company(own.where("roots is not null").select(F.explode("roots").alias("root"), "key"), every.select("key", "n"), percent), "jaccard-under")
+    every = written(own.where("n > 0").groupBy("key").agg(*_least()), "jaccard-classes")
+    step = math.log(100 / percent) if percent < 100 else 1.0
+    under = written(company(own.where("roots is not null").select(F.explode("roots").alias("root"), "key", "n"), percent).withColumn("size_step", F.floor(F.log(F.col("n").cast("double")) / step)), "jaccard-under")
     sets = written(class_sets(docs, every.join(under.select("key").distinct(), "key", "left_semi"), k), "jaccard-sets")
     least = under.groupBy("root", "size_step").agg(F.min("key").alias("b"))
     stars = under.join(least, ["root", "size_step"]).where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("shared"))

@@ -165,6 +165,18 @@ def test_spanning_links_connect_what_is_linked():
         assert parts(need) == parts([(back[a], back[b]) for a, b in told]) and len(told) < 11
 
 
+def test_company_keeps_whoever_may_be_linked(spark, monkeypatch):
+    """Rows of a root with a size within the threshold stay, hot roots and roots in several tasks whole."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(60), k, rng.choice([20, 21, 30, 33, 60, 66, 90, 400])) for k in range(300)]
+    rows += rows[:20] + [(999, 1000 + i, 10 + 40 * i) for i in range(30)]
+    frame = spark.createDataFrame(rows, "root long, key long, n long").repartition(5)
+    near = {r for r in rows if any(o[0] == r[0] and o is not r and 10 * min(o[2], r[2]) >= 9 * max(o[2], r[2]) for o in rows)}
+    got = {tuple(r) for r in jaccard.company(frame, 90).collect()}
+    want = {r for r in near if sum(o[1] == r[1] for o in near) >= jaccard.least_shared(-(-r[2] * 90 // 100))}
+    assert want <= got and got - want <= set(rows[:20]) and not any(r[0] == 999 and r[2] < 300 for r in got)  # a row that stands there twice may stay
+
+
 def test_trees_of_large_roots(spark, monkeypatch):
     """Near copies of which few are linked with one another: leaves of a few sets, all paired through the trees."""
     monkeypatch.setattr(jaccard, "LEAF", 4)
