@@ -11,7 +11,8 @@ for prefix doubling: no offsets double, and no pairs of ranks are sorted.
   its group stays, as a witness for others;
 * the other ranges are split into the cells of the next round, whose cores and hulls are hashed anew.
 
-The last ranges are single windows, so the result is exact, up to collisions of 128-bit hashes. Only ranks, positions
+The last ranges are single windows, so the result is exact, up to collisions of hashes: of 128 bits for windows, and of
+64 bits for whole texts, which are told apart by xxhash64. Only ranks, positions
 and the texts of documents that still have open ranges move.
 """
 
