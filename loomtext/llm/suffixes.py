@@ -212,8 +212,10 @@ def without_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
 
     Every byte covered by a string of `size` bytes that also starts elsewhere, in any document or the same, is removed;
     strings are judged on the input. A null text is empty; an empty text has nothing to remove. Texts shorter than
-    `size` stay whole. Repeated rows are copies of each other. Columns other than doc_id and text are not looked at.
+    `size`, which must be over SAMPLE, stay whole. Repeated rows are copies of each other. Columns other than doc_id and text are not looked at.
     """
+    if size <= SAMPLE:
+        raise ValueError(f"strings of more than {SAMPLE} bytes only")
     own = written(_documents(docs), "suffix-documents")
     found, texts = repeated(docs, own, size)
     ranges = found.groupBy("tid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
