@@ -139,7 +139,7 @@ def learnt(labelled: DataFrame, most_rules: int = 6, longest: int = 3, precision
     bad rows. No labelled rows, or none that are bad, give no rules.
     """
     rows = written(labelled.withColumn("grow", F.pmod(F.xxhash64("doc_id", F.lit("grow")), F.lit(3)) > 0), "quality-labelled")
-    cuts = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), [k / 20 for k in range(1, 20)], 1000).alias(f) for f in FEATURES], *[F.min(f).alias(f"least_{f}") for f in FEATURES]).first()
+    cuts = rows.agg(*[F.percentile(F.col(f).cast("double"), [k / 20 for k in range(1, 20)]).alias(f) for f in FEATURES], *[F.min(f).alias(f"least_{f}") for f in FEATURES]).first()
     edges = {f: sorted({x for x in cuts[f] or [] if x > cuts[f"least_{f}"]}) for f in FEATURES}
     edges = {f: e for f, e in edges.items() if e}
     rules: list[Rule] = []
