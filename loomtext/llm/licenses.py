@@ -6,12 +6,13 @@ class c, the least power of two from m up; texts are cut into windows of c + max
 max(1, c / 2), so a passage of up to c shingles lies whole in one. Such a window has a Jaccard similarity of a quarter
 or more with a template of which it contains four fifths, and with BANDS bands of one row it collides with it with a
 probability of 1 - (3 / 4) ** BANDS or more, which is 0.9999. Candidates are verified exactly by the share of the
-template's shingles that the window contains. Only windows that share a shingle with any template are hashed: others
-contain none.
+template's shingles that the window contains. Only windows that share a shingle with a template of their class are hashed,
+and none of a class of which the text has fewer shingles than its shortest template needs.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,11 +63,16 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return held.withColumn("class", F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles")))).cast("int")).drop("text")
 
 
-def _spots(size: int) -> Column:
-    """The windows of a size class that cover a hit, as structs of class, start (from 1) and length."""
+def _spots(size: int, known: list[int], least_hits: int) -> Column:
+    """The windows of a size class that cover a hit, as structs of class, start (from 1) and length.
+
+    A hit is a place with a shingle of the class's templates (known); with fewer hits than any of them needs there is none.
+    """
     step = max(1, size // 2)
     length = size + step
-    numbers = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(F.greatest(F.lit(0), F.floor((h - length + step - 1) / step).cast("int")), F.floor((h - 1) / step).cast("int")))))
+    own = F.array_intersect("common", F.array(*map(F.lit, known)))
+    places = F.when(F.size(own) >= least_hits, F.filter("hits", lambda h: F.array_contains(own, F.get("shingles", h - 1)))).otherwise(F.array().cast("array<int>"))
+    numbers = F.array_distinct(F.flatten(F.transform(places, lambda h: F.sequence(F.greatest(F.lit(0), F.floor((h - length + step - 1) / step).cast("int")), F.floor((h - 1) / step).cast("int")))))
     return F.transform(numbers, lambda j: F.struct(F.lit(size).alias("class"), (j * step + 1).alias("start"), F.lit(length).alias("length")))
 
 
@@ -89,7 +95,10 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     texts = shingled(own_id(docs)).select("doc_id", "shingles", F.monotonically_increasing_id().alias("row")).where(F.arrays_overlap("shingles", any_of))
     common = texts.withColumn("common", F.array_intersect("shingles", any_of))
     held = common.withColumn("hits", F.filter(F.sequence(F.lit(1), F.size("shingles")), lambda i: F.array_contains("common", F.get("shingles", i - 1))))
-    spots = F.flatten(F.array(*[_spots(c) for c in sorted({r["class"] for r in found})]))
+    parts: dict[int, dict[int, set[int]]] = {}
+    for r in found:
+        parts.setdefault(r["class"], {}).setdefault(r["template"], set()).add(r["s"])
+    spots = F.flatten(F.array(*[_spots(c, sorted(set().union(*own.values())), min(math.ceil(least * len(x) - 1e-9) for x in own.values())) for c, own in sorted(parts.items())]))
     windows = held.select("row", "doc_id", "shingles", F.explode(spots).alias("at")).select("row", "doc_id", "at.class", "at.start", F.slice("shingles", F.col("at.start"), F.col("at.length")).alias("window"))
     hashed = windows.withColumn("bands", minhashes("window")).select("row", "doc_id", "class", "start", "window", F.posexplode("bands").alias("band", "value"))
     index = known.withColumn("bands", minhashes("shingles")).select("template", "class", F.posexplode("bands").alias("band", "value"))
