@@ -46,16 +46,18 @@ def tokens() -> Column:
     return F.array_distinct(F.concat(levels, words, steps))
 
 
-def mined_rules(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, groups: int = 1) -> DataFrame:
+def mined_rules(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, groups: int = 1, only: str | None = None) -> DataFrame:
     """Rules (rule_id, items, label, confidence, support) from rows of (tokens, label) and, for groups over 1, group.
 
     A rule must hold in so many groups: with the confidence asked for among the rows of each on which it fires. It is
-    dropped if a rule with fewer of its tokens says the same. No labelled rows give no rules.
+    dropped if a rule with fewer of its tokens says the same. only: rules of that label alone. No labelled rows give no
+    rules.
     """
     label = lambda x: F.concat(F.lit("="), x)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(F.concat("tokens", F.array(label(F.col("label")))).alias("items")))
     rules = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
     said = F.col("consequent")[0]
+    rules = rules if only is None else rules.where(said == f"={only}")
     rules = rules.select(F.array_sort("antecedent").alias("items"), F.substring(said, F.lit(2), F.length(said)).alias("label"), "confidence", "support")
     rules = written(rules.withColumn("rule_id", F.xxhash64(F.array_join("items", " "), "label")), "url-rules")
     if groups > 1:
@@ -92,13 +94,13 @@ def judged(pages: DataFrame, labels: DataFrame | None = None, support: float = 0
     labels, if given, are rows of (page_id, label) with label allow or block to mine from. Else every page is an
     example: with the verdict of the base rule that fits it, or allow if none does, so that what base rules say of some
     paths of a domain is not taken for the whole domain; and a rule must hold among the pages of two base rules, else it
-    would only say again what one of them says. Where no mined rule fires the verdict is allow. Several labels of one
+    would only say again what one of them says. Only rules that block are mined then: where none fires the verdict is allow. Several labels of one
     page each count as an example.
     """
     parts = written(with_parts(pages).withColumn("base", base_rule()).withColumn("tokens", tokens()), "url-parts")
     if labels is not None:
         rules = mined_rules(parts.join(labels.select("page_id", "label"), "page_id"), support, confidence)
     else:
-        rules = mined_rules(parts.select("tokens", F.coalesce("base.verdict", F.lit("allow")).alias("label"), F.coalesce("base.rule", F.lit("")).alias("group")), support, confidence, groups=2)
+        rules = mined_rules(parts.select("tokens", F.coalesce("base.verdict", F.lit("allow")).alias("label"), F.coalesce("base.rule", F.lit("")).alias("group")), support, confidence, groups=2, only="block")
     out = verdicts(parts, rules)
     return out.select("page_id", "host", "path", F.col("base.rule").alias("rule"), F.coalesce("base.verdict", "mined").alias("verdict"))
