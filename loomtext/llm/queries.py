@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontaminate, jaccard, licenses, lm, packing, pii, quality, suffixes, toxicity, urls
+from loomtext.llm import boosted, decontaminate, hamerly, jaccard, licenses, lm, packing, pii, quality, segmentcodes, suffixes, toxicity, urls
 from loomtext.llm.shared import table
 
 
@@ -62,6 +62,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.clustered(table(spark, sf_dir, "embeddings"), dims=64, scale=64, k=16, rounds=3, seed=1).drop("measured")
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = boosted.scored(docs, boosted.trained(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", boosted.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segmentcodes.encoded(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
@@ -73,5 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
     "op6_license_scan": op6_license_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES: dict[str, str] = {"op1_lm_scoring": lm.ORACLE}
+ORACLES: dict[str, str] = {"op1_lm_scoring": lm.ORACLE, "op11_centroid_clustering": hamerly.oracle(), "op13_vector_codes": segmentcodes.oracle()}

@@ -31,6 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> None:
+    """Remove a table of written() that nothing reads any more. Only folders below shared_dir() are touched."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(shared_dir(spark)).toUri().getPath()
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        at = path(folder)
+        if at.getParent().toUri().getPath() == root:
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
