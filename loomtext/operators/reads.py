@@ -9,6 +9,11 @@ from loomtext.errors import ManuscriptNotFound, NotExtracted
 from loomtext.operators.evidence import first_appearances
 
 
+def mentions_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Mentions with their characters, a row for each edge: mention_node rows joined with has_mention."""
+    return nodes.join(edges.select("mention_id", "character_id"), "mention_id")
+
+
 def structure(scenes: DataFrame) -> DataFrame:
     """One row a manuscript: chapters in order, each with its scenes in order, as nested arrays."""
     columns = [c for c in ("order_in_chapter", "scene_id", "order_narrative_global", "start_offset", "end_offset", "boundary_reason", "snippet") if c in scenes.columns]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import names as N
@@ -15,6 +15,8 @@ from loomtext.functions.names import fold_text
 AUTO_MERGE, QUEUE = 0.9, 0.5
 CANDIDATE = "manuscript_id string, scene_order long, pos long, canonical_name string, aliases array<string>, role string, entity_kind string"
 RESOLVED = "manuscript_id string, scene_order long, pos long, canonical_name string, resolved_name string, outcome string, confidence double, rationale string"
+#: What a candidate changed: the entity it was added to, the forms that stand for it from then on, in the order they were written, and all its aliases.
+CHANGED = "linked_name string, written array<struct<honorific:string,base:string>>, known_aliases array<string>"
 
 
 def lookup(asked: DataFrame, forms: DataFrame) -> DataFrame:
@@ -32,6 +34,35 @@ def lookup(asked: DataFrame, forms: DataFrame) -> DataFrame:
     return asked.join(per_base, "base", "left").withColumn("canonical", F.when(F.col("by_title").isNotNull(), answer)).drop("by_title")
 
 
+def form_history(outcome: DataFrame) -> DataFrame:
+    """The versioned table of forms, from rows of RESOLVED and CHANGED: (manuscript_id, base, honorific, canonical, and
+    scene_order, pos, nth, since when). Of several writes of a form the last before a moment holds at it."""
+    return outcome.select("manuscript_id", "scene_order", "pos", F.col("linked_name").alias("canonical"), F.posexplode("written").alias("nth", "form")).select(
+        "manuscript_id", "form.base", "form.honorific", "canonical", "scene_order", "pos", "nth"
+    )
+
+
+def lookup_at(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """Adds canonical to rows of asked (manuscript_id, scene_order, honorific, base, ...): what lookup() says of the forms
+    written up to the end of that scene.
+
+    An as-of join: forms and what is asked stand in one line per base, where running windows carry the last write of the
+    form, the last of the whole base and the number of its forms. Each question of a scene stands in that line once,
+    so a name that all mentions of a manuscript ask for weighs as much as one that each scene asks for.
+    """
+    key, moment = ["manuscript_id", "base"], ["manuscript_id", "scene_order", "base", "honorific"]
+    asks = asked.select(*moment).distinct().withColumns({"asks": F.lit(1), "pos": F.lit(0).cast("long"), "nth": F.lit(0), "canonical": F.lit(None).cast("string")})
+    line = history.select(*moment, F.lit(0).alias("asks"), F.col("pos").cast("long").alias("pos"), "nth", "canonical").unionByName(asks).repartition(*key)
+    order = ["scene_order", "asks", "pos", "nth"]
+    of_form, of_base = (Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for by in ([*key, "honorific"], key))
+    wrote = F.when(F.col("asks") == 0, F.struct("honorific", "canonical"))
+    first = (F.col("asks") == 0) & (F.count(F.when(F.col("asks") == 0, 1)).over(of_form) == 1)
+    told = line.withColumns({"exact": F.last("canonical", ignorenulls=True).over(of_form), "is_first": first.cast("int")}).withColumns({"forms": F.sum("is_first").over(of_base), "last": F.last(wrote, ignorenulls=True).over(of_base)})
+    only = (F.col("forms") == 1) & ((F.col("honorific") == "") | (F.col("last.honorific") == ""))
+    answers = told.where("asks = 1").select(*moment, F.coalesce("exact", F.when(only, F.col("last.canonical"))).alias("canonical"))
+    return asked.join(answers, moment, "left")
+
+
 @dataclass
 class Registry:
     """Entities of one manuscript in the order they came, and which forms of a base stand for which.
@@ -60,6 +91,7 @@ class Registry:
         return next(iter(known.values())) if len(known) == 1 else None
 
     def add(self, name: str, aliases: list[str], role: str, entity_kind: str) -> str:
+        """An entity of its own, or more about the one that the name stands for; which. Its aliases stand for it from now on."""
         canonical = self.find(name)
         if canonical is None:
             canonical = name
@@ -85,49 +117,60 @@ class Registry:
             self.note(name, a)
 
 
-#: From a known and a new name to what was said of them: same_entity, confidence, rationale, and auto, whether a sure answer
-#: merges without a review; None for names that are not similar or were not judged.
-Judge = Callable[[str, str], dict | None]
+class Told(NamedTuple):
+    """What is known of two names: the decision of a review, and the answer of a judge to similar ones (auto: a sure one
+    merges without a review)."""
+
+    status: str | None = None
+    same_entity: bool = False
+    confidence: float = 0.0
+    rationale: str | None = None
+    auto: bool = False
+
 
+def fold(candidates: pd.DataFrame, told: dict[str, dict[str, Told]], registry: Registry | None = None) -> tuple[list[tuple], Registry]:
+    """Resolve candidates in order; each needs only the registry before it. Rows as in RESOLVED and CHANGED, without the manuscript.
 
-def fold(candidates: pd.DataFrame, decisions: dict[tuple[str, str], str], judge: Judge | None, registry: Registry | None = None, add_merged_name: bool = False) -> tuple[list[tuple], Registry]:
-    """Resolve candidates in order; each needs only the registry before it. Rows as in RESOLVED, without the manuscript."""
+    told: for a name, what is known of it and another. Only such others are looked at, in the order they came.
+    """
     registry = registry or Registry()
     for c in candidates.itertuples():
         registry.splits |= {c.canonical_name: (c.split["honorific"], c.split["base"])} | {x["alias"]: (x["honorific"], x["base"]) for x in c.forms}
-    rows = []
+    rows, came = [], {x: i for i, x in enumerate(registry.entries)}
     for c in candidates.sort_values(["scene_order", "pos"]).itertuples():
         name, every = c.canonical_name, [x["alias"] for x in c.forms]
         aliases = [x["alias"] for x in c.forms if x["valid"]]
-        outcome, target, confidence, why = "new", None, None, None
+        outcome, confidence, why = "new", None, None
         if c.filtered:
-            rows.append((c.scene_order, c.pos, name, None, "filtered", None, None))
+            rows.append((c.scene_order, c.pos, name, None, "filtered", None, None, None, [], []))
             continue
         target = next((t for t in map(registry.find, [name, *every]) if t), None)
         if target:
             outcome = "merged"
         else:
-            for known in list(registry.entries) if judge else []:
-                decision = decisions.get((min(known, name), max(known, name)))
-                if decision == "rejected":
+            about = told.get(name, {})
+            for known in sorted((x for x in about if x in registry.entries), key=came.get):
+                said = about[known]
+                if said.status == "rejected":
                     continue
-                if decision == "accepted":
+                if said.status == "accepted":
                     outcome, target = "merged", known
                     break
-                said = judge(known, name)
-                auto = bool(said) and said["auto"]
-                if said and said["same_entity"] and said["confidence"] >= (AUTO_MERGE if auto else QUEUE):
-                    confidence, why = said["confidence"], said["rationale"]
-                    outcome, target = ("merged", known) if auto else ("queued", known)
-                    break
-                if said and said["same_entity"] and said["confidence"] >= QUEUE:
-                    outcome, target, confidence, why = "queued", known, said["confidence"], said["rationale"]
+                if said.same_entity and said.confidence >= QUEUE:
+                    sure = said.auto and said.confidence >= AUTO_MERGE
+                    outcome, target, confidence, why = "merged" if sure else "queued", known, said.confidence, said.rationale
                     break
         if outcome == "merged":
-            registry.add(target, aliases + ([name] if add_merged_name else []), "unknown", c.entity_kind)  # what is known keeps its role
+            entry = registry.entries[registry.find(target) or target]  # what is known keeps its role, and its aliases stand for it again
+            written = [*entry["aliases"], *aliases]
+            linked = registry.add(target, written, "unknown", c.entity_kind)
         else:
-            registry.add(name, aliases, c.role, c.entity_kind)
-        rows.append((c.scene_order, c.pos, name, target if target else name, outcome, confidence, why))
+            linked = registry.add(name, aliases, c.role, c.entity_kind)
+            written = [name, *aliases]
+            came.setdefault(name, len(came))
+        forms = [dict(zip(("honorific", "base"), registry.split(x), strict=True)) for x in written]
+        now = registry.entries.get(registry.find(target if outcome == "merged" else name) or "", {"aliases": []})
+        rows.append((c.scene_order, c.pos, name, target if target else name, outcome, confidence, why, linked, forms, list(now["aliases"])))
     return rows, registry
 
 
@@ -157,23 +200,26 @@ def _told(spark: SparkSession, decisions: DataFrame | None, judgements: DataFram
 
 
 def resolved(candidates: DataFrame, decisions: DataFrame | None = None, judgements: DataFrame | None = None) -> DataFrame:
-    """RESOLVED rows for CANDIDATE rows. A manuscript is the unit: its candidates (not its text) meet in one task.
+    """Rows of RESOLVED and CHANGED for CANDIDATE rows. A manuscript is the unit: its candidates (not its text) meet in one task.
 
     decisions: (manuscript_id, name_a, name_b, status) of earlier reviews; judgements: (manuscript_id, name_a, name_b,
     same_entity, confidence, rationale), the stored answers to "are these one person?". Without judgements only
     deterministic merges happen. scene_order and pos name a candidate within its manuscript.
     """
-    ask = judgements is not None
-    pair = lambda x: tuple(sorted((x.name_a, x.name_b)))
+    ask, columns = judgements is not None, [x.split()[0] for x in f"{RESOLVED}, linked_name x, written x, known_aliases x".split(", ")]
 
-    def run(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
-            return pd.DataFrame([], columns=[x.split()[0] for x in RESOLVED.split(", ")])
-        earlier = {pair(x): x.status for x in told.itertuples() if x.status is not None and x.status == x.status}
-        answers = {pair(x): {"same_entity": bool(x.same_entity), "confidence": x.confidence, "rationale": x.rationale, "auto": bool(x.auto)} for x in told.itertuples() if x.auto is not None and x.auto == x.auto}
-        judge = (lambda known, new: answers.get(tuple(sorted((known, new))))) if ask else None
-        found, _ = fold(frame, earlier, judge)
-        return pd.DataFrame([(frame["manuscript_id"].iloc[0], *r) for r in found], columns=[x.split()[0] for x in RESOLVED.split(", ")])
+            return pd.DataFrame([], columns=columns)
+        told: dict[str, dict[str, Told]] = {}
+        for x in said.itertuples() if ask else ():
+            decided = isinstance(x.status, str)
+            new = Told(status=x.status) if decided else Told(None, bool(x.same_entity), x.confidence, x.rationale, bool(x.auto))
+            for a, b in ((x.name_a, x.name_b), (x.name_b, x.name_a)):
+                if decided or b not in told.setdefault(a, {}):
+                    told.setdefault(a, {})[b] = new
+        found, _ = fold(frame, told)
+        return pd.DataFrame([(frame["manuscript_id"].iloc[0], *r) for r in found], columns=columns)
 
     told = _told(candidates.sparkSession, decisions, judgements)
-    return with_forms(candidates).groupBy("manuscript_id").cogroup(told.groupBy("manuscript_id")).applyInPandas(run, RESOLVED)
+    return with_forms(candidates).groupBy("manuscript_id").cogroup(told.groupBy("manuscript_id")).applyInPandas(run, f"{RESOLVED}, {CHANGED}")

@@ -497,7 +497,8 @@ def _resolution_tables(spark, sf_dir):
 @query("q34_resolution_fold")
 def resolution_fold(spark, sf_dir):
     """Part names as candidates of manuscripts of 25 part keys, which bound the fold, with stored decisions and judgements."""
-    return resolution.resolved(*_resolution_tables(spark, sf_dir))
+    found = resolution.resolved(*_resolution_tables(spark, sf_dir))
+    return found.drop("linked_name", "written", "known_aliases")
 
 
 def _gold_and_predicted(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import ids, names
 from loomtext.functions.text import offset_of
-from loomtext.operators import evidence, resolution
+from loomtext.operators import evidence, reads, resolution
 from loomtext.schemas import ATTRIBUTES, EXTRACTION, RELATIONS, valid_attribute, valid_relation
 from loomtext.sources import responses
 
@@ -33,39 +33,42 @@ def candidates(extracted: DataFrame) -> DataFrame:
 
 
 def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, judgements: DataFrame | None = None) -> dict[str, DataFrame]:
-    """character, mention, appears_in and merge_candidate rows of the extracted scenes."""
+    """character, mention_node, has_mention, mention (both joined), appears_in and merge_candidate rows of the extracted scenes.
+
+    Names are linked at their scene: to the character that the form stood for when the scene's own candidates had been
+    resolved, also where another character takes the form over later. A mention that two characters claim is one node with two edges.
+    """
     asked = candidates(extracted)
     outcome = resolution.resolved(asked.drop("scene_id", "present"), decisions, judgements)
-    found = asked.join(outcome.select("manuscript_id", "scene_order", "pos", "resolved_name", "outcome", "confidence", "rationale"), ["manuscript_id", "scene_order", "pos"])
+    found = asked.join(outcome.select("manuscript_id", "scene_order", "pos", "resolved_name", "outcome", "confidence", "rationale", "known_aliases"), ["manuscript_id", "scene_order", "pos"])
     named = found.where("outcome <> 'filtered'").withColumn("entity", F.when(F.col("outcome") == "queued", F.col("canonical_name")).otherwise(F.col("resolved_name")))
     entity_id = ids.character_id(F.col("manuscript_id"), names.fold(F.col("entity")))
     first = F.struct("scene_order", "pos")
     known_role = F.when(F.col("role") != "unknown", F.col("role"))
     people = named.groupBy("manuscript_id", "entity").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.coalesce(F.min_by(known_role, F.when(known_role.isNotNull(), first)), F.lit("unknown")).alias("role"),
+        F.array_sort(F.max_by("known_aliases", first)).alias("aliases"), F.coalesce(F.min_by(known_role, F.when(known_role.isNotNull(), first)), F.lit("unknown")).alias("role"),
         F.min_by("entity_kind", first).alias("entity_kind"), F.min_by("scene_id", first).alias("first_scene_id"),
     )
-    valid = F.filter("aliases", lambda a: a != F.col("entity"))
-    characters = people.select(entity_id.alias("character_id"), "manuscript_id", F.col("entity").alias("canonical_name"), valid.alias("aliases"), "role", "entity_kind", "first_scene_id")
-
-    forms = (
-        characters.select("manuscript_id", "character_id", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("name"), F.col("canonical_name"))
-        .where((F.col("name") == F.col("canonical_name")) | names.is_valid_alias(F.col("name")))
-        .select("manuscript_id", "character_id", names.split_honorific(names.fold(F.col("name"))).alias("s"))
-        .select(F.concat_ws("|", "manuscript_id", "s.base").alias("base"), "s.honorific", F.col("character_id").alias("canonical"))
-        .groupBy("base", "honorific").agg(F.max("canonical").alias("canonical"))
-    )
-
-    def linked(rows: DataFrame, name) -> DataFrame:
-        split = rows.withColumn("s", names.split_honorific(names.fold(name))).withColumn("base", F.concat_ws("|", "manuscript_id", "s.base")).withColumn("honorific", F.col("s.honorific"))
-        return resolution.lookup(split, forms).where("canonical is not null").withColumnRenamed("canonical", "character_id").drop("s", "base", "honorific")
-
-    told = extracted.where("response is not null").select("manuscript_id", "scene_id", "text", F.explode("response.mentions").alias("m")).withColumn("start_offset", offset_of(F.col("text"), F.col("m.surface"))).where("start_offset is not null")
-    mentions = linked(told, F.coalesce("m.links_to", "m.surface")).select(
+    characters = people.select(entity_id.alias("character_id"), "manuscript_id", F.col("entity").alias("canonical_name"), "aliases", "role", "entity_kind", "first_scene_id")
+    history = resolution.form_history(outcome)
+
+    def linked(rows: DataFrame, name: Column) -> DataFrame:
+        """Rows (manuscript_id, scene_order, ...) with the character that the name stands for at the end of their scene."""
+        split = rows.withColumn("s", names.split_honorific(names.fold(name))).withColumns({"base": F.col("s.base"), "honorific": F.col("s.honorific")})
+        known = resolution.lookup_at(split, history).where("canonical is not null")
+        return known.withColumn("character_id", ids.character_id(F.col("manuscript_id"), names.fold(F.col("canonical")))).drop("s", "base", "honorific", "canonical")
+
+    answered = extracted.where("response is not null").withColumn("scene_order", F.col("order_narrative_global").cast("long"))
+    told = answered.select("manuscript_id", "scene_id", "scene_order", "text", F.posexplode("response.mentions").alias("nth", "m")).withColumn("start_offset", offset_of(F.col("text"), F.col("m.surface"))).where("start_offset is not null").drop("text")
+    said = linked(told, F.coalesce(F.nullif("m.links_to", F.lit("")), "m.surface")).select(
         ids.mention_id(F.col("scene_id"), F.col("m.surface"), F.col("start_offset")).alias("mention_id"), "character_id", "scene_id", "manuscript_id", "m.surface", "m.kind", "start_offset",
-        (F.col("start_offset") + F.length("m.surface")).alias("end_offset"), "m.quote",
-    ).dropDuplicates(["mention_id", "character_id"])
-    listed = linked(extracted.where("response is not null").select("manuscript_id", "scene_id", F.explode("response.present_entities").alias("name")), F.col("name")).select("character_id", "scene_id", F.lit("present").alias("kind"))
+        (F.col("start_offset") + F.length("m.surface")).alias("end_offset"), "m.quote", "nth",
+    )
+    fields = ["scene_id", "manuscript_id", "surface", "kind", "start_offset", "end_offset", "quote"]
+    nodes = said.groupBy("mention_id").agg(F.min(F.struct("nth", *fields)).alias("x")).select("mention_id", *[f"x.{c}" for c in fields])
+    edges = said.select("manuscript_id", "character_id", "mention_id").distinct()
+    mentions = reads.mentions_of(nodes, edges)
+    listed = linked(answered.select("manuscript_id", "scene_id", "scene_order", F.explode("response.present_entities").alias("name")), F.col("name")).select("character_id", "scene_id", F.lit("present").alias("kind"))
     came = named.where("present").select(entity_id.alias("character_id"), "scene_id", F.lit("present").alias("kind"))
     seen = mentions.select("character_id", "scene_id", F.lit("mentioned").alias("kind")).unionAll(listed).unionAll(came)
     appearances = seen.groupBy("character_id", "scene_id").agg(F.when(F.max((F.col("kind") == "present").cast("int")) == 1, "present").otherwise("mentioned").alias("kind"))
@@ -73,7 +76,7 @@ def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, ju
     person = lambda c: ids.character_id(F.col("manuscript_id"), names.fold(F.col(c)))
     merges = queued.select(ids.merge_candidate_id(person("resolved_name"), person("canonical_name")).alias("candidate_id"), "manuscript_id", person("resolved_name").alias("character_a_id"), person("canonical_name").alias("character_b_id"), F.col("resolved_name").alias("name_a"), F.col("canonical_name").alias("name_b"), "confidence", "rationale", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("resolved_at"))
     counted = characters.join(evidence.character_counters(characters, mentions, appearances), "character_id")
-    return {"character": counted, "mention": mentions, "appears_in": evidence.appearance_counters(appearances, mentions), "merge_candidate": merges.dropDuplicates(["candidate_id"])}
+    return {"character": counted, "mention": mentions, "mention_node": nodes, "has_mention": edges, "appears_in": evidence.appearance_counters(appearances, mentions), "merge_candidate": merges.dropDuplicates(["candidate_id"])}
 
 
 def _evidences(looked: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,0 +1,151 @@
+"""Names are linked to characters as the registry stands at their scene: against a plain registry that is walked scene by scene."""
+
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from loomtext.functions.names import fold_text
+from loomtext.operators import reads, resolution
+from loomtext.plans import layers
+from loomtext.schemas import EXTRACTION
+
+SCENES = "manuscript_id string, scene_id string, order_narrative_global int, text string, response string, hit boolean"
+TITLES = {"mr", "mrs", "dr"}
+
+
+def person(name, aliases=(), present=True, role="unknown"):
+    return {"canonical_name": name, "aliases": list(aliases), "role": role, "entity_kind": "person", "is_present_in_scene": present}
+
+
+def said(surface, to=None):
+    return {"surface": surface, "kind": "name", "links_to": to, "quote": f"q {surface}"}
+
+
+def looked_up(spark, works):
+    """works: {manuscript: [(text, response)]}."""
+    rows = [(m, f"{m}:s{i}", i, text, json.dumps(r), True) for m, scenes in works.items() for i, (text, r) in enumerate(scenes)]
+    return spark.createDataFrame(rows, SCENES).withColumn("response", F.from_json("response", EXTRACTION))
+
+
+def plain_split(name):
+    head, _, rest = fold_text(name).partition(" ")
+    return (head.rstrip("."), rest.strip()) if head.rstrip(".") in TITLES and rest.strip() else ("", fold_text(name))
+
+
+def plain_valid(alias):
+    return alias not in ("she", "her mother") and alias[:1].isupper()
+
+
+class Plain:
+    """What each form of a base stands for, and the aliases of every character, written one after another."""
+
+    def __init__(self):
+        self.forms, self.aliases = {}, {}
+
+    def who(self, name):
+        title, base = plain_split(name)
+        known = self.forms.get(base, {})
+        if title in known:
+            return known[title]
+        if len(known) == 1 and (title == "" or "" in known):
+            return next(iter(known.values()))
+        return None
+
+    def write(self, name, to):
+        title, base = plain_split(name)
+        self.forms.setdefault(base, {})[title] = to
+
+    def take(self, name, aliases):
+        """The character a candidate belongs to."""
+        found = next((w for w in map(self.who, [name, *aliases]) if w), None)
+        good = [a for a in aliases if plain_valid(a)]
+        if not found:
+            self.aliases[name] = list(dict.fromkeys(good))
+            for x in (name, *good):
+                self.write(x, name)
+            return name
+        entry = self.who(found)
+        every = [*self.aliases[entry], *good]
+        self.aliases[entry] = [a for a in dict.fromkeys(every) if a != entry]
+        for x in every:
+            self.write(x, entry)
+        return found
+
+
+def plain_layer(scenes):
+    """(scene, surface, character) links, (character, scene, kind) and the aliases as last written."""
+    registry, links, seen, aliases = Plain(), set(), {}, {}
+    for i, (text, r) in enumerate(scenes):
+        present = set()
+        for c in r["new_characters"]:
+            who = registry.take(c["canonical_name"], c["aliases"])
+            aliases[who] = registry.aliases.get(registry.who(who) or "", [])
+            if c["is_present_in_scene"]:
+                present.add(who)
+        present |= {w for w in map(registry.who, r["present_entities"]) if w}
+        for m in r["mentions"]:
+            who = registry.who(m["links_to"] or m["surface"])
+            if who and m["surface"] in text:
+                links.add((i, m["surface"], who))
+                seen.setdefault((who, i), "mentioned")
+        seen |= {(who, i): "present" for who in present}
+    return links, {(*k, v) for k, v in seen.items()}, {k: sorted(v) for k, v in aliases.items()}
+
+
+def got_layer(layer, manuscript):
+    of = lambda t: [r for r in layer[t].collect() if r.scene_id.startswith(f"{manuscript}:")]
+    people = {r.character_id: r for r in layer["character"].collect() if r.manuscript_id == manuscript}
+    scene = lambda r: int(r.scene_id.rpartition("s")[2])
+    links = {(scene(r), r.surface, people[r.character_id].canonical_name) for r in of("mention")}
+    seen = {(people[r.character_id].canonical_name, scene(r), r.kind) for r in of("appears_in")}
+    return links, seen, {r.canonical_name: sorted(r.aliases) for r in people.values()}
+
+
+def test_the_last_writer_before_a_scene_has_the_form(spark):
+    """The Captain is Ana's name, then Ben's; with the books the other way round, the other way round."""
+    scene = lambda who: ("The Captain came.", {"mentions": [said("Captain")], "new_characters": [person(who, ["Captain Vane"])], "present_entities": [], "notes": None})
+    later = ("The Captain left.", {"mentions": [said("Captain", "Captain Vane"), said("Captain", "Ana Roe")], "new_characters": [], "present_entities": ["Captain Vane"]})
+    first = lambda a, b: [("The Captain.", {"mentions": [said("Captain", "Captain Vane")], "new_characters": [person(a, ["Captain Vane"])], "present_entities": []}), ("The Captain.", {"mentions": [said("Captain", "Captain Vane")], "new_characters": [person(b), person(b, ["Captain Vane"])], "present_entities": []}), later]
+    works = {"x": first("Ana Roe", "Ben Roe"), "y": first("Ben Roe", "Ana Roe"), "z": [scene("Ana Roe"), later]}
+    layer = layers.character_layer(looked_up(spark, works).cache())
+    for m in works:
+        assert got_layer(layer, m) == plain_layer(works[m]), m
+    x, _, _ = got_layer(layer, "x")
+    assert {(0, "Captain", "Ana Roe"), (1, "Captain", "Ben Roe"), (2, "Captain", "Ben Roe"), (2, "Captain", "Ana Roe")} == x
+    # one surface at one place is one mention, whoever claims it
+    nodes, edges = layer["mention_node"].where("manuscript_id = 'x'"), layer["has_mention"].where("manuscript_id = 'x'")
+    assert (nodes.count(), nodes.select("mention_id").distinct().count(), edges.count()) == (3, 3, 4)
+    assert reads.mentions_of(nodes, edges).count() == 4
+
+
+def test_pronouns_and_kin_are_no_aliases(spark):
+    works = {"m": [("Ana", {"mentions": [said("Ana")], "new_characters": [person("Ana", ["she", "her mother", "Anita"]), person("Eva", ["she"])], "present_entities": ["she", "Anita"]})]}
+    layer = layers.character_layer(looked_up(spark, works).cache())
+    assert got_layer(layer, "m") == ({(0, "Ana", "Ana")}, {("Ana", 0, "present"), ("Eva", 0, "present")}, {"Ana": ["Anita"], "Eva": []})
+
+
+def test_random_works_are_linked_as_by_walking_them(spark):
+    rng = random.Random(11)
+    names = ["Ana", "Mr. Vale", "Mrs. Vale", "Vale", "Dr. Vale", "Ben", "Mr. Ben", "Cid", "Dora", "Mrs. Dora"]
+    works = {}
+    for m in range(12):
+        scenes = []
+        for _ in range(rng.randint(1, 9)):
+            text = " ".join(rng.sample(names, 6))
+            new = [person(rng.choice(names), rng.sample([*names, "she", "her mother"], rng.randint(0, 3)), rng.random() < 0.5) for _ in range(rng.randint(0, 3))]
+            mentions = [said(rng.choice(names), rng.choice([None, "", *names])) for _ in range(5)]
+            scenes.append((text, {"mentions": mentions, "new_characters": new, "present_entities": rng.sample(names, 2)}))
+        works[f"m{m}"] = scenes
+    layer = {k: v.cache() for k, v in layers.character_layer(looked_up(spark, works).cache()).items()}
+    for m, scenes in works.items():
+        want = plain_layer(scenes)
+        assert got_layer(layer, m) == want, m
+    assert layer["mention_node"].count() == layer["mention_node"].select("mention_id").distinct().count()
+
+
+def test_lookup_at_a_scene_without_history_or_questions(spark):
+    history = spark.createDataFrame([], "manuscript_id string, base string, honorific string, canonical string, scene_order long, pos long, nth int")
+    asked = spark.createDataFrame([("m", 3, "", "ana", 7)], "manuscript_id string, scene_order long, honorific string, base string, mine int")
+    assert [tuple(r) for r in resolution.lookup_at(asked, history).select("mine", "canonical").collect()] == [(7, None)]
+    assert resolution.lookup_at(asked.where("false"), history).count() == 0
