@@ -174,6 +174,38 @@ def fold(candidates: pd.DataFrame, told: dict[str, dict[str, Told]], registry: R
     return rows, registry
 
 
+GRAM = 3
+
+
+def similar_pairs(named: DataFrame) -> DataFrame:
+    """Pairs of names of one manuscript that may be one person: (manuscript_id, name_a, name_b, auto), name_a < name_b.
+
+    named: (manuscript_id, name). Names are similar when one base holds the other, as Annabelle holds Ann, or when the last of
+    several words is the same. Neither needs all pairs: a base is searched under its rarest piece of GRAM
+    characters (a shorter one under itself), which every base that holds it has too; family names meet by equality. What
+    meets is what similarity() then looks at. A name without a base (no letter that folds) is held by every name.
+    """
+    key = ["manuscript_id", "name"]
+    rows = named.select(*key).distinct().withColumn("split", N.split_honorific(N.fold(F.col("name"))))
+    base = F.col("split.base")
+    pieces = lambda n: F.when(F.length(base) >= n, F.transform(F.sequence(F.lit(1), F.length(base) - n + 1), lambda i: base.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(n) for n in range(1, GRAM + 1)]))
+    held = rows.select(*key, "split", F.explode(grams).alias("gram"))
+    sought = held.where(F.length("gram") == F.least(F.length(base), F.lit(GRAM)))
+    often = sought.groupBy("manuscript_id", "gram").agg(F.count("*").alias("n"))
+    rarest = sought.join(often, ["manuscript_id", "gram"]).groupBy(*key).agg(F.min_by(F.struct("gram", "split"), F.struct("n", "gram")).alias("x"))
+    inner = rarest.select("manuscript_id", F.col("x.gram").alias("gram"), F.col("name").alias("inner"), F.col("x.split").alias("split_a"))
+    outer = held.select("manuscript_id", "gram", F.col("name").alias("outer"), F.col("split").alias("split_b"))
+    holding = inner.join(outer, ["manuscript_id", "gram"]).where((F.col("inner") != F.col("outer")) & F.contains("split_b.base", "split_a.base"))
+    words = F.split(base, r"\s+")
+    family = rows.where(F.size(words) > 1).withColumn("last", F.element_at(words, -1))
+    side = lambda name, split: family.select("manuscript_id", "last", F.col("name").alias(name), F.col("split").alias(split))
+    related = side("inner", "split_a").join(side("outer", "split_b"), ["manuscript_id", "last"]).where("inner < outer")
+    met = holding.select("manuscript_id", "inner", "outer", "split_a", "split_b").unionByName(related.drop("last"))
+    said = met.withColumn("s", N.similarity(F.col("split_a"), F.col("split_b"))).where("s.similar")
+    return said.select("manuscript_id", F.least("inner", "outer").alias("name_a"), F.greatest("inner", "outer").alias("name_b"), F.col("s.auto").alias("auto")).distinct()
+
+
 def with_forms(candidates: DataFrame) -> DataFrame:
     """Adds filtered, split (of the name) and forms (the aliases in order, split, and whether each is valid): decided for
     all rows at once, before the fold."""

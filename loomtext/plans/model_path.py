@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.names import fold, similarity, split_honorific
 from loomtext.functions.prompts import SYSTEM, judge_prompt, scene_prompt
 from loomtext.operators.evidence import top_quotes
+from loomtext.operators.resolution import similar_pairs
 from loomtext.schemas import JUDGEMENT
 from loomtext.sources import models, responses
 
@@ -51,15 +51,15 @@ def counters(done: DataFrame) -> DataFrame:
 def judge_questions(candidates: DataFrame, scenes: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """manuscript_id, name_a (known before), name_b (new), cache_key and prompt of names that may be one person's.
 
-    candidates: CANDIDATE rows. Similar names share a last word, or one holds the other; pairs are formed under each
-    word a name has in common with the other, within a manuscript. The prompt has A's first three quotes and an excerpt
-    of the scene that brought B. mentions: (manuscript_id, canonical_name, quote, mention_id, scene_order).
+    candidates: CANDIDATE rows. Similar names share a last word, or one holds the other (similar_pairs()), within a
+    manuscript. The prompt has A's first three quotes and an excerpt of the scene that brought B. mentions: (manuscript_id, canonical_name, quote, mention_id, scene_order).
     """
     first = candidates.groupBy("manuscript_id", "canonical_name").agg(F.min(F.struct("scene_order", "pos", "aliases", "role")).alias("x"))
-    named = first.select("manuscript_id", "canonical_name", "x.*").withColumn("split", split_honorific(fold(F.col("canonical_name"))))
-    words = named.select("manuscript_id", "canonical_name", "split", F.struct("scene_order", "pos").alias("at"), F.explode(F.array_distinct(F.split("split.base", r"\s+"))).alias("word"))
-    side = lambda c: words.select("manuscript_id", "word", F.col("canonical_name").alias(f"name_{c}"), F.col("split").alias(f"split_{c}"), F.col("at").alias(f"at_{c}"))
-    pairs = side("a").join(side("b"), ["manuscript_id", "word"]).where((F.col("at_a") < F.col("at_b")) & (similarity(F.col("split_a"), F.col("split_b"))["similar"])).select("manuscript_id", "name_a", "name_b").distinct()
+    named = first.select("manuscript_id", "canonical_name", "x.*")
+    when = lambda c: named.select("manuscript_id", F.col("canonical_name").alias(f"name_{c}"), F.struct("scene_order", "pos").alias(f"at_{c}"))
+    met = similar_pairs(named.select("manuscript_id", F.col("canonical_name").alias("name"))).join(when("a"), ["manuscript_id", "name_a"]).join(when("b"), ["manuscript_id", "name_b"])
+    in_order = F.col("at_a") < F.col("at_b")
+    pairs = met.select("manuscript_id", F.when(in_order, F.col("name_a")).otherwise(F.col("name_b")).alias("name_a"), F.when(in_order, F.col("name_b")).otherwise(F.col("name_a")).alias("name_b"))
     told = lambda c: named.select("manuscript_id", F.col("canonical_name").alias(f"name_{c}"), F.struct("canonical_name", "aliases", "role").alias(f"who_{c}"), F.col("scene_order").alias(f"order_{c}"))
     rows = pairs.join(told("a"), ["manuscript_id", "name_a"]).join(told("b"), ["manuscript_id", "name_b"])
     rows = rows.join(scenes.select("manuscript_id", F.col("order_narrative_global").cast("long").alias("order_b"), "text"), ["manuscript_id", "order_b"], "left")
