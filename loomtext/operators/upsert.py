@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.errors import CandidateNotFound, CandidateResolved, InvalidDecision
+from loomtext.operators.components import final_targets
+from loomtext.sources.staging import staged
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -53,11 +55,12 @@ def moved(rows: DataFrame, column: str, merges: DataFrame) -> DataFrame:
 
 
 def accepted(characters: DataFrame, mention_edges: DataFrame, appearances: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Characters, mention edges and appearances after merging from_id into to_id.
+    """Characters, mention edges and appearances after merging from_id into to_id, all accepted merges of a batch at once.
 
-    Mentions move, appearances in one scene are added up and keep the target's kind, the target takes over names and
+    Merges that chain are followed to their end (final_targets()), so nothing is left with an id that is gone. Mentions move, appearances in one scene are added up and keep the target's kind, the target takes over names and
     aliases and remembers whom it absorbed. Counters are for evidence.character_counters() to recompute.
     """
+    merges = staged(final_targets(merges), "targets")
     b = characters.join(merges.withColumnRenamed("from_id", "character_id"), "character_id")
     gone = b.groupBy(F.col("to_id").alias("character_id")).agg(
         F.flatten(F.collect_list(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array())))).alias("more"), F.array_sort(F.collect_set(F.col("character_id").cast("string"))).alias("absorbed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,14 @@ def candidates(extracted: DataFrame) -> DataFrame:
     )
 
 
-def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, judgements: DataFrame | None = None) -> dict[str, DataFrame]:
+def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, judgements: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> dict[str, DataFrame]:
     """character, mention_node, has_mention, mention (both joined), appears_in and merge_candidate rows of the extracted scenes.
 
     Names are linked at their scene: to the character that the form stood for when the scene's own candidates had been
-    resolved, also where another character takes the form over later. A mention that two characters claim is one node with two edges.
+    resolved, also where another character takes the form over later. A mention that two characters claim is one node with two edges. keep (staging.staged, say) writes what several of the tables derive from: the fold is then made once.
     """
     asked = candidates(extracted)
-    outcome = resolution.resolved(asked.drop("scene_id", "present"), decisions, judgements)
+    outcome = keep(resolution.resolved(asked.drop("scene_id", "present"), decisions, judgements), "resolved")
     found = asked.join(outcome.select("manuscript_id", "scene_order", "pos", "resolved_name", "outcome", "confidence", "rationale", "known_aliases"), ["manuscript_id", "scene_order", "pos"])
     named = found.where("outcome <> 'filtered'").withColumn("entity", F.when(F.col("outcome") == "queued", F.col("canonical_name")).otherwise(F.col("resolved_name")))
     entity_id = ids.character_id(F.col("manuscript_id"), names.fold(F.col("entity")))
@@ -49,7 +51,7 @@ def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, ju
         F.array_sort(F.max_by("known_aliases", first)).alias("aliases"), F.coalesce(F.min_by(known_role, F.when(known_role.isNotNull(), first)), F.lit("unknown")).alias("role"),
         F.min_by("entity_kind", first).alias("entity_kind"), F.min_by("scene_id", first).alias("first_scene_id"),
     )
-    characters = people.select(entity_id.alias("character_id"), "manuscript_id", F.col("entity").alias("canonical_name"), "aliases", "role", "entity_kind", "first_scene_id")
+    characters = keep(people, "people").select(entity_id.alias("character_id"), "manuscript_id", F.col("entity").alias("canonical_name"), "aliases", "role", "entity_kind", "first_scene_id")
     history = resolution.form_history(outcome)
 
     def linked(rows: DataFrame, name: Column) -> DataFrame:
@@ -60,10 +62,10 @@ def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, ju
 
     answered = extracted.where("response is not null").withColumn("scene_order", F.col("order_narrative_global").cast("long"))
     told = answered.select("manuscript_id", "scene_id", "scene_order", "text", F.posexplode("response.mentions").alias("nth", "m")).withColumn("start_offset", offset_of(F.col("text"), F.col("m.surface"))).where("start_offset is not null").drop("text")
-    said = linked(told, F.coalesce(F.nullif("m.links_to", F.lit("")), "m.surface")).select(
+    said = keep(linked(told, F.coalesce(F.nullif("m.links_to", F.lit("")), "m.surface")).select(
         ids.mention_id(F.col("scene_id"), F.col("m.surface"), F.col("start_offset")).alias("mention_id"), "character_id", "scene_id", "manuscript_id", "m.surface", "m.kind", "start_offset",
         (F.col("start_offset") + F.length("m.surface")).alias("end_offset"), "m.quote", "nth",
-    )
+    ), "said")
     fields = ["scene_id", "manuscript_id", "surface", "kind", "start_offset", "end_offset", "quote"]
     nodes = said.groupBy("mention_id").agg(F.min(F.struct("nth", *fields)).alias("x")).select("mention_id", *[f"x.{c}" for c in fields])
     edges = said.select("manuscript_id", "character_id", "mention_id").distinct()
@@ -71,7 +73,7 @@ def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, ju
     listed = linked(answered.select("manuscript_id", "scene_id", "scene_order", F.explode("response.present_entities").alias("name")), F.col("name")).select("character_id", "scene_id", F.lit("present").alias("kind"))
     came = named.where("present").select(entity_id.alias("character_id"), "scene_id", F.lit("present").alias("kind"))
     seen = mentions.select("character_id", "scene_id", F.lit("mentioned").alias("kind")).unionAll(listed).unionAll(came)
-    appearances = seen.groupBy("character_id", "scene_id").agg(F.when(F.max((F.col("kind") == "present").cast("int")) == 1, "present").otherwise("mentioned").alias("kind"))
+    appearances = keep(seen, "seen").groupBy("character_id", "scene_id").agg(F.when(F.max((F.col("kind") == "present").cast("int")) == 1, "present").otherwise("mentioned").alias("kind"))
     queued = found.where("outcome = 'queued'")
     person = lambda c: ids.character_id(F.col("manuscript_id"), names.fold(F.col(c)))
     merges = queued.select(ids.merge_candidate_id(person("resolved_name"), person("canonical_name")).alias("candidate_id"), "manuscript_id", person("resolved_name").alias("character_a_id"), person("canonical_name").alias("character_b_id"), F.col("resolved_name").alias("name_a"), F.col("canonical_name").alias("name_b"), "confidence", "rationale", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("resolved_at"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtext.functions import names
-from loomtext.operators import resolution
+from loomtext.operators import resolution, upsert
 from loomtext.plans import adapters as A
 from loomtext.plans.catalogue import query
 
@@ -49,3 +49,28 @@ def similar_names(spark, sf_dir):
     base = F.when(k % 3 == 0, F.substring("p_name", 1, 4)).when(k % 3 == 1, F.element_at(F.split("p_name", " "), -1)).otherwise(F.col("p_name"))
     named = A.table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("manuscript_id"), F.concat(title, base).alias("name"))
     return resolution.similar_pairs(named)
+
+
+@query(
+    "q68_merge_chains",
+    """WITH RECURSIVE m AS (SELECT c_custkey AS f, c_custkey - 1 AS t FROM customer WHERE c_custkey % 10 IN (2, 3, 4, 5) UNION SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 10 = 7 UNION SELECT c_custkey, c_custkey - 1 FROM customer WHERE c_custkey % 20 = 8
+  UNION SELECT c_custkey, c_custkey - 4 FROM customer WHERE c_custkey % 10 = 9 UNION SELECT c_custkey, c_custkey - 9 FROM customer WHERE c_custkey % 30 = 9),
+e AS (SELECT f AS a, t AS b FROM m UNION SELECT t, f FROM m), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+root AS (SELECT a, coalesce(min(b) FILTER (WHERE b NOT IN (SELECT f FROM m)), min(b)) AS root FROM r GROUP BY a),
+c AS (SELECT c_custkey AS k, coalesce(root, c_custkey) AS character_id, c_name FROM customer LEFT JOIN root ON a = c_custkey),
+n AS (SELECT character_id, count(DISTINCT o_orderkey // 4) AS n_mentions FROM c JOIN orders ON o_custkey = k GROUP BY 1)
+SELECT character_id, string_agg(c_name, ',' ORDER BY c_name) FILTER (WHERE k <> character_id) AS aliases, count(*) - 1 AS absorbed, coalesce(max(n_mentions), 0) AS n_mentions FROM c LEFT JOIN n USING (character_id) GROUP BY character_id""",
+)
+def merge_chains(spark, sf_dir):
+    """Accepted merges in one batch: chains of five, circles of two, and customers merged into two others. Mentions that several
+    characters have are edges, and those that meet become one."""
+    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("character_id"), F.col("c_name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    k = F.col("character_id")
+    step = lambda where, by: c.where(where).select(k.alias("from_id"), (k + by).alias("to_id"))
+    merges = step((k % 10).isin(2, 3, 4, 5), -1).unionAll(step(k % 10 == 7, 1)).unionAll(step(k % 20 == 8, -1)).unionAll(step(k % 10 == 9, -4)).unionAll(step(k % 30 == 9, -9))
+    edges = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("character_id"), F.expr("o_orderkey div 4").alias("mention_id")).distinct()
+    seen = edges.select("character_id", F.col("mention_id").alias("scene_id"), F.lit("mentioned").alias("kind"), F.lit(1).alias("mention_count"))
+    people, moved, _ = upsert.accepted(c, edges, seen, merges)
+    n = moved.groupBy("character_id").agg(F.count("*").alias("n_mentions"))
+    listed = F.when(F.size("aliases") > 0, F.array_join("aliases", ","))
+    return people.join(n, "character_id", "left").select("character_id", listed.alias("aliases"), F.size("merged_from").cast("long").alias("absorbed"), F.coalesce("n_mentions", F.lit(0)).alias("n_mentions"))

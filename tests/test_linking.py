@@ -9,6 +9,7 @@ from loomtext.functions.names import fold_text
 from loomtext.operators import reads, resolution
 from loomtext.plans import layers
 from loomtext.schemas import EXTRACTION
+from loomtext.sources.staging import staged
 
 SCENES = "manuscript_id string, scene_id string, order_narrative_global int, text string, response string, hit boolean"
 TITLES = {"mr", "mrs", "dr"}
@@ -108,7 +109,7 @@ def test_the_last_writer_before_a_scene_has_the_form(spark):
     later = ("The Captain left.", {"mentions": [said("Captain", "Captain Vane"), said("Captain", "Ana Roe")], "new_characters": [], "present_entities": ["Captain Vane"]})
     first = lambda a, b: [("The Captain.", {"mentions": [said("Captain", "Captain Vane")], "new_characters": [person(a, ["Captain Vane"])], "present_entities": []}), ("The Captain.", {"mentions": [said("Captain", "Captain Vane")], "new_characters": [person(b), person(b, ["Captain Vane"])], "present_entities": []}), later]
     works = {"x": first("Ana Roe", "Ben Roe"), "y": first("Ben Roe", "Ana Roe"), "z": [scene("Ana Roe"), later]}
-    layer = layers.character_layer(looked_up(spark, works).cache())
+    layer = layers.character_layer(looked_up(spark, works), keep=staged)
     for m in works:
         assert got_layer(layer, m) == plain_layer(works[m]), m
     x, _, _ = got_layer(layer, "x")
@@ -121,7 +122,7 @@ def test_the_last_writer_before_a_scene_has_the_form(spark):
 
 def test_pronouns_and_kin_are_no_aliases(spark):
     works = {"m": [("Ana", {"mentions": [said("Ana")], "new_characters": [person("Ana", ["she", "her mother", "Anita"]), person("Eva", ["she"])], "present_entities": ["she", "Anita"]})]}
-    layer = layers.character_layer(looked_up(spark, works).cache())
+    layer = layers.character_layer(looked_up(spark, works), keep=staged)
     assert got_layer(layer, "m") == ({(0, "Ana", "Ana")}, {("Ana", 0, "present"), ("Eva", 0, "present")}, {"Ana": ["Anita"], "Eva": []})
 
 
@@ -137,7 +138,7 @@ def test_random_works_are_linked_as_by_walking_them(spark):
             mentions = [said(rng.choice(names), rng.choice([None, "", *names])) for _ in range(5)]
             scenes.append((text, {"mentions": mentions, "new_characters": new, "present_entities": rng.sample(names, 2)}))
         works[f"m{m}"] = scenes
-    layer = {k: v.cache() for k, v in layers.character_layer(looked_up(spark, works).cache()).items()}
+    layer = {k: v.cache() for k, v in layers.character_layer(looked_up(spark, works), keep=staged).items()}
     for m, scenes in works.items():
         want = plain_layer(scenes)
         assert got_layer(layer, m) == want, m
