@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.ratios import f1, hit_rate
+from loomtext.operators import matching
 
 
 def bcubed(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -30,20 +30,10 @@ def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def greedy_matches(edges: DataFrame, group: str, first: str, second: str) -> DataFrame:
-    """Each `first` in order takes the least `second` not yet taken, within a group (a work, which bounds it)."""
-
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for x, part in frame.sort_values([first, second]).groupby(first, sort=True):
-            for y in part[second]:
-                if y not in taken:
-                    taken.add(y)
-                    rows.append((part[group].iloc[0], x, y))
-                    break
-        return pd.DataFrame(rows, columns=[group, first, second])
-
-    kinds = dict(edges.dtypes)
-    return edges.select(group, first, second).groupBy(group).applyInPandas(take, f"{group} {kinds[group]}, {first} {kinds[first]}, {second} {kinds[second]}")
+    """Each `first` in order takes the least `second` not yet taken that it has an edge with, within a group."""
+    asked = edges.select(group, F.col(second).alias("name"), F.col(first).alias("x"))
+    found = matching.greedy(asked, edges.select(group, F.col(second).alias("name"), F.col(second).alias("y")), group)
+    return found.select(group, F.col("x").alias(first), F.col("y").alias(second))
 
 
 def detection(gold: DataFrame, predicted: DataFrame, matches: DataFrame, group: str) -> DataFrame:

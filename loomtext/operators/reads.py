@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.errors import ManuscriptNotFound, NotExtracted
 from loomtext.operators.evidence import first_appearances
+from loomtext.operators.ranking import ranked
 
 
 def mentions_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -61,12 +62,7 @@ def character_list(characters: DataFrame, appearances: DataFrame, role: str | No
     if not include_mentioned_only:
         rows = rows.where(F.coalesce("present", F.lit(0)) > 0)
     orders = {"appearances": [F.desc("appearance_count"), F.col("canonical_name")], "first_appearance": [F.col("first_scene").asc_nulls_last()], "name": [F.col("canonical_name")]}
-    return ranked(rows.select("character_id", "canonical_name", "appearance_count", "first_scene"), *orders.get(order_by, orders["appearances"]), F.col("character_id"))
-
-
-def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """Adds place, from 1. A total order over millions of rows belongs to orderBy(); lists for readers are filtered first."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return ranked(rows.select("character_id", "canonical_name", "appearance_count", "first_scene"), [*orders.get(order_by, orders["appearances"]), F.col("character_id")])
 
 
 def character_detail(characters: DataFrame, appearances: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
@@ -83,7 +79,7 @@ def merge_queue(candidates: DataFrame, characters: DataFrame, status: str | None
     """Candidates with both names, by falling confidence; pending ones, those of a status, or all."""
     names = lambda side: characters.select(F.col("character_id").alias(f"character_{side}_id"), F.col("canonical_name").alias(f"name_{side}"))
     rows = candidates if status is None else candidates.where(F.col("status") == status)
-    return ranked(rows.join(names("a"), "character_a_id").join(names("b"), "character_b_id"), F.desc("confidence"), F.col("character_a_id"))
+    return ranked(rows.join(names("a"), "character_a_id").join(names("b"), "character_b_id"), [F.desc("confidence"), F.col("character_a_id"), F.col("character_b_id")])
 
 
 def relation_list(relates_to: DataFrame, characters: DataFrame, provenance: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import ids, names, ratios, text
-from loomtext.operators import evidence, metrics, reads, resolution, segmentation, upsert
+from loomtext.operators import evidence, matching, metrics, reads, resolution, segmentation, upsert
 from loomtext.plans import adapters as A
 from loomtext.schemas import EXTRACTION, GATE_KEYS
 from loomtext.sources import markup, responses
@@ -508,12 +508,22 @@ def _gold_and_predicted(spark, sf_dir):
     return side(0), side(1)
 
 
-@query("q35_detection_f1")
+@query(
+    "q35_detection_f1",
+    r"""WITH RECURSIVE t AS (SELECT conv_id AS work, turn AS id, list_transform([w[1], coalesce(w[2], '')], lambda x: lower(regexp_replace(strip_accents(x), '[^\x00-\x7F]', '', 'g'))) AS names FROM (SELECT *, regexp_split_to_array(text, '\s+') AS w FROM conversations)),
+n AS (SELECT DISTINCT work, id, unnest(names) AS name FROM t), e AS (SELECT p.work, p.id AS p, list_sort(list_distinct(list(g.id))) AS golds FROM n p JOIN n g ON g.work = p.work AND g.name = p.name WHERE p.name <> '' AND p.id % 2 = 1 AND g.id % 2 = 0 GROUP BY ALL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY work ORDER BY p) AS i FROM e), s(work, i, taken) AS (SELECT DISTINCT work, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM o
+  UNION ALL SELECT s.work, o.i, CASE WHEN len(list_filter(golds, lambda g: NOT list_contains(taken, g))) > 0 THEN list_append(taken, list_filter(golds, lambda g: NOT list_contains(taken, g))[1]) ELSE taken END FROM s JOIN o ON o.work = s.work AND o.i = s.i + 1),
+m AS (SELECT work, max(len(taken)) AS tp FROM s GROUP BY work), c AS (SELECT work, count(*) FILTER (WHERE id % 2 = 0) AS n_gold, count(*) FILTER (WHERE id % 2 = 1) AS n_pred, coalesce(max(tp), 0) AS tp FROM t LEFT JOIN m USING (work) GROUP BY work),
+r AS (SELECT work, CASE WHEN n_pred > 0 THEN CAST(tp AS DOUBLE) / n_pred WHEN n_gold = 0 THEN 1.0 ELSE 0.0 END AS pr, CASE WHEN n_gold > 0 THEN CAST(tp AS DOUBLE) / n_gold WHEN n_pred = 0 THEN 1.0 ELSE 0.0 END AS re FROM c)
+SELECT work, round(CAST(pr AS DOUBLE), 9) AS precision, round(CAST(re AS DOUBLE), 9) AS recall, CASE WHEN pr + re = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(2 * pr * re / (pr + re) AS DOUBLE), 9) END AS f1 FROM r""",
+)
 def detection_f1(spark, sf_dir):
+    """Turns of a conversation in order take the first free turn of the other side that begins with a common word."""
     gold, predicted = _gold_and_predicted(spark, sf_dir)
     name = lambda d, c: d.select("work", F.col("id").alias(c), F.explode(F.array_distinct("names")).alias("name")).where("name <> ''")
-    edges = name(predicted, "pred").join(name(gold, "gold"), ["work", "name"]).select("work", "pred", "gold").distinct()
-    return metrics.detection(gold, predicted, metrics.greedy_matches(edges, "work", "pred", "gold"), "work")
+    found = metrics.detection(gold, predicted, matching.greedy(name(predicted, "x"), name(gold, "y"), "work"), "work")
+    return found.select("work", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(

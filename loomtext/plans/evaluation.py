@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.errors import InconsistentGold, NotMeasured
 from loomtext.functions.ids import canonical_pair
 from loomtext.functions.names import fold
 from loomtext.functions.ratios import accuracy
-from loomtext.operators import metrics
+from loomtext.operators import matching, metrics
+from loomtext.operators.ranking import ranked
 from loomtext.operators.reads import scene_coordinates
 from loomtext.schemas import GATE_KEYS
 from loomtext.sources.gold import measured
+from loomtext.sources.staging import staged
 
 
 def folded_names(entities: DataFrame) -> DataFrame:
@@ -27,28 +29,28 @@ def people(characters: DataFrame) -> DataFrame:
     return kept.select(F.col("manuscript_id").alias("work"), F.col("character_id").alias("ident"), F.struct("canonical_name", "character_id").alias("order"), "canonical_name", "aliases")
 
 
-def overlaps(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(work, gold, pred) whose folded names meet: both as struct(place, ident), place in the work's list order."""
-    place = F.row_number().over(Window.partitionBy("work").orderBy("order", "ident"))
-    side = lambda d, c: d.select("work", F.struct(place.alias("place"), "ident").alias(c), "ident").join(folded_names(d).select("work", "ident", "name"), ["work", "ident"]).select("work", c, "name")
-    return side(gold, "gold").join(side(predicted, "pred"), ["work", "name"]).select("work", "gold", "pred").distinct()
+def placed(entities: DataFrame) -> DataFrame:
+    """(work, ident, place): the place of each entity in the list of its work."""
+    return ranked(entities.select("work", "ident", "order").distinct(), [F.col("order"), F.col("ident")], ("work",)).select("work", "ident", "place")
 
 
-def _matched(edges: DataFrame, first: str, second: str) -> DataFrame:
-    """Greedy matches on places, turned back to identifiers."""
-    found = metrics.greedy_matches(edges.select("work", F.col("gold.place").alias("gold"), F.col("pred.place").alias("pred")), "work", first, second)
-    said = edges.select("work", F.col("gold.place").alias("g"), F.col("pred.place").alias("p"), F.col("gold.ident").alias("gold_id"), F.col("pred.ident").alias("pred_id"))
-    return found.withColumnsRenamed({"gold": "g", "pred": "p"}).join(said, ["work", "g", "p"]).select("work", F.col("gold_id").alias("gold"), F.col("pred_id").alias("pred"))
+def matched(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(work, first, second): entities of the first list in order take the first free one of the second that shares a folded name."""
+    a, b = staged(placed(first), "places"), staged(placed(second), "places")
+    side = lambda places, rows, c: folded_names(rows).select("work", "ident", "name").join(places, ["work", "ident"]).select("work", "name", F.col("place").alias(c))
+    found = matching.greedy(side(a, first, "x"), side(b, second, "y"), "work")
+    back = lambda places, c, name: places.select("work", F.col("place").alias(c), F.col("ident").alias(name))
+    return found.join(back(a, "x", "first"), ["work", "x"]).join(back(b, "y", "second"), ["work", "y"]).select("work", "first", "second")
 
 
 def detection(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """precision, recall, f1 a work; predictions in list order take the first free gold entity."""
-    return metrics.detection(gold, predicted, _matched(overlaps(gold, predicted), "pred", "gold"), "work")
+    return metrics.detection(gold, predicted, matched(predicted, gold), "work")
 
 
 def alignment(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(work, gold, pred): gold entities in order take the first free prediction."""
-    return _matched(overlaps(gold, predicted), "gold", "pred")
+    return matched(gold, predicted).withColumnsRenamed({"first": "gold", "second": "pred"})
 
 
 def mention_clusters(mentions: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -81,7 +83,8 @@ def resolution_scores(characters: DataFrame, mentions: DataFrame, scenes: DataFr
 
 def first_matches(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(work, gold, pred): for each gold entity the first prediction in list order whose names meet, taken or not."""
-    return overlaps(gold, predicted).groupBy("work", F.col("gold.ident").alias("gold")).agg(F.min(F.col("pred"))["ident"].alias("pred"))
+    least = folded_names(predicted).groupBy("work", "name").agg(F.min(F.struct("order", "ident")).alias("pred"))
+    return folded_names(gold).join(least, ["work", "name"]).groupBy("work", F.col("ident").alias("gold")).agg(F.min("pred")["ident"].alias("pred"))
 
 
 def silent_bad_merges(gold: DataFrame, predicted: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def test_greedy_order_is_that_of_the_lists(spark):
     golds = [(i, {n.lower(), *(a.lower() for a in al)}) for i, _, n, al in gold]
     preds = [(i, {n.lower(), *(a.lower() for a in al)}) for i, n, al in sorted(predicted, key=lambda x: (x[1], x[0]))]
     assert {(r.gold, r.pred) for r in E.alignment(g, p).collect()} == greedy(golds, preds) == {("g2", "p1"), ("g3", "p3"), ("g10", "p0"), ("g12", "p2")}
-    assert {(r.pred, r.gold) for r in E._matched(E.overlaps(g, p), "pred", "gold").collect()} == greedy(preds, golds)
+    assert {(r["first"], r["second"]) for r in E.matched(p, g).collect()} == greedy(preds, golds)
 
 
 def test_relation_buckets(spark):
