@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.functions.characters import ascii_only
 from loomtext.functions.text import strip
 
 #: Word lists that decide what a name is.
@@ -32,15 +32,10 @@ def fold_text(text: str) -> str:
     return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().casefold().strip()
 
 
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(fold_text, na_action="ignore").astype(object)
-
-
 def fold(c: Column) -> Column:
-    """ASCII texts are folded by built-in functions; Python sees the others only."""
+    """fold_text() as a built-in expression."""
     plain = c.rlike(r"^[\x00-\x7F]*\z")
-    other = F.pandas_udf(_folded, "string")
-    return F.when(plain, strip(F.lower(c))).otherwise(other(F.when(~plain, c)))
+    return strip(F.lower(F.when(plain, c).otherwise(ascii_only(c))))
 
 
 def split_honorific(folded: Column) -> Column:

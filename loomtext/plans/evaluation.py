@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.errors import InconsistentGold, NotMeasured
+from loomtext.functions.characters import case_folded
 from loomtext.functions.ids import canonical_pair
 from loomtext.functions.names import fold
 from loomtext.functions.ratios import accuracy
+from loomtext.functions.text import strip
 from loomtext.operators import matching, metrics
 from loomtext.operators.ranking import ranked
 from loomtext.operators.reads import scene_coordinates
@@ -56,13 +58,13 @@ def alignment(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 def mention_clusters(mentions: DataFrame, scenes: DataFrame) -> DataFrame:
     """key and cluster of predicted mentions: coordinate and folded surface; resolved pronouns and unknown scenes don't count."""
     named = mentions.where(F.coalesce("kind", F.lit("name")) != "pronoun_resolved").join(scene_coordinates(scenes), "scene_id")
-    return named.select(F.concat_ws("::", "coordinate", F.lower(F.trim("surface"))).alias("key"), F.col("character_id").alias("cluster")).distinct()
+    return named.select(F.concat_ws("::", "coordinate", strip(case_folded(F.col("surface")))).alias("key"), F.col("character_id").alias("cluster")).distinct()
 
 
 def gold_clusters(characters: DataFrame) -> DataFrame:
     """key and cluster of annotated mentions (gold_id, mentions)."""
     told = characters.select("gold_id", F.explode("mentions").alias("m"))
-    return told.select(F.concat_ws("::", "m.scene", F.lower(F.trim("m.surface"))).alias("key"), F.col("gold_id").alias("cluster")).distinct()
+    return told.select(F.concat_ws("::", "m.scene", strip(case_folded(F.col("m.surface")))).alias("key"), F.col("gold_id").alias("cluster")).distinct()
 
 
 def annotated_clusters(characters: DataFrame) -> DataFrame | None:
