@@ -4,73 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.functions import names
 from loomtext.operators import resolution, upsert
 from loomtext.plans import adapters as A
 from loomtext.plans.catalogue import query
 
-_TITLED = "['', 'mr', 'mrs', 'dr'][(l_suppkey % 4) + 1]"
+_TITLED = "['', 'mr', 'mrs', 'dr'][(n_chars % 4) + 1]"
 
 
 @query(
     "q66_linking_at_the_scene",
-    f"""WITH f AS (SELECT 'm' || (l_orderkey % 9) AS manuscript_id, l_orderkey AS scene_order, l_linenumber * 1000000 + l_suppkey AS pos, 'n' || (l_partkey % 40) AS base, {_TITLED} AS honorific, 'c' || l_suppkey AS canonical FROM lineitem WHERE l_linenumber % 3 = 1),
-a AS (SELECT 'm' || (o_orderkey % 9) AS manuscript_id, o_orderkey AS scene_order, 'n' || (o_custkey % 40) AS base, ['', 'mr', 'mrs', 'dr'][(o_custkey % 4) + 1] AS honorific FROM orders),
-l AS (SELECT manuscript_id, base, honorific, scene_order, arg_max(canonical, pos) AS canonical FROM f GROUP BY ALL),
-b0 AS (SELECT manuscript_id, base, scene_order, pos, honorific, canonical, row_number() OVER (PARTITION BY manuscript_id, base, honorific ORDER BY scene_order, pos) = 1 AS new FROM f),
-b1 AS (SELECT *, sum(new::int) OVER (PARTITION BY manuscript_id, base ORDER BY scene_order, pos ROWS UNBOUNDED PRECEDING) AS forms FROM b0),
-b AS (SELECT manuscript_id, base, scene_order, max(forms) AS forms, arg_max(honorific, pos) AS last_honorific, arg_max(canonical, pos) AS last FROM b1 GROUP BY ALL)
-SELECT a.manuscript_id, a.scene_order, a.base, a.honorific, coalesce(l.canonical, CASE WHEN b.forms = 1 AND (a.honorific = '' OR b.last_honorific = '') THEN b.last END) AS canonical
-FROM a ASOF LEFT JOIN l ON a.manuscript_id = l.manuscript_id AND a.base = l.base AND a.honorific = l.honorific AND a.scene_order >= l.scene_order
+    f"""WITH d AS (SELECT doc_id // 200 AS manuscript_id, doc_id AS scene_order, n_chars, {_TITLED} AS honorific, source FROM documents),
+f AS (SELECT manuscript_id, scene_order, 'n' || (n_chars // 4 % 9) AS base, honorific, source AS canonical FROM d WHERE n_chars % 3 = 1), a AS (SELECT manuscript_id, scene_order, honorific, 'n' || (n_chars // 16 % 9) AS base FROM d),
+b0 AS (SELECT *, row_number() OVER (PARTITION BY manuscript_id, base, honorific ORDER BY scene_order) = 1 AS new FROM f),
+b AS (SELECT manuscript_id, base, scene_order, honorific AS last_honorific, canonical AS last, sum(new::int) OVER (PARTITION BY manuscript_id, base ORDER BY scene_order ROWS UNBOUNDED PRECEDING) AS forms FROM b0)
+SELECT a.manuscript_id, a.scene_order, a.base, a.honorific, coalesce(f.canonical, CASE WHEN b.forms = 1 AND (a.honorific = '' OR b.last_honorific = '') THEN b.last END) AS canonical
+FROM a ASOF LEFT JOIN f ON a.manuscript_id = f.manuscript_id AND a.base = f.base AND a.honorific = f.honorific AND a.scene_order >= f.scene_order
 ASOF LEFT JOIN b ON a.manuscript_id = b.manuscript_id AND a.base = b.base AND a.scene_order >= b.scene_order""",
 )
 def linking_at_the_scene(spark, sf_dir):
-    """Items of orders as writes of forms, an order being a scene; each order asks for one name as the forms stand at it."""
-    title = lambda c: F.get(F.array(*map(F.lit, ("", "mr", "mrs", "dr"))), (F.col(c) % 4).cast("int"))
-    tagged = lambda tag, c, n: F.concat(F.lit(tag), (F.col(c) % n if n else F.col(c)).cast("string"))
-    items = A.table(spark, sf_dir, "lineitem").where("l_linenumber % 3 = 1")
-    history = items.select(tagged("m", "l_orderkey", 9).alias("manuscript_id"), tagged("n", "l_partkey", 40).alias("base"), title("l_suppkey").alias("honorific"), tagged("c", "l_suppkey", 0).alias("canonical"), F.col("l_orderkey").alias("scene_order"), (F.col("l_linenumber").cast("long") * 1000000 + F.col("l_suppkey")).alias("pos"), F.lit(0).alias("nth"))
-    asked = A.table(spark, sf_dir, "orders").select(tagged("m", "o_orderkey", 9).alias("manuscript_id"), F.col("o_orderkey").alias("scene_order"), tagged("n", "o_custkey", 40).alias("base"), title("o_custkey").alias("honorific"))
+    """A document is a scene; a third of them write a form for their source, and each asks for a name as the forms stand at it."""
+    n, base = F.col("n_chars"), lambda x: F.concat(F.lit("n"), (x % 9).cast("string"))
+    rows = A.table(spark, sf_dir, "documents").select(F.expr("doc_id div 200").alias("manuscript_id"), F.col("doc_id").alias("scene_order"), F.get(F.array(*map(F.lit, ("", "mr", "mrs", "dr"))), (n % 4).cast("int")).alias("honorific"), "n_chars", F.col("source").alias("canonical"))
+    history = rows.where("n_chars % 3 = 1").select("manuscript_id", base(F.floor(n / 4)).alias("base"), "honorific", "canonical", "scene_order", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("nth"))
+    asked = rows.select("manuscript_id", "scene_order", base(F.floor(n / 16)).alias("base"), "honorific")
     return resolution.lookup_at(asked, history).select("manuscript_id", "scene_order", "base", "honorific", "canonical")
 
 
 @query(
     "q67_similar_names",
-    """WITH n AS (SELECT DISTINCT p_partkey // 40 AS manuscript_id, CASE WHEN p_partkey % 4 = 0 THEN 'Mr. ' WHEN p_partkey % 4 = 1 THEN 'Mrs. ' ELSE '' END AS title, CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, 4) WHEN p_partkey % 3 = 1 THEN string_split(p_name, ' ')[-1] ELSE p_name END AS base FROM part),
-u AS (SELECT manuscript_id, title || base AS name, title, trim(base) AS base FROM n), p AS (SELECT a.manuscript_id, a.name AS name_a, b.name AS name_b, a.base AS x, b.base AS y, CASE WHEN length(a.base) < length(b.base) THEN a.base ELSE b.base END AS short, CASE WHEN length(a.base) < length(b.base) THEN b.base ELSE a.base END AS long
+    r"""WITH h AS (SELECT page_id, string_split(regexp_extract(url, '://([^/?#]*)', 1), '.') AS w FROM pages WHERE regexp_extract(url, '://([^/?#]*)', 1) <> ''),
+n AS (SELECT DISTINCT page_id // 40 AS manuscript_id, CASE WHEN page_id % 4 = 0 THEN 'Mr. ' WHEN page_id % 4 = 1 THEN 'Mrs. ' ELSE '' END AS title, lower(array_to_string(CASE WHEN page_id % 3 = 0 THEN [w[1]] WHEN page_id % 3 = 1 THEN w[2:] ELSE w END, ' ')) AS base FROM h),
+u AS (SELECT manuscript_id, title || base AS name, title, base FROM n WHERE base <> ''), p AS (SELECT a.manuscript_id, a.name AS name_a, b.name AS name_b, a.base AS x, b.base AS y, CASE WHEN length(a.base) < length(b.base) THEN a.base ELSE b.base END AS short, CASE WHEN length(a.base) < length(b.base) THEN b.base ELSE a.base END AS long
 FROM u a JOIN u b ON a.manuscript_id = b.manuscript_id AND a.name < b.name WHERE a.title = '' OR b.title = '' OR a.title = b.title),
 s AS (SELECT *, contains(long, short) AS holds, contains(x, ' ') AND contains(y, ' ') AND string_split(x, ' ')[-1] = string_split(y, ' ')[-1] AS family FROM p)
 SELECT manuscript_id, name_a, name_b, CASE WHEN x = y THEN true WHEN holds THEN NOT (contains(long, ' ') AND short = string_split(long, ' ')[-1]) ELSE string_split(x, ' ')[1:-2] = string_split(y, ' ')[1:-2] END AS auto FROM s WHERE holds OR family""",
 )
 def similar_names(spark, sf_dir):
-    """Part names, their last words and their first four letters, some with titles, in manuscripts of 40 part keys."""
-    k = F.col("p_partkey")
+    """Words of hosts as names of several words, some of them the first word only or without it, in manuscripts of 40 pages."""
+    k, words = F.col("page_id"), F.split(F.regexp_extract("url", "://([^/?#]*)", 1), r"\.")
     title = F.when(k % 4 == 0, "Mr. ").when(k % 4 == 1, "Mrs. ").otherwise("")
-    base = F.when(k % 3 == 0, F.substring("p_name", 1, 4)).when(k % 3 == 1, F.element_at(F.split("p_name", " "), -1)).otherwise(F.col("p_name"))
-    named = A.table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("manuscript_id"), F.concat(title, base).alias("name"))
-    return resolution.similar_pairs(named)
+    some = F.when(k % 3 == 0, F.slice(words, 1, 1)).when(k % 3 == 1, F.slice(words, 2, F.size(words))).otherwise(words)
+    named = A.table(spark, sf_dir, "pages").select(F.expr("page_id div 40").alias("manuscript_id"), title.alias("title"), F.lower(F.array_join(some, " ")).alias("base")).where("base <> ''")
+    return resolution.similar_pairs(named.select("manuscript_id", F.concat("title", "base").alias("name")))
 
 
 @query(
     "q68_merge_chains",
-    """WITH RECURSIVE m AS (SELECT c_custkey AS f, c_custkey - 1 AS t FROM customer WHERE c_custkey % 10 IN (2, 3, 4, 5) UNION SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 10 = 7 UNION SELECT c_custkey, c_custkey - 1 FROM customer WHERE c_custkey % 20 = 8
-  UNION SELECT c_custkey, c_custkey - 4 FROM customer WHERE c_custkey % 10 = 9 UNION SELECT c_custkey, c_custkey - 9 FROM customer WHERE c_custkey % 30 = 9),
+    """WITH RECURSIVE m AS (SELECT doc_id AS f, doc_id - 1 AS t FROM documents WHERE doc_id % 10 IN (2, 3, 4, 5) UNION SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 10 = 7 UNION SELECT doc_id, doc_id - 1 FROM documents WHERE doc_id % 20 = 8
+  UNION SELECT doc_id, doc_id - 4 FROM documents WHERE doc_id % 10 = 9 UNION SELECT doc_id, doc_id - 9 FROM documents WHERE doc_id % 30 = 9),
 e AS (SELECT f AS a, t AS b FROM m UNION SELECT t, f FROM m), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
 root AS (SELECT a, coalesce(min(b) FILTER (WHERE b NOT IN (SELECT f FROM m)), min(b)) AS root FROM r GROUP BY a),
-c AS (SELECT c_custkey AS k, coalesce(root, c_custkey) AS character_id, c_name FROM customer LEFT JOIN root ON a = c_custkey),
-n AS (SELECT character_id, count(DISTINCT o_orderkey // 4) AS n_mentions FROM c JOIN orders ON o_custkey = k GROUP BY 1)
-SELECT character_id, string_agg(c_name, ',' ORDER BY c_name) FILTER (WHERE k <> character_id) AS aliases, count(*) - 1 AS absorbed, coalesce(max(n_mentions), 0) AS n_mentions FROM c LEFT JOIN n USING (character_id) GROUP BY character_id""",
+c AS (SELECT doc_id AS k, coalesce(root, doc_id) AS character_id, 'd' || doc_id AS name, n_chars FROM documents LEFT JOIN root ON a = doc_id),
+n AS (SELECT character_id, count(DISTINCT x) AS n_mentions FROM (SELECT character_id, unnest([n_chars % 997, n_chars * 7 % 997]) AS x FROM c) GROUP BY 1)
+SELECT character_id, string_agg(name, ',' ORDER BY name) FILTER (WHERE k <> character_id) AS aliases, count(*) - 1 AS absorbed, max(n_mentions) AS n_mentions FROM c JOIN n USING (character_id) GROUP BY character_id""",
 )
 def merge_chains(spark, sf_dir):
-    """Accepted merges in one batch: chains of five, circles of two, and customers merged into two others. Mentions that several
-    characters have are edges, and those that meet become one."""
-    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("character_id"), F.col("c_name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    """Documents as characters and their accepted merges in one batch: chains of five, circles of two, and some merged into two
+    others. A mention that several characters have is one with several edges, and edges that meet become one."""
+    rows = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("character_id"), F.col("n_chars").cast("long").alias("n"))
     k = F.col("character_id")
-    step = lambda where, by: c.where(where).select(k.alias("from_id"), (k + by).alias("to_id"))
+    c = rows.select("character_id", F.concat(F.lit("d"), k.cast("string")).alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    step = lambda where, by: rows.where(where).select(k.alias("from_id"), (k + by).alias("to_id"))
     merges = step((k % 10).isin(2, 3, 4, 5), -1).unionAll(step(k % 10 == 7, 1)).unionAll(step(k % 20 == 8, -1)).unionAll(step(k % 10 == 9, -4)).unionAll(step(k % 30 == 9, -9))
-    edges = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("character_id"), F.expr("o_orderkey div 4").alias("mention_id")).distinct()
+    edges = rows.select("character_id", F.explode(F.array(F.col("n") % 997, F.col("n") * 7 % 997)).alias("mention_id")).distinct()
     seen = edges.select("character_id", F.col("mention_id").alias("scene_id"), F.lit("mentioned").alias("kind"), F.lit(1).alias("mention_count"))
     people, moved, _ = upsert.accepted(c, edges, seen, merges)
     n = moved.groupBy("character_id").agg(F.count("*").alias("n_mentions"))
     listed = F.when(F.size("aliases") > 0, F.array_join("aliases", ","))
-    return people.join(n, "character_id", "left").select("character_id", listed.alias("aliases"), F.size("merged_from").cast("long").alias("absorbed"), F.coalesce("n_mentions", F.lit(0)).alias("n_mentions"))
+    return people.join(n, "character_id").select("character_id", listed.alias("aliases"), F.size("merged_from").cast("long").alias("absorbed"), "n_mentions")
