@@ -102,3 +102,18 @@ def require(manuscripts: DataFrame, layer_runs: DataFrame, manuscript_id: str, l
         raise ManuscriptNotFound(manuscript_id)
     if layer_runs.where((F.col("manuscript_id") == manuscript_id) & (F.col("layer") == layer)).isEmpty():
         raise NotExtracted(f"{manuscript_id}: {layer}")
+
+
+def gated(rows: DataFrame, manuscripts: DataFrame, layer_runs: DataFrame, manuscript_id: str, layer: str) -> DataFrame:
+    """The rows; their plan itself fails where require() would, so that no job has to look first.
+
+    What is looked at are two counts; they come as a further branch without rows, which is evaluated with the others, also
+    where rows has none.
+    """
+    own = F.col("manuscript_id") == manuscript_id
+    there = manuscripts.where(own).agg(F.count("*").alias("n")).select("n", F.lit(f"{ManuscriptNotFound.code}: {manuscript_id}").alias("told"))
+    ran = layer_runs.where(own & (F.col("layer") == layer)).agg(F.count("*").alias("n")).select("n", F.lit(f"{NotExtracted.code}: {manuscript_id}: {layer}").alias("told"))
+    first = F.min(F.struct("place", "n", "told"))  # of two failures the first is told
+    failed = there.withColumn("place", F.lit(1)).unionAll(ran.withColumn("place", F.lit(2))).where("n = 0").agg(first.alias("x")).where("x is not null")
+    probe = failed.where(F.raise_error(F.col("x.told")).cast("boolean")).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    return rows.unionAll(probe)

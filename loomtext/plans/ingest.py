@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtext import errors
 from loomtext.functions.text import word_count
 from loomtext.operators import segmentation, upsert
+from loomtext.schemas import accepted_and_quarantined
 from loomtext.sources import manuscripts
 
 KEYS = {"manuscript": ["manuscript_id"], "chapter": ["chapter_id"], "scene": ["scene_id"], "non_narrative_block": ["block_id"], "next_chapter": ["from_id", "to_id"], "next_scene": ["from_id", "to_id"]}
@@ -46,7 +47,8 @@ def raw_layer(blocks: DataFrame, titles: DataFrame | None = None, keep: Keep = l
 
 
 def ingest(spark: SparkSession, path: str, staging: str | None = None) -> dict[str, DataFrame]:
-    """Read files under a path or pattern: the tables of those that can be read, and `failed` (source_id, code, error).
+    """Read files under a path or pattern: the tables of those that can be read, `failed` (source_id, code, error), and `quarantine`
+    with the rows that break a rule of their table.
 
     A file fails alone: of an unknown format, unreadable, without text, or without a scene. If all fail, the error of
     the first by name is raised; also if there is none, as Spark lists no file without bytes. staging: a folder for what several tables derive from; without it they compute it each.
@@ -55,7 +57,7 @@ def ingest(spark: SparkSession, path: str, staging: str | None = None) -> dict[s
     found = manuscripts.files(spark, path)
     parsed = keep(manuscripts.parsed_files(found), "parsed")
     blocks = keep(manuscripts.blocks(found, parsed), "blocks")
-    tables = raw_layer(blocks, parsed, keep)
+    tables = accepted_and_quarantined(raw_layer(blocks, parsed, keep), keep)
     told = parsed.where("code is not null").select(F.col("manuscript_id").alias("source_id"), "code", "error")
     with_scenes = segmentation.raw_scenes(blocks).select(F.col("manuscript_id").alias("source_id")).distinct()
     empty = parsed.where("code is null").select(F.col("manuscript_id").alias("source_id")).join(with_scenes, "source_id", "left_anti")

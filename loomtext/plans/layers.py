@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import ids, names
 from loomtext.functions.text import offset_of
 from loomtext.operators import evidence, reads, resolution
-from loomtext.schemas import ATTRIBUTES, EXTRACTION, RELATIONS, valid_attribute, valid_relation
+from loomtext.schemas import ATTRIBUTES, CHARACTER_ROLES, ENTITY_KINDS, EXTRACTION, MENTION_KINDS, RELATIONS, accepted_and_quarantined, valid_attribute, valid_relation
 from loomtext.sources import responses
 
 
@@ -78,7 +78,8 @@ def character_layer(extracted: DataFrame, decisions: DataFrame | None = None, ju
     person = lambda c: ids.character_id(F.col("manuscript_id"), names.fold(F.col(c)))
     merges = queued.select(ids.merge_candidate_id(person("resolved_name"), person("canonical_name")).alias("candidate_id"), "manuscript_id", person("resolved_name").alias("character_a_id"), person("canonical_name").alias("character_b_id"), F.col("resolved_name").alias("name_a"), F.col("canonical_name").alias("name_b"), "confidence", "rationale", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("resolved_at"))
     counted = characters.join(evidence.character_counters(characters, mentions, appearances), "character_id")
-    return {"character": counted, "mention": mentions, "mention_node": nodes, "has_mention": edges, "appears_in": evidence.appearance_counters(appearances, mentions), "merge_candidate": merges.dropDuplicates(["candidate_id"])}
+    tables = {"character": counted, "mention": mentions, "mention_node": nodes, "has_mention": edges, "appears_in": evidence.appearance_counters(appearances, mentions), "merge_candidate": merges.dropDuplicates(["candidate_id"])}
+    return accepted_and_quarantined(tables, keep)
 
 
 def _evidences(looked: DataFrame, columns: list[str]) -> DataFrame:
@@ -94,7 +95,10 @@ def attribute_contract() -> Column:
 
 
 def extraction_contract() -> Column:
-    return F.col("response.mentions").isNotNull() & F.col("response.new_characters").isNotNull()
+    """Lists that are there, closed values, and the texts that every mention and character has; one that breaks it breaks the response."""
+    said = lambda m: m["kind"].isin(*MENTION_KINDS) & m["surface"].isNotNull() & m["quote"].isNotNull()
+    new = lambda c: c["canonical_name"].isNotNull() & F.coalesce(c["role"], F.lit("unknown")).isin(*CHARACTER_ROLES) & F.coalesce(c["entity_kind"], F.lit("person")).isin(*ENTITY_KINDS)
+    return F.coalesce(F.forall("response.mentions", said) & F.forall("response.new_characters", new), F.lit(False))
 
 
 def relation_layer(scenes: DataFrame, stored: DataFrame, force: bool = False) -> dict[str, DataFrame]:
@@ -107,7 +111,8 @@ def relation_tables(looked: DataFrame) -> dict[str, DataFrame]:
     inside = rows.where(F.array_contains("cast_ids", F.col("character_a_id")) & F.array_contains("cast_ids", F.col("character_b_id"))).drop("e", "cast_ids")
     kept = evidence.strongest(evidence.canonical(inside), ["scene_id", "character_a_id", "character_b_id"], "pos")
     named = kept.withColumn("evidence_id", ids.relation_evidence_id(F.col("scene_id"), F.col("character_a_id"), F.col("character_b_id"))).drop("pos")
-    return {"relation_evidence": named, "relates_to": evidence.relation_map(named)}
+    checked = accepted_and_quarantined({"relation_evidence": named})
+    return checked | {"relates_to": evidence.relation_map(checked["relation_evidence"])}
 
 
 def attribute_layer(scenes: DataFrame, stored: DataFrame, force: bool = False) -> dict[str, DataFrame]:
@@ -119,8 +124,9 @@ def attribute_tables(looked: DataFrame) -> dict[str, DataFrame]:
     inside = rows.where(F.array_contains("cast_ids", F.col("character_id"))).drop("e", "cast_ids").withColumn("value_norm", F.lower(F.trim("value_norm")))
     kept = evidence.strongest(inside, ["scene_id", "character_id", "key"], "pos")
     named = kept.withColumn("evidence_id", ids.attribute_evidence_id(F.col("scene_id"), F.col("character_id"), F.col("key"))).drop("pos")
-    sheet = evidence.attribute_sheet(named)
-    return {"attribute_evidence": named, "attribute": sheet.withColumn("attribute_id", ids.attribute_id(F.col("character_id"), F.col("key"), F.col("value_norm")))}
+    checked = accepted_and_quarantined({"attribute_evidence": named})
+    sheet = evidence.attribute_sheet(checked["attribute_evidence"])
+    return checked | {"attribute": sheet.withColumn("attribute_id", ids.attribute_id(F.col("character_id"), F.col("key"), F.col("value_norm")))}
 
 
 def run_counters(looked: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomtext.functions.prompts import SYSTEM, judge_prompt, scene_prompt
@@ -18,22 +18,32 @@ from loomtext.schemas import JUDGEMENT
 from loomtext.sources import models, responses
 
 
-def completed(wanted: DataFrame, store: str, layer: str, schema: str, valid: Column, client: Callable[[], models.Model] | None, context: Column, chapter: Column | None = None, force: bool = False) -> DataFrame:
+def completed(wanted: DataFrame, store: str, layer: str, schema: str, valid: Column, client: Callable[[], models.Model] | None, context: Column, chapter: Column | None = None, force: bool = False, totals: dict | None = None) -> DataFrame:
     """wanted, rows with cache_key and text, with response, hit (stored before), answered (by the model now) and error.
 
     Misses are asked by scene_prompt(), and the answers appended to the store, also failures, which are asked again the
     next time. force asks for all rows, and writes too. Without a client misses stay misses. A broken contract fails its
-    row alone; an absent provider fails the job, and what was stored stays.
+    row alone; an absent provider fails the job, and what was stored stays. totals gets the run's rows (scenes), cache_hits,
+    asked, answered and failed, observed while the answers are written: no job looks at the table again for them.
     """
     spark = wanted.sparkSession
     looked = responses.looked_up(wanted, responses.saved(spark, store, layer), schema, valid, force)
     before = looked.select(*wanted.columns, "hit", F.col("response").alias("_stored"))
     if client is None:
         return before.withColumnRenamed("_stored", "response").withColumns({"answered": F.lit(False), "error": F.lit(None).cast("string")})
-    asked = looked.where("not hit").select("cache_key", scene_prompt(F.col("text"), context, chapter).alias("prompt")).dropDuplicates(["cache_key"])
+    seen, wrote = Observation(f"{layer} looked up"), Observation(f"{layer} asked")
+    watched = looked.observe(seen, F.count(F.lit(1)).alias("scenes"), F.count_if("hit").alias("cache_hits"))
+    asked = watched.where("not hit").select("cache_key", scene_prompt(F.col("text"), context, chapter).alias("prompt")).dropDuplicates(["cache_key"])
     run = spark.sql("select uuid() as run").first()["run"]
     told = models.answered(asked, SYSTEM[layer], schema, client).withColumns({"layer": F.lit(layer), "run": F.lit(run), "answered_at": F.current_timestamp()})
-    responses.save(told, store)
+    answers = told.observe(wrote, F.count(F.lit(1)).alias("asked"), F.count_if(F.col("payload").isNotNull()).alias("answered"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    spark.sparkContext.setJobDescription(f"{layer}: asking a model for what is not stored")
+    try:
+        responses.save(answers, store)
+    finally:
+        spark.sparkContext.setJobDescription(None)
+    if totals is not None:
+        totals |= {**seen.get, **wrote.get}
     new = spark.read.schema("layer string, cache_key string, payload string, error string, run string").parquet(store).where((F.col("layer") == layer) & (F.col("run") == run))
     fresh = responses.looked_up(new.select("cache_key", "error").withColumnRenamed("error", "failure"), new, schema, valid)
     rows = before.join(fresh.select("cache_key", F.col("response").alias("_new"), "failure", F.lit(True).alias("_asked")), "cache_key", "left")

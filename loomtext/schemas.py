@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Closed vocabularies of the data model.
@@ -54,14 +56,44 @@ def key_class(key: str | Column) -> Column:
     return F.when((F.col(key) if isinstance(key, str) else key) == "status", "stateful").otherwise("static")
 
 
-def violations(rows: DataFrame, key: list[str], *checks: Column) -> int:
-    """Rows that fail a check, plus keys that stand more than once."""
-    bad = rows.where(~F.coalesce(_all(checks), F.lit(False))).count() if checks else 0
-    return bad + rows.groupBy(*key).count().where("count > 1").count()
+def _one_of(column: str, values: tuple[str, ...]) -> str:
+    return f"{column} in ({', '.join(repr(v) for v in values)})"
+
+
+_OFFSETS = "start_offset >= 0 and end_offset >= start_offset"
+#: For each table its key, and what must hold of a row, by name.
+RULES: dict[str, tuple[list[str], dict[str, str]]] = {
+    "chapter": (["chapter_id"], {"kind": _one_of("kind", CHAPTER_KINDS), "order": "order_narrative >= 0", "word_count": "word_count >= 0", "offsets": _OFFSETS}),
+    "scene": (["scene_id"], {"text": "text <> ''", "char_count": "char_count = length(text)", "boundary_reason": _one_of("boundary_reason", BOUNDARY_REASONS), "order": "order_in_chapter >= 0 and order_narrative_global >= 0", "offsets": _OFFSETS}),
+    "non_narrative_block": (["block_id"], {"kind": _one_of("kind", NON_NARRATIVE_KINDS), "text": "text is not null"}),
+    "character": (["character_id"], {"name": "canonical_name <> ''", "role": _one_of("role", CHARACTER_ROLES), "entity_kind": _one_of("entity_kind", ENTITY_KINDS)}),
+    "mention_node": (["mention_id"], {"kind": _one_of("kind", MENTION_KINDS), "surface": "surface <> ''", "offsets": _OFFSETS}),
+    "merge_candidate": (["candidate_id"], {"pair": "character_a_id <> character_b_id", "confidence": "confidence between 0 and 1"}),
+    "relation_evidence": (["evidence_id"], {"rel_type": _one_of("rel_type", REL_TYPES), "provenance": _one_of("provenance", PROVENANCES), "confidence": "confidence between 0 and 1", "pair": "character_a_id < character_b_id"}),
+    "attribute_evidence": (["evidence_id"], {"key": _one_of("key", ATTRIBUTE_KEYS), "value": "value_norm <> ''", "confidence": "confidence between 0 and 1"}),
+}
+
+
+def with_reasons(rows: DataFrame, rules: dict[str, str], key: list[str] | None = None) -> DataFrame:
+    """Adds reasons, the names of the rules that a row breaks (a rule that is null is broken), and repeated_key of those
+    whose key stands more than once, where a key is given. One pass; the key needs its rows together."""
+    broken = [F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(name)) for name, rule in rules.items()]
+    if key:
+        broken.append(F.when(F.count(F.lit(1)).over(Window.partitionBy(*key)) > 1, F.lit("repeated_key")))
+    return rows.withColumn("reasons", F.array_compact(F.array(*broken)))
+
 
+def accepted_and_quarantined(tables: dict[str, DataFrame], keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows, unique: bool = False) -> dict[str, DataFrame]:
+    """The tables with the rows that keep their rules, and quarantine: (table_name, row_key, reasons, row as JSON) of the others.
 
-def _all(checks: tuple[Column, ...]) -> Column:
-    out = F.lit(True)
-    for c in checks:
-        out = out & c
-    return out
+    keep writes the checked rows, so that they are made once for both. unique also checks keys, for tables of other hands.
+    """
+    out, bad = dict(tables), None
+    for name in tables.keys() & RULES.keys():
+        key, rules = RULES[name]
+        told = keep(with_reasons(tables[name], rules, key if unique else None), f"checked_{name}")
+        out[name] = told.where(F.size("reasons") == 0).drop("reasons")
+        row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in tables[name].columns]))
+        some = told.where(F.size("reasons") > 0).select(F.lit(name).alias("table_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("row_key"), "reasons", row.alias("row"))
+        bad = some if bad is None else bad.unionByName(some)
+    return out if bad is None else out | {"quarantine": bad}
