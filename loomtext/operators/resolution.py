@@ -219,7 +219,7 @@ def with_forms(candidates: DataFrame) -> DataFrame:
 TOLD = "manuscript_id string, name_a string, name_b string, status string, same_entity boolean, confidence double, rationale string, auto boolean"
 
 
-def _told(spark: SparkSession, decisions: DataFrame | None, judgements: DataFrame | None) -> DataFrame:
+def told_pairs(spark: SparkSession, decisions: DataFrame | None, judgements: DataFrame | None) -> DataFrame:
     """Decisions, and the judgements of similar names, as rows of TOLD."""
     out = spark.createDataFrame([], TOLD)
     if decisions is not None:
@@ -253,5 +253,5 @@ def resolved(candidates: DataFrame, decisions: DataFrame | None = None, judgemen
         found, _ = fold(frame, told)
         return pd.DataFrame([(frame["manuscript_id"].iloc[0], *r) for r in found], columns=columns)
 
-    told = _told(candidates.sparkSession, decisions, judgements)
+    told = told_pairs(candidates.sparkSession, decisions, judgements)
     return with_forms(candidates).groupBy("manuscript_id").cogroup(told.groupBy("manuscript_id")).applyInPandas(run, f"{RESOLVED}, {CHANGED}")
