@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomtext.functions import names
 from loomtext.operators import resolution, upsert
 from loomtext.plans import adapters as A
 from loomtext.plans.catalogue import query
@@ -72,3 +73,26 @@ def merge_chains(spark, sf_dir):
     n = moved.groupBy("character_id").agg(F.count("*").alias("n_mentions"))
     listed = F.when(F.size("aliases") > 0, F.array_join("aliases", ","))
     return people.join(n, "character_id").select("character_id", listed.alias("aliases"), F.size("merged_from").cast("long").alias("absorbed"), "n_mentions")
+
+
+#: How an alias is made of a name, and whether it is a valid alias, unnamed, and a collective.
+_FORMS = (
+    ("{}", True, False, False), ("she", False, True, False), ("ella", False, True, False), ("her friend", False, True, False), ("la Madre", False, False, False), ("mamma", False, True, False), ("Mr. {}", True, False, False),
+    ("el anciano", False, True, False), ("the waiter", False, True, True), ("hermana de {}", False, True, False), ("{}'s mother", False, True, False), ("un {}", True, False, False), ("", False, True, False), ("   ", False, True, False),
+    ("Tía {}", True, False, False), ("my Sister", False, False, False), ("Señor {}", True, False, False), ("of the {}", True, False, False), ("los {}", True, False, True), ("THE {}", True, False, True), ("todas", False, True, True),
+)
+
+
+@query(
+    "q69_alias_rules",
+    "WITH f AS (SELECT * FROM (VALUES "
+    + ", ".join("({}, '{}', {}, {}, {})".format(i, f.replace("'", "''"), *map(str, x)) for i, (f, *x) in enumerate(_FORMS))
+    + f") v(i, form, valid, unnamed, collective)) SELECT doc_id, replace(form, '{{}}', upper(source[1]) || source[2:] || n_chars) AS alias, valid, unnamed, collective FROM documents JOIN f ON doc_id % {len(_FORMS)} = i",
+)
+def alias_rules(spark, sf_dir):
+    """A form of a name for each document, made of its source and length: what the rules say of it."""
+    forms = F.array(*[F.lit(f) for f, *_ in _FORMS])
+    name = F.concat(F.initcap("source"), F.col("n_chars").cast("string"))
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", F.replace(F.get(forms, (F.col("doc_id") % len(_FORMS)).cast("int")), F.lit("{}"), name).alias("alias"))
+    a = F.col("alias")
+    return rows.select("doc_id", "alias", names.is_valid_alias(a).alias("valid"), names.is_unnamed(a).alias("unnamed"), names.is_collective(a).alias("collective"))

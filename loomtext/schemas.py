@@ -35,6 +35,21 @@ RELATIONS = "evidences array<struct<character_a_id:string,character_b_id:string,
 ATTRIBUTES = "evidences array<struct<character_id:string,key:string,value_norm:string,value_quote:string,confidence:double>>, notes string"
 JUDGEMENT = "same_entity boolean, confidence double, rationale string"
 
+MENTION = "mention_id string, manuscript_id string, scene_id string, surface string, kind string, start_offset int, end_offset int, quote string"
+HAS_MENTION = "manuscript_id string, character_id string, mention_id string"
+RELATION_EVIDENCE = "evidence_id string, manuscript_id string, scene_id string, narrative_order int, character_a_id string, character_b_id string, rel_type string, descriptor string, role_a string, role_b string, provenance string, confidence double, quote string"
+ATTRIBUTE_EVIDENCE = "evidence_id string, manuscript_id string, scene_id string, narrative_order int, character_id string, key string, value_norm string, value_quote string, confidence double"
+#: Tables of the catalog: schema, the column that owns a row, and the key.
+TABLES: dict[str, tuple[str, str, list[str]]] = {
+    "chapter": (CHAPTER, "manuscript_id", ["chapter_id"]),
+    "scene": (SCENE, "manuscript_id", ["scene_id"]),
+    "character": (CHARACTER, "manuscript_id", ["character_id"]),
+    "mention_node": (MENTION, "manuscript_id", ["mention_id"]),
+    "has_mention": (HAS_MENTION, "manuscript_id", ["mention_id", "character_id"]),
+    "relation_evidence": (RELATION_EVIDENCE, "manuscript_id", ["evidence_id"]),
+    "attribute_evidence": (ATTRIBUTE_EVIDENCE, "manuscript_id", ["evidence_id"]),
+}
+
 
 def valid_relation(e: Column) -> Column:
     """A relation evidence that keeps the contract: closed values, confidence in [0, 1], two different characters."""
