@@ -385,3 +385,28 @@ def test_url_rules_match_by_index(spark):
     labelled = spark.createDataFrame([(["x", "y"], "block")] * 30 + [(["x"], "allow")] * 30 + [(["z"], "allow")] * 20, "tokens array<string>, label string")
     found = {(tuple(r["items"]), r.label) for r in urls.mined_rules(labelled, 0.05, 0.9).collect()}
     assert found == {(("y",), "block"), (("z",), "allow")}
+
+
+def test_fixed_paths_of_many_words_are_one_item(spark):
+    """Forty words that always come together are mined as one; words that come together nearly always stay apart."""
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    long = "/".join(words)
+    hosts = [f"http://a{i}.org/{long}/{i}" for i in range(30)] + [f"http://b{i}.org/x/{i}" for i in range(270)]
+    pages = spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string")
+    parts = urls.with_parts(pages).withColumn("tokens", urls.tokens()).withColumn("label", F.when(F.col("page_id") < 30, "block").otherwise("allow"))
+    found = {(tuple(r["items"]), r.label) for r in urls.mined_rules(parts, 0.05, 0.9).collect()}
+    assert (("p=" + min(words),), "block") in found and not any(len(items) > 1 for items, label in found if label == "block")
+    assert {r.page_id for r in urls.judged(pages, parts.select("page_id", "label"), 0.05).where("verdict = 'block'").collect()} == set(range(30))
+    assert urls.judged(pages).where("verdict = 'block'").count() == 0
+
+
+def test_a_rule_needs_a_share_of_the_rows_or_enough_of_them(spark):
+    rows = spark.createDataFrame([(["x"], "block")] * 12 + [(["z"], "allow")] * 988, "tokens array<string>, label string")
+    found = lambda **how: {r.label for r in urls.mined_rules(rows, 0.05, 0.9, **how).collect()}
+    assert found() == {"allow"} and found(enough=12) == {"allow", "block"} and found(enough=13) == {"allow"}
+
+
+def test_rules_of_one_half_judge_the_other(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.{d}/{p}/x") for i, (d, p) in enumerate((d, p) for _ in range(40) for d in ("net", "com") for p in ("es", "fr", "en"))], "page_id long, url string")
+    got = {(r.label, r.mined): r.pages for r in urls.held_out_counts(pages).collect()}
+    assert got.keys() == {("block", "block"), ("allow", "allow")}
