@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import components
-from loomtext.llm.shared import of_rows, own_id, text_id, written
+from loomtext.llm.shared import of_rows, own_id, released, text_id, written
 from loomtext.llm.textnum import Words, as_long, mix, shingles, text_slices
 
 BITS = 2048
@@ -36,6 +36,7 @@ LEAF_SHINGLES = 100_000  # of a leaf of a large root, all its classes together
 SHARED = 50  # shingles for which linked sets share one root more
 FREQUENT = 5  # log2 of the least count of a shingle that the order knows as frequent
 WHOLE = 4_096  # rows of a root whose sizes a task compares
+COMMON = 12  # log2 of the count from which a shingle as a root is known to be one of more rows than that
 MOST_FREQUENT = 1 << 20  # shingles the order knows at most; the others count as rare
 RUN = 4_000_000  # shingles a task counts together
 
@@ -117,17 +118,24 @@ class Roots:
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Roots of one set, given sorted by hash."""
+        return np.concatenate(self.parted(h))
+
+    def parted(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rare ones among them, and the COMMON ones."""
         n = len(h)
-        first = h
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-            rank = np.where(self.frequent[at] == h, self.power[at], 0)
-            first = h[np.argsort(rank, kind="stable")]
-        return first[: n - -(-n * self.percent // 100) + least_shared(n)]
+        most = n - -(-n * self.percent // 100) + least_shared(n)
+        if not len(self.frequent):
+            return h[:most], h[:0]
+        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+        rank = np.where(self.frequent[at] == h, self.power[at], 0)
+        first = np.argsort(rank, kind="stable")[:most]
+        common = rank[first] >= COMMON
+        return h[first[~common]], h[first[common]]
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, tid of its text, n, key of its set, and the roots of a set's first document in a task; for the others null."""
+    """doc_id, tid of its text, n, key of its set, and the roots, rare and common, of a set's first document in a task; for the
+    others null."""
     frequent, power = frequent_shingles(docs, k)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,54 +147,72 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 roots = []
                 for i, key in enumerate(keys.tolist()):
                     if not n[i] or key in seen:
-                        roots.append(None)
+                        roots.append((None, None))
                         continue
                     seen.add(key)
-                    roots.append(as_long(how.of(h[first[i] : first[i] + n[i]])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tid").slice(a, b - a), pa.array(n), pa.array(keys), pa.array(roots, pa.list_(pa.int64()))], ["doc_id", "tid", "n", "key", "roots"])
+                    roots.append(tuple(as_long(x) for x in how.parted(h[first[i] : first[i] + n[i]])))
+                rare, common = (pa.array([r[j] for r in roots], pa.list_(pa.int64())) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tid").slice(a, b - a), pa.array(n), pa.array(keys), rare, common], ["doc_id", "tid", "n", "key", "roots", "common"])
 
-    return own_id(docs).withColumn("tid", text_id()).mapInArrow(scan, "doc_id long, tid long, n long, key long, roots array<long>")
+    return own_id(docs).withColumn("tid", text_id()).mapInArrow(scan, "doc_id long, tid long, n long, key long, roots array<long>, common array<long>")
 
 
-def company(stands: DataFrame, percent: int) -> DataFrame:
+def company(stands: DataFrame, percent: int, common: DataFrame | None = None) -> DataFrame:
     """root, key and n of the rows (root, key, n) of sets that may be linked, under roots that they may share.
 
-    A set stays under a root if a set of a size within the threshold stands there too, and stays at all if it stays
-    under as many roots as linked sets share at least. Sizes are compared where a task has all rows of a root; the rows
-    of a root of more than WHOLE, or of one that is dealt to several tasks, all stay.
+    stands: rows of rare roots; common: of common ones.
+
+    A set stays under a root if another of a size within the threshold stands there too, and stays at all if it stays
+    under as many roots as linked sets share at least. Rows of rare roots are dealt by root once, and a task compares the
+    sizes of each root it has; the rows of a common root, or of one of more than WHOLE rows, all stay. Rows that stay are dealt by
+    set once, to be counted.
     """
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(x: pa.Table, loose: bool) -> list[pa.RecordBatch]:
+            return x.append_column("loose", pa.array(np.full(x.num_rows, loose))).combine_chunks().to_batches()
+
         def with_neighbours(x: pa.Table) -> list[pa.RecordBatch]:
-            root, n, count = (x.column(c).to_numpy() for c in ("root", "n", "count"))
-            order = np.lexsort((n, root))
-            r, m = root[order], n[order]
+            root, key, n = (x.column(c).to_numpy() for c in ("root", "key", "n"))
+            order = np.lexsort((key, n, root))
+            r, k, m = root[order], key[order], n[order]
+            once = np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]))
+            order, r, m = order[once], r[once], m[once]
             near = (r[1:] == r[:-1]) & (100 * m[:-1] >= percent * m[1:])
-            stays = np.append(False, near) | np.append(near, False)
-            first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-            here = np.repeat(np.diff(np.append(first, len(r))), np.diff(np.append(first, len(r))))
-            stays |= here < count[order]
-            return x.select(["root", "key", "n"]).take(pa.array(order[stays])).combine_chunks().to_batches(len(r) or 1)
+            return told(x.take(pa.array(order[np.append(False, near) | np.append(near, False)])), False)
 
         held: pa.Table | None = None
+        large = None  # a root of which more than WHOLE rows went by
         for batch in batches:
-            hot = batch.column("count").to_numpy() > WHOLE
-            yield batch.select(["root", "key", "n"]).filter(pa.array(hot))
-            own = pa.Table.from_batches([batch.filter(pa.array(~hot))])
-            held = own if held is None else pa.concat_tables([held, own])
+            new = pa.Table.from_batches([batch])
+            if large is not None:
+                again = new.column("root").to_numpy() == large
+                if again.any():
+                    yield from told(new.filter(pa.array(again)), True)
+                    new = new.filter(pa.array(~again))
+                if not new.num_rows:
+                    continue
+                large = None
+            held = new if held is None else pa.concat_tables([held, new])
             root = held.column("root").to_numpy()
             other = np.flatnonzero(root != root[-1]) if len(root) else np.zeros(0, np.int64)
             if len(other):
                 yield from with_neighbours(held.slice(0, int(other[-1]) + 1))
                 held = held.slice(int(other[-1]) + 1)
+            if held.num_rows > WHOLE:
+                large = held.column("root")[0].as_py()
+                yield from told(held, True)
+                held = None
         if held is not None and held.num_rows:
             yield from with_neighbours(held)
 
-    again = written(stands.groupBy("root").count().where("count > 1"), "jaccard-roots")
-    met = stands.join(again.hint("merge"), "root").sortWithinPartitions("root").select("root", "key", "n", "count")
-    held = written(met.mapInArrow(sized, "root long, key long, n long"), "jaccard-held")
-    enough = held.groupBy("key").agg(F.count("*").alias("roots"), F.min("n").alias("n")).where(F.col("roots") >= least_shared(F.ceil(F.col("n") * percent / 100)))
-    return held.join(enough.select("key").hint("merge"), "key", "left_semi").select("root", "key", "n").distinct()
+    met = stands.repartition("root").sortWithinPartitions("root").mapInArrow(sized, "root long, key long, n long, loose boolean")
+    met = written(met if common is None else met.unionByName(common.withColumn("loose", F.lit(True))), "jaccard-held")
+    held = met.where("not loose").select("root", "key", "n").unionByName(met.where("loose").select("root", "key", "n").distinct())
+    counted = held.withColumn("roots", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    kept = written(counted.where(F.col("roots") >= least_shared(F.ceil(F.col("n") * percent / 100))).select("root", "key", "n"), "jaccard-under")
+    released(met)
+    return kept
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -384,7 +410,8 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     own = written(classes(docs, k, percent), "jaccard-docs")
     every = written(own.where("n > 0").groupBy("key").agg(*_least()), "jaccard-classes")
     step = math.log(100 / percent) if percent < 100 else 1.0
-    under = written(company(own.where("roots is not null").select(F.explode("roots").alias("root"), "key", "n"), percent).withColumn("size_step", F.floor(F.log(F.col("n").cast("double")) / step)), "jaccard-under")
+    stands = lambda roots: own.where(F.col(roots).isNotNull()).select(F.explode(roots).alias("root"), "key", "n")
+    under = company(stands("roots"), percent, stands("common")).withColumn("size_step", F.floor(F.log(F.col("n").cast("double")) / step))
     sets = written(class_sets(docs, every.join(under.select("key").distinct(), "key", "left_semi"), k), "jaccard-sets")
     least = under.groupBy("root", "size_step").agg(F.min("key").alias("b"))
     stars = under.join(least, ["root", "size_step"]).where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("shared"))

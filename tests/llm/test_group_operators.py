@@ -177,6 +177,21 @@ def test_company_keeps_whoever_may_be_linked(spark, monkeypatch):
     assert want <= got and got - want <= set(rows[:20]) and not any(r[0] == 999 and r[2] < 300 for r in got)  # a row that stands there twice may stay
 
 
+def test_company_of_common_and_large_roots(spark, monkeypatch):
+    """Rows of a common root, or of one with more rows than a task compares, all stay, each once."""
+    monkeypatch.setattr(jaccard, "WHOLE", 20)
+    rows = [(7, i, 10 + 40 * i) for i in range(400)] + [(8, 1000 + i, 50) for i in range(3)] + [(9, 2000, 10), (9, 2001, 500)]
+    common = [(5, 2000, 10), (5, 2001, 500), (5, 2001, 500)]
+    frame = lambda x: spark.createDataFrame(x, "root long, key long, n long").repartition(3)
+    monkeypatch.setattr(jaccard, "least_shared", lambda n: F.lit(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = [tuple(r) for r in jaccard.company(frame(rows * 2), 90, frame(common)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == {r for r in rows if r[0] in (7, 8)} | set(common)
+
+
 def test_trees_of_large_roots(spark, monkeypatch):
     """Near copies of which few are linked with one another: leaves of a few sets, all paired through the trees."""
     monkeypatch.setattr(jaccard, "LEAF", 4)
