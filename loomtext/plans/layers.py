@@ -101,8 +101,16 @@ def extraction_contract() -> Column:
     return F.coalesce(F.forall("response.mentions", said) & F.forall("response.new_characters", new), F.lit(False))
 
 
+def relations_looked_up(scenes: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
+    return responses.looked_up(scenes, stored, RELATIONS, relation_contract(), force)
+
+
+def attributes_looked_up(scenes: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
+    return responses.looked_up(scenes, stored, ATTRIBUTES, attribute_contract(), force)
+
+
 def relation_layer(scenes: DataFrame, stored: DataFrame, force: bool = False) -> dict[str, DataFrame]:
-    return relation_tables(responses.looked_up(scenes, stored, RELATIONS, relation_contract(), force))
+    return relation_tables(relations_looked_up(scenes, stored, force))
 
 
 def relation_tables(looked: DataFrame) -> dict[str, DataFrame]:
@@ -116,7 +124,7 @@ def relation_tables(looked: DataFrame) -> dict[str, DataFrame]:
 
 
 def attribute_layer(scenes: DataFrame, stored: DataFrame, force: bool = False) -> dict[str, DataFrame]:
-    return attribute_tables(responses.looked_up(scenes, stored, ATTRIBUTES, attribute_contract(), force))
+    return attribute_tables(attributes_looked_up(scenes, stored, force))
 
 
 def attribute_tables(looked: DataFrame) -> dict[str, DataFrame]:
