@@ -494,7 +494,28 @@ def _resolution_tables(spark, sf_dir):
     return candidates, decisions, judgements
 
 
-@query("q34_resolution_fold")
+@query(
+    "q34_resolution_fold",
+    """WITH RECURSIVE p AS (SELECT p_partkey, p_partkey // 25 AS m, list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])) AS w FROM part),
+f AS (SELECT m, CASE WHEN p_partkey % 7 = 0 THEN w[1] ELSE array_to_string(w, ' ') END AS name, min(p_partkey) AS s FROM p GROUP BY 1, 2),
+pr AS (SELECT a.m, a.name AS na, b.name AS nb, a.s * 31 + b.s * 17 AS key, lower(a.name) AS x, lower(b.name) AS y FROM f a JOIN f b ON a.m = b.m AND a.name < b.name WHERE list_has_any(string_split(a.name, ' '), string_split(b.name, ' '))),
+sm AS (SELECT *, CASE WHEN length(x) < length(y) THEN x ELSE y END AS short, CASE WHEN length(x) < length(y) THEN y ELSE x END AS long, contains(x, ' ') AND contains(y, ' ') AND string_split(x, ' ')[-1] = string_split(y, ' ')[-1] AS family FROM pr),
+au AS (SELECT *, contains(long, short) OR family AS alike, CASE WHEN contains(long, short) THEN NOT (contains(long, ' ') AND short = string_split(long, ' ')[-1]) ELSE string_split(x, ' ')[1:-2] = string_split(y, ' ')[1:-2] END AS auto FROM sm),
+sd AS (SELECT m, na, nb, CASE WHEN key % 11 = 0 THEN 'accepted' ELSE 'judged' END AS status, (40 + key % 61) / CAST(100 AS DOUBLE) AS conf, auto, 'r' || key AS why FROM au WHERE key % 11 <> 1 AND (key % 11 = 0 OR alike AND key % 3 <> 0 AND 40 + key % 61 >= 50)),
+td AS (SELECT m, name, list({'known': known, 'status': status, 'conf': conf, 'auto': auto, 'why': why}) AS told FROM (SELECT m, na AS name, nb AS known, status, conf, auto, why FROM sd UNION ALL SELECT m, nb, na, status, conf, auto, why FROM sd) GROUP BY 1, 2),
+c AS MATERIALIZED (SELECT f.m, f.name, f.s, CASE WHEN f.s % 3 = 0 THEN [string_split(f.name, ' ')[1]] ELSE CAST([] AS VARCHAR[]) END AS al, told, row_number() OVER (PARTITION BY f.m ORDER BY f.s) AS i FROM f LEFT JOIN td ON td.m = f.m AND td.name = f.name),
+st(m, i, forms, entries, aliases, s, name, resolved, outcome, conf, why) AS (
+  SELECT DISTINCT m, CAST(0 AS BIGINT), CAST([] AS STRUCT(b VARCHAR, c VARCHAR)[]), CAST([] AS VARCHAR[]), CAST([] AS STRUCT(e VARCHAR, a VARCHAR)[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR) FROM c
+  UNION ALL
+  SELECT m, i, list_concat(forms, list_transform(CASE WHEN outcome = 'merged' THEN list_concat(list_transform(list_filter(aliases, lambda q: q.e = entity), lambda q: q.a), al) ELSE list_concat([name], al) END, lambda v: {'b': lower(v), 'c': entity})),
+    CASE WHEN outcome = 'merged' THEN entries ELSE list_append(entries, name) END, list_concat(aliases, list_transform(list_filter(al, lambda v: outcome <> 'merged' OR v <> entity), lambda v: {'e': entity, 'a': v})), s, name, coalesce(target, name), outcome,
+    CASE WHEN t IS NULL AND pick.status = 'judged' THEN pick.conf END, CASE WHEN t IS NULL AND pick.status = 'judged' THEN pick.why END
+  FROM (SELECT *, CASE WHEN outcome = 'merged' THEN list_filter(forms, lambda q: q.b = lower(target))[-1].c ELSE name END AS entity
+  FROM (SELECT *, coalesce(t, pick.known) AS target, CASE WHEN t IS NOT NULL THEN 'merged' WHEN pick IS NULL THEN 'new' WHEN pick.status = 'accepted' OR pick.auto AND pick.conf >= 0.9 THEN 'merged' ELSE 'queued' END AS outcome
+  FROM (SELECT *, CASE WHEN t IS NULL THEN list_sort(list_transform(list_filter(told, lambda q: list_contains(entries, q.known)), lambda q: {'at': list_position(entries, q.known), 'known': q.known, 'status': q.status, 'conf': q.conf, 'auto': q.auto, 'why': q.why}))[1] END AS pick
+  FROM (SELECT st.m, c.i, forms, entries, aliases, c.s, c.name, c.al, c.told, coalesce(list_filter(forms, lambda q: q.b = lower(c.name))[-1].c, list_filter(forms, lambda q: q.b = lower(c.al[1]))[-1].c) AS t FROM st JOIN c ON c.m = st.m AND c.i = st.i + 1)))))
+SELECT CAST(m AS VARCHAR) AS manuscript_id, s AS scene_order, CAST(0 AS BIGINT) AS pos, name AS canonical_name, resolved AS resolved_name, outcome, conf AS confidence, why AS rationale FROM st WHERE i > 0""",
+)
 def resolution_fold(spark, sf_dir):
     """Part names as candidates of manuscripts of 25 part keys, which bound the fold, with stored decisions and judgements."""
     found = resolution.resolved(*_resolution_tables(spark, sf_dir))

@@ -78,8 +78,10 @@ def annotated_clusters(characters: DataFrame) -> DataFrame | None:
 
 
 def resolution_scores(characters: DataFrame, mentions: DataFrame, scenes: DataFrame) -> DataFrame | None:
-    """B-cubed scores of predicted mentions against annotated ones; None where the gold has no mentions."""
+    """B-cubed scores of predicted mentions against annotated ones; None where the gold has no mentions, an error where there are
+    no scenes to have coordinates of."""
     told = annotated_clusters(characters)
+    measured(scenes, "scene coordinates")
     return None if told is None else metrics.bcubed(told, mention_clusters(mentions, scenes))
 
 

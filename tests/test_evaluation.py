@@ -97,6 +97,8 @@ def test_gold_without_mentions_is_no_score_and_half_annotated_is_an_error(spark)
     with pytest.raises(InconsistentGold, match="b"):
         E.resolution_scores(rows(("w", "a", [("c0/s0", "Ana")]), ("w", "b", None)), mentions, scenes)
     assert E.resolution_scores(rows(("w", "a", [("c0/s0", "ANA ")]), ("w", "b", [])), mentions, scenes).first().f1 == 1.0
+    with pytest.raises(NotMeasured, match="coordinates"):
+        E.resolution_scores(rows(("w", "a", None)), mentions, scenes.where("false"))
     assert E.skipped_or_failed("no graph", None) == E.skipped_or_failed("no graph", "true") == "no graph"
     with pytest.raises(NotMeasured):
         E.skipped_or_failed("no graph", "1")
