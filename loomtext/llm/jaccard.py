@@ -457,3 +457,15 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = least.groupBy("label").agg(*_least()).select("doc_id", "tid").unionAll(own.where("n = 0").groupBy("doc_id").agg(F.min("tid").alias("tid")))
     kept = of_rows(docs, first, "left_semi").withColumn("_tid", text_id())
     return kept.dropDuplicates(["doc_id", "_tid"]).select(*docs.columns)
+
+
+def oracle(k: int = 3, percent: int = 90) -> str:
+    """The rows of joined() in SQL, for tables small enough that sets which share a shingle can all be paired."""
+    return rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END)) AS sh FROM d),
+k AS MATERIALIZED (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s GROUP BY sh HAVING len(sh) > 0),
+u AS MATERIALIZED (SELECT rep, n, unnest(sh) AS x FROM k),
+e AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, CASE WHEN len(s.sh) = 0 THEN doc_id ELSE least(rep, coalesce(m.least, rep)) END AS component_id FROM s LEFT JOIN k ON k.sh = s.sh LEFT JOIN m ON m.a = k.rep"""

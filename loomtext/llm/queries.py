@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_quality_classifier": op12_quality_classifier,
     "op13_vector_codes": op13_vector_codes,
 }
-ORACLES: dict[str, str] = {"op1_lm_scoring": lm.ORACLE, "op11_centroid_clustering": hamerly.oracle(), "op13_vector_codes": segmentcodes.oracle()}
+ORACLES: dict[str, str] = {"op1_lm_scoring": lm.ORACLE, "op8_jaccard_join": jaccard.oracle(k=3, percent=90), "op11_centroid_clustering": hamerly.oracle(), "op13_vector_codes": segmentcodes.oracle()}
