@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtext.llm import lm, packing, quality, suffixes, toxicity, urls
+from loomtext.llm import boosted, decontaminate, jaccard, licenses, lm, packing, pii, quality, suffixes, toxicity, urls
 from loomtext.llm.queries import vocabulary_path
 from loomtext.llm.shared import written
 from tests.llm.conftest import SCHEMA, prose, rows_of
@@ -76,3 +76,45 @@ def test_a_very_long_text(spark):
     cut = {r.doc_id: r.n_removed for r in suffixes.without_repeats(docs).collect()}
     assert cut == {1: 500_000, 2: 500_000, 3: 0}
     assert {r.doc_id: r.n_words for r in lm.scored(docs).collect()}[1] == len(text.split())
+
+
+def test_a_very_long_text_in_the_other_operators(spark):
+    """One text of a megabyte, one that is half of it, a short one: personal data, benchmark passages, licenses, packing, joins, scores."""
+    rng = random.Random(72)
+    text, item = prose(rng, 150_000), prose(rng, 60)
+    long = f"{text} write to a.b@example.org or {item} now. {text[:1000]}"
+    docs = spark.createDataFrame([(1, long), (2, text[:500_000]), (3, "short and b@c.de")], "doc_id long, text string").withColumns({c: F.lit("x") for c in CLASHES})
+    kinds = {r.doc_id: (r.n_email, r.n_ip) for r in pii.digest(pii.found(docs)).collect()}
+    assert kinds == {1: (1, 0), 2: (0, 0), 3: (1, 0)}
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(docs, benchmark, k=5, least=0.8).collect()} >= {1}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()} == {2, 3}
+    assert licenses.scanned(docs).where("doc_id in (1, 2)").select("doc_id").distinct().count() in (0, 2)  # with or without a row, but whole
+    pieces = packing.pack_documents(docs, vocabulary_path()).where("doc_id = 1").collect()
+    assert sorted(p.piece for p in pieces) == list(range(len(pieces))) and all(p.length == 1024 for p in pieces if p.piece) and len(pieces) > 100
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(docs, k=3, percent=90).collect()}
+    assert got[1][0] > 149_000 and {d: c for d, (_, c) in got.items()} == {1: 1, 2: 2, 3: 3}
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    for scores in (toxicity.scored(docs, toxicity.trained(docs, labels)), boosted.scored(docs, boosted.trained(docs, labels))):
+        assert {r.doc_id: 0 <= r.score <= 1 for r in scores.collect()} == {1: True, 2: True, 3: True}
+
+
+def test_ties_in_packing_and_scores(spark):
+    """Texts of one length and equal texts: places stay gapless, equal texts have equal scores, whatever the order of rows."""
+    docs = spark.createDataFrame([(i, "same words here again " * 40) for i in range(60)], "doc_id long, text string")
+    placed = packing.pack_documents(docs, vocabulary_path()).collect()
+    by = {}
+    for p in placed:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert all(at == sum(n for _, n in sorted(x)[:i]) for x in by.values() for i, (at, _) in enumerate(sorted(x))) and max(sum(n for _, n in x) for x in by.values()) <= 1024
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    for model in (toxicity, boosted):
+        one, two = (model.scored(d, model.trained(d, labels)).collect() for d in (docs, docs.orderBy(F.desc("doc_id"))))
+        assert len({r.score for r in one}) == 1 and {r.score for r in one} == {r.score for r in two}
+
+
+def test_the_pipeline_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
