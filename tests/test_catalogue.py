@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from loomtext.plans import linking_queries, more_queries  # noqa: F401
+from loomtext.plans import linking_queries, more_queries, table_queries  # noqa: F401
 from loomtext.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
