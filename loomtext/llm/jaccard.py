@@ -37,6 +37,7 @@ SHARED = 50  # shingles for which linked sets share one root more
 FREQUENT = 5  # log2 of the least count of a shingle that the order knows as frequent
 WHOLE = 4_096  # rows of a root whose sizes a task compares
 COMMON = 12  # log2 of the count from which a shingle as a root is known to be one of more rows than that
+PLACES = 1 << 20  # words of bits that are broadcast at most, 16 MB
 MOST_FREQUENT = 1 << 20  # shingles the order knows at most; the others count as rare
 RUN = 4_000_000  # shingles a task counts together
 
@@ -238,7 +239,12 @@ def class_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
                     kept.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(n[kept]), pa.array(bits, pa.list_(pa.int64())), pa.array(hashes, pa.binary())], ["key", "n", "bits", "hashes"])
 
-    once = of_rows(own_id(docs), reps.select("doc_id", "tid", "key"), "inner").select("key", "text")
+    # Texts that are no representative's are sorted out before they are shuffled, by a bit for each hash in PLACES words.
+    place = lambda tid: F.pmod(F.shiftright(tid, 6), F.lit(PLACES))
+    bit = lambda tid: F.call_function("shiftleft", F.lit(1).cast("long"), tid.bitwiseAND(63).cast("int"))
+    marks = reps.groupBy(place(F.col("tid")).alias("_place")).agg(F.bit_or(bit(F.col("tid"))).alias("_bits"))
+    likely = own_id(docs).withColumn("_place", place(text_id())).join(F.broadcast(marks), "_place").where(F.col("_bits").bitwiseAND(bit(text_id())) != 0)
+    once = of_rows(likely.select("doc_id", "text"), reps.select("doc_id", "tid", "key"), "inner").select("key", "text")
     return once.mapInArrow(mark, "key long, n long, bits array<long>, hashes binary")
 
 
@@ -370,7 +376,8 @@ class Trees:
     """The trees of large roots, from rows (root, key, size, shingles)."""
 
     def __init__(self, members: DataFrame, sets: DataFrame, percent: int) -> None:
-        self.percent, self.sets = percent, sets
+        self.percent = percent
+        self.sets = sets = written(sets.join(members.select("key").distinct().hint("merge"), "key", "left_semi"), "tree-sets")
         leaves = F.greatest(F.ceil(F.col("shingles") / LEAF_SHINGLES), F.ceil(F.col("size") / (8 * LEAF)))
         sized = members.join(sets.select("key", "n", "bits"), "key")
         self.members = written(sized.select("root", "key", "n", "bits", F.floor(F.log(F.col("n").cast("double")) * 20).cast("int").alias("range"), F.pmod(F.xxhash64("key"), leaves).alias("leaf")), "tree-members")
@@ -455,8 +462,11 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     own, least = _labelled(docs, k, percent)
     first = least.groupBy("label").agg(*_least()).select("doc_id", "tid").unionAll(own.where("n = 0").groupBy("doc_id").agg(F.min("tid").alias("tid")))
-    kept = of_rows(docs, first, "left_semi").withColumn("_tid", text_id())
-    return kept.dropDuplicates(["doc_id", "_tid"]).select(*docs.columns)
+    # Joined by columns without nulls, so that the rows of one text of one id are together already when repeats are dropped.
+    key = {"_rep_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_rep_none": F.col("doc_id").isNull()}
+    asked = first.select(*[c.alias(n) for n, c in key.items()], F.col("tid").alias("_rep_tid"))
+    kept = docs.withColumns(key | {"_rep_tid": text_id()}).join(asked.hint("merge"), [*key, "_rep_tid"], "left_semi")
+    return kept.dropDuplicates([*key, "_rep_tid"]).select(*docs.columns)
 
 
 def oracle(k: int = 3, percent: int = 90) -> str:
