@@ -71,7 +71,8 @@ def test_queries_give_the_rows_of_their_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     got = QUERIES[name](spark, "/root/testdata/sf0.001")
     said = c.execute(ORACLES[name])
     order = [d[0] for d in said.description]
