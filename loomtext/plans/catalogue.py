@@ -621,7 +621,14 @@ def segmentation_accuracy(spark, sf_dir):
     return both.select("manuscript_id", ratios.accuracy(F.coalesce("found", F.lit(0)), F.col("expected")).alias("accuracy"))
 
 
-@query("q41_html_blocks")
+@query(
+    "q41_html_blocks",
+    r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', '', 'gs') AS t FROM pages WHERE html IS NOT NULL),
+o AS (SELECT page_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS part FROM (SELECT page_id, regexp_extract_all(t, '(?s)<(?:p|h1)>(?:[^<]|<(?:[^ph/]|/[^ph]|h[^1]|p[^>]|/p[^>]|/h[^1]))*') AS x FROM h)),
+w AS (SELECT page_id, i, part[2:2] = 'h' AS heading, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(part, '^<(p|h1)>', ''), '<[^>]*>?'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), ' ') AS raw FROM o),
+u AS (SELECT page_id, i, heading, replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS text FROM w WHERE raw <> '')
+SELECT page_id AS id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, CASE WHEN heading THEN 'heading' WHEN regexp_full_match(text, '[*·~—#§•\-–_ \t]+') THEN 'separator' ELSE 'paragraph' END AS kind, text, CASE WHEN heading THEN CAST(1 AS INTEGER) END AS level FROM u""",
+)
 def html_blocks(spark, sf_dir):
     return markup.html_blocks(A.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("html")))
 
