@@ -132,6 +132,13 @@ def test_zip_formats(spark):
     assert markup.parsed("<script>x</script><p>a<p>b</p><style>q</style><h3> </h3>") == [("paragraph", "a", None), ("paragraph", "b", None)]
 
 
+def test_named_references_end_with_a_semicolon():
+    said = lambda text: [b[1] for b in markup.parsed(f"<p>{text}</p>")]
+    assert said("a &amp;amp; b&amp &copy; &copy 1") == ["a &amp; b&amp © &copy 1"]
+    assert said("&ampx; &nix; &#38; & &<b>x</b>&am") == ["&ampx; &nix; & & & x &am"]
+    assert markup.parsed("<h1>R&ampD")[0][1] == "R&ampD"
+
+
 def plain_pair(rows):
     """One pair's evidence in narrative order, by the rules in words."""
     weight = {}
