@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,26 +17,54 @@ SMALL = 200_000
 
 
 def _in_order(first: DataFrame, second: DataFrame, group: str) -> DataFrame:
-    """Matches of groups that are small: one walk over x in order, each name keeping its place in its sorted y."""
+    """Matches of groups that are small: one walk over x in order, each name keeping its place in its sorted y.
+
+    A task walks its groups one after the other in one stream of rows (y of a group before its x), so a group costs what its
+    rows cost, however many groups there are.
+    """
     kinds = {c: t for d in (first, second) for c, t in d.dtypes}
 
-    def walk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free = {name: sorted(part, reverse=True) for name, part in b.groupby("name")["y"]}
-        taken, rows = set(), []
-        for x, names in a.groupby("x", sort=True)["name"]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x, names, free, taken, rows = object(), None, [], {}, set(), []
+
+        def settle() -> None:
             best = None
             for name in names:
-                left = free.get(name, [])
-                while left and left[-1] in taken:
-                    left.pop()
-                if left and (best is None or left[-1] < best):
-                    best = left[-1]
+                left = free.get(name, ())
+                while left and left[0] in taken:
+                    left.popleft()
+                if left and (best is None or left[0] < best):
+                    best = left[0]
             if best is not None:
                 taken.add(best)
-                rows.append((a[group].iloc[0], x, best))
-        return pd.DataFrame(rows, columns=[group, "x", "y"])
-
-    return first.groupBy(group).cogroup(second.groupBy(group)).applyInPandas(walk, f"{group} {kinds[group]}, x {kinds['x']}, y {kinds['y']}")
+                rows.append((at, x, best))
+            names.clear()
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)) if rows else ([], [], []), strict=True)), schema=schema)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(c) for c in (group, "x", "y")])
+            for work, name, a, b, is_first in zip(*(batch.column(c).to_pylist() for c in (group, "name", "x", "y", "is_first")), strict=True):
+                if work != at or is_first and names and a != x:
+                    settle()
+                if work != at:
+                    at, free, taken = work, {}, set()
+                if is_first:
+                    x = a
+                    names.append(name)
+                else:
+                    free.setdefault(name, deque()).append(b)
+            yield told()
+        if names:
+            settle()
+            yield told()
+
+    side = lambda rows, c, other: rows.select(group, "name", c, F.lit(None).cast(kinds[other]).alias(other), F.lit(c == "x").alias("is_first"))
+    line = side(first, "x", "y").unionByName(side(second, "y", "x")).repartition(group).sortWithinPartitions(group, "is_first", "x", "y")
+    return line.mapInArrow(walk, f"{group} {kinds[group]}, x {kinds['x']}, y {kinds['y']}")
 
 
 def _sure(first: DataFrame, second: DataFrame, group: str) -> DataFrame:

@@ -47,6 +47,22 @@ def test_rounds_match_like_the_walk(spark):
         assert len(got) == len(set(got)) and set(got) == want, small
 
 
+def test_small_groups_are_walked_in_one_stream(spark):
+    """Works cost what their rows cost: no frame is made for each, and one may stand in several batches."""
+    rng = random.Random(33)
+    names = [f"n{i}" for i in range(9)]
+    first, second = ([(f"w{rng.randrange(40)}", rng.choice(names), i // 2) for i in range(400)] for _ in range(2))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert set(got_greedy(spark, first, second)) == plain_greedy(first, second)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    a, b = spark.createDataFrame(first, "work string, name string, x long"), spark.createDataFrame(second, "work string, name string, y long")
+    plan = matching.greedy(a, b, "work")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+
+
 def test_lists_that_do_not_meet_or_are_not_there(spark):
     assert got_greedy(spark, [("w", "a", 1)], [("w", "b", 1)]) == got_greedy(spark, [], []) == got_greedy(spark, [("w", "a", 1)], [("v", "a", 1)]) == []
     assert got_greedy(spark, [("w", "a", 1)] * 3 + [("w", "a", 2)], [("w", "a", 5)] * 2) == [("w", 1, 5)]
