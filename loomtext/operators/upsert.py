@@ -60,7 +60,7 @@ def accepted(characters: DataFrame, mention_edges: DataFrame, appearances: DataF
     Merges that chain are followed to their end (final_targets()), so nothing is left with an id that is gone. Mentions move, appearances in one scene are added up and keep the target's kind, the target takes over names and
     aliases and remembers whom it absorbed. Counters are for evidence.character_counters() to recompute.
     """
-    merges = staged(final_targets(merges), "targets")
+    merges = staged(final_targets(merges), "targets").hint("merge")  # its files are far smaller than what a broadcast would send
     b = characters.join(merges.withColumnRenamed("from_id", "character_id"), "character_id")
     gone = b.groupBy(F.col("to_id").alias("character_id")).agg(
         F.flatten(F.collect_list(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array())))).alias("more"), F.array_sort(F.collect_set(F.col("character_id").cast("string"))).alias("absorbed")

@@ -114,3 +114,15 @@ def test_relations_of_touched_manuscripts_are_made_again(spark):
     assert {(r.manuscript_id, r.rel_type, r.evidence_count) for r in once["relates_to"].collect()} == {("m", "social", 3), ("n", "social as stored", 1)}
     twice = graph.merged_relations(once, new, new)
     assert rows_of(once, "relation_evidence", "relates_to") == rows_of(twice, "relation_evidence", "relates_to")
+
+
+def test_links_do_not_pass_through_the_driver(spark):
+    """Staged links are small as files and large as rows, so a join by itself would broadcast them."""
+    merges = spark.range(1, 4000).where("id % 5 <> 0").selectExpr("id AS from_id", "id - 1 AS to_id")
+    people = spark.range(4000).selectExpr("id AS character_id", "'d' || id AS canonical_name", "array() AS aliases")
+    edges = people.selectExpr("character_id", "character_id AS mention_id")
+    seen = people.selectExpr("character_id", "1 AS scene_id", "'mentioned' AS kind", "1 AS mention_count")
+    ends = components.final_targets(merges)
+    assert {tuple(r) for r in ends.collect()} == {(i, i - i % 5) for i in range(4000) if i % 5}
+    for plan in (ends, *upsert.accepted(people, edges, seen, merges)):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
