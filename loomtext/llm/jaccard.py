@@ -40,6 +40,7 @@ COMMON = 12  # log2 of the count from which a shingle as a root is known to be o
 PLACES = 1 << 20  # words of bits that are broadcast at most, 16 MB
 MOST_FREQUENT = 1 << 20  # shingles the order knows at most; the others count as rare
 RUN = 4_000_000  # shingles a task counts together
+SLICE = 500_000  # bytes of texts that are hashed together
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,12 +73,16 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         held, size, seen = [], 0, set()
 
         def met_again() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            every = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            every.sort()
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+            count = np.diff(np.append(first, len(every)))
             again = count > 1
-            return pa.RecordBatch.from_arrays([pa.array(as_long(token[again])), pa.array(count[again].astype(np.int64))], ["shingle", "count"])
+            return pa.RecordBatch.from_arrays([pa.array(as_long(every[first[again]])), pa.array(count[again])], ["shingle", "count"])
 
         for batch in batches:
-            for _, _, texts in text_slices(batch.column("text")):
+            for _, _, texts in text_slices(batch.column("text"), SLICE):
                 h, first, n = shingle_sets(texts, k)
                 keys = set_keys(h, first, n).tolist()
                 new = np.zeros(len(keys), bool)
@@ -142,7 +147,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how, seen = Roots(percent, frequent, power), set()
         for batch in batches:
-            for a, b, texts in text_slices(batch.column("text")):
+            for a, b, texts in text_slices(batch.column("text"), SLICE):
                 h, first, n = shingle_sets(texts, k)
                 keys = as_long(set_keys(h, first, n))
                 roots = []
@@ -216,17 +221,33 @@ def company(stands: DataFrame, percent: int, common: DataFrame | None = None) ->
     return kept
 
 
+def maybe_asked(rows: DataFrame, at: Column, asked: DataFrame, c: str) -> DataFrame:
+    """The rows whose hash `at` is in column c of asked, and few others, found before they are shuffled: by a bit for each
+    hash in PLACES words."""
+    place = lambda h: F.pmod(F.shiftright(h, 6), F.lit(PLACES))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    marks = asked.groupBy(place(F.col(c)).alias("_place")).agg(F.bit_or(bit(F.col(c))).alias("_bits"))
+    return rows.withColumn("_place", place(at)).join(F.broadcast(marks), "_place").where(F.col("_bits").bitwiseAND(bit(at)) != 0).drop("_place", "_bits")
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A bitmap of four to eight bits for each hash, a power of two; folding the wider of two makes both as wide."""
+    flags = np.zeros(1 << max(6, (4 * len(h) - 1).bit_length()), np.uint8)
+    flags[(h % np.uint64(len(flags))).astype(np.int64)] = 1
+    return np.packbits(flags).view(np.uint64)
+
+
 def class_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """key, n, bitmap and sorted hashes for rows (doc_id, tid, key)."""
+    """key, n, bitmap, sketch and sorted hashes for rows (doc_id, tid, key)."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            for a, b, texts in text_slices(batch.column("text")):
+            for a, b, texts in text_slices(batch.column("text"), SLICE):
                 h, first, n = shingle_sets(texts, k)
                 keys = as_long(set_keys(h, first, n))
                 asked = batch.column("key").slice(a, b - a).to_numpy()
-                bits, hashes, kept = [], [], []
+                bits, sketches, hashes, kept = [], [], [], []
                 for i in np.flatnonzero(keys == asked).tolist():
                     if int(keys[i]) in seen:
                         continue
@@ -235,17 +256,14 @@ def class_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
                     flags = np.zeros(BITS, np.uint8)
                     flags[(own % np.uint64(BITS)).astype(np.int64)] = 1
                     bits.append(np.packbits(flags).view(np.int64))
+                    sketches.append(sketch(own).tobytes())
                     hashes.append(own.tobytes())
                     kept.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(n[kept]), pa.array(bits, pa.list_(pa.int64())), pa.array(hashes, pa.binary())], ["key", "n", "bits", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(n[kept]), pa.array(bits, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(hashes, pa.binary())], ["key", "n", "bits", "sketch", "hashes"])
 
-    # Texts that are no representative's are sorted out before they are shuffled, by a bit for each hash in PLACES words.
-    place = lambda tid: F.pmod(F.shiftright(tid, 6), F.lit(PLACES))
-    bit = lambda tid: F.call_function("shiftleft", F.lit(1).cast("long"), tid.bitwiseAND(63).cast("int"))
-    marks = reps.groupBy(place(F.col("tid")).alias("_place")).agg(F.bit_or(bit(F.col("tid"))).alias("_bits"))
-    likely = own_id(docs).withColumn("_place", place(text_id())).join(F.broadcast(marks), "_place").where(F.col("_bits").bitwiseAND(bit(text_id())) != 0)
+    likely = maybe_asked(own_id(docs), text_id(), reps, "tid")
     once = of_rows(likely.select("doc_id", "text"), reps.select("doc_id", "tid", "key"), "inner").select("key", "text")
-    return once.mapInArrow(mark, "key long, n long, bits array<long>, hashes binary")
+    return once.mapInArrow(mark, "key long, n long, bits array<long>, sketch binary, hashes binary")
 
 
 def _bit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -262,8 +280,26 @@ def _reach(overlap: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) ->
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
+def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that sketches can't rule out. Long sets fill bitmaps of BITS, so that these hardly rule
+    out any of them."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, m, n in zip(batch.column("sa"), batch.column("sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = (np.bitwise_or.reduce(z.reshape(-1, min(len(x), len(y))), axis=0) for z in (x, y))
+                keep.append(bool(_reach(_most_overlap(m, n, x, y), m, n, percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    a = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compare, "a long, b long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold, by comparing the sets."""
+    """The pairs (a, b) of classes whose sets reach the threshold, by comparing the sets of those that sketches leave."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,6 +312,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * overlap >= percent * (len(both) - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = written(near(pairs, sets, percent), "jaccard-near")
+    sets = maybe_asked(sets, F.col("key"), pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
     a = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
     b = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
     return pairs.hint("merge").join(a, "a").join(b.hint("merge"), "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
@@ -377,7 +415,8 @@ class Trees:
 
     def __init__(self, members: DataFrame, sets: DataFrame, percent: int) -> None:
         self.percent = percent
-        self.sets = sets = written(sets.join(members.select("key").distinct().hint("merge"), "key", "left_semi"), "tree-sets")
+        asked = maybe_asked(sets.select("key", "n", "bits", "hashes"), F.col("key"), members, "key")
+        self.sets = sets = written(asked.join(members.select("key").distinct().hint("merge"), "key", "left_semi"), "tree-sets")
         leaves = F.greatest(F.ceil(F.col("shingles") / LEAF_SHINGLES), F.ceil(F.col("size") / (8 * LEAF)))
         sized = members.join(sets.select("key", "n", "bits"), "key")
         self.members = written(sized.select("root", "key", "n", "bits", F.floor(F.log(F.col("n").cast("double")) * 20).cast("int").alias("range"), F.pmod(F.xxhash64("key"), leaves).alias("leaf")), "tree-members")
@@ -419,6 +458,8 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     step = math.log(100 / percent) if percent < 100 else 1.0
     stands = lambda roots: own.where(F.col(roots).isNotNull()).select(F.explode(roots).alias("root"), "key", "n")
     under = company(stands("roots"), percent, stands("common")).withColumn("size_step", F.floor(F.log(F.col("n").cast("double")) / step))
+    rooted, own = own, written(own.select("doc_id", "tid", "n", "key"), "jaccard-docs")
+    released(rooted)
     sets = written(class_sets(docs, every.join(under.select("key").distinct(), "key", "left_semi"), k), "jaccard-sets")
     least = under.groupBy("root", "size_step").agg(F.min("key").alias("b"))
     stars = under.join(least, ["root", "size_step"]).where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("shared"))
@@ -437,6 +478,10 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
         for alone in (True, False):
             links = links.unionAll(written(trees.links(labels.withColumnRenamed("node", "key"), alone), "jaccard-links"))
             labels = components(links)
+        released(trees.sets)
+        released(trees.members)
+    for done in (under, sets, searched):
+        released(done)
 
     return own, every.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", "tid", F.coalesce("label", "key").alias("label"))
 

@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2)
         item = TaskContext.get().partitionId() << 36
         for batch in batches:
             texts, docs_in = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in slices([len(t) for t in texts], 2_500_000):
+            for a, b in slices([len(t) for t in texts], 1_000_000):
                 rows = []
                 for doc_id, ids in zip(docs_in[a:b], coder.encode(texts[a:b]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomtext.llm import jaccard, suffixes, toxicity, urls
+from loomtext.llm import jaccard, shared, suffixes, toxicity, urls
 from loomtext.llm.components import components
 from tests.llm.conftest import SCHEMA, prose, rows_of
 from tests.llm.test_text_operators import WORD, low
@@ -144,6 +144,44 @@ def test_roots_never_miss():
                 assert 100 * both < percent * (len(a) + len(b) - both) or len(np.intersect1d(how.of(a), how.of(b))) >= jaccard.least_shared(min(len(a), len(b))), (percent, n)
 
 
+def test_sketches_rule_out_long_sets_and_no_link(spark):
+    """Long sets that share a fifth fill a bitmap of 2048 bits: the sketches tell them apart, and lose no pair at the threshold."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    rows, pairs, want = [], [], set()
+
+    def put(*sets):
+        for h in map(np.unique, sets):
+            rows.append((len(rows), len(h), bytearray(jaccard.sketch(h).tobytes()), bytearray(h.tobytes())))
+        pairs.append((len(rows) - 2, len(rows) - 1))
+        return pairs[-1]
+
+    for n in (3, 40, 1000, 6000, 40_000):
+        base = draw(n)
+        for lost in (0, n // 20, n // 9, n // 5):
+            a, b = base, np.concatenate([base[lost:], draw(n // 50)])
+            at = put(a, b)
+            if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                want.add(at)
+    for _ in range(40):
+        both = draw(1000)
+        put(np.concatenate([both, draw(4000)]), np.concatenate([both, draw(4200)]))
+    sets = spark.createDataFrame(rows, "key long, n long, sketch binary, hashes binary")
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    left = {tuple(r) for r in jaccard.near(frame, sets, 80).collect()}
+    assert want <= left and len(want) >= 12 and not any(a >= 40 for a, _ in left)
+    assert {tuple(r) for r in jaccard.linked(frame, sets, 80).collect()} == want
+
+
+def test_join_leaves_no_sets_behind(spark, docs, tmp_path, monkeypatch):
+    """Tables of roots and sets, the largest that the join writes, are gone before its result is made."""
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path))
+    found = jaccard.representatives(docs)
+    names = [p.name for p in tmp_path.iterdir()]
+    assert not [x for x in names if x.startswith(("jaccard-sets", "jaccard-under", "jaccard-held", "jaccard-searched", "tree-"))]
+    assert sum(x.startswith("jaccard-docs") for x in names) == 1 and 0 < found.count() < docs.count()
+
+
 def test_spanning_links_connect_what_is_linked():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 80, dtype=np.uint64)
