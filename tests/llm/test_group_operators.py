@@ -55,6 +55,21 @@ def test_repeated_strings_at_every_edge(spark):
     assert removed(frame) == plain_removal(texts)
 
 
+def test_what_is_removed_and_what_is_left(spark):
+    """Spans and the bytes left, of texts cut in a character, whole copies, short and null texts; the digests are of the same."""
+    rng = random.Random(35)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b = letters(399), letters(900)
+    texts = [letters(60) + a + "é" + letters(20), a + "è" + letters(30), letters(10) + b[:500] + "#" * 70 + b[500:], b, b, "short", None, ""]
+    frame = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    whole = {r.doc_id: (bytes(r.kept), [(x.s, x.e) for x in r.spans]) for r in suffixes.kept_texts(frame).collect()}
+    told = {r.doc_id: r.spans for r in suffixes.without_repeats(frame).collect()}
+    plain = plain_removal(texts)
+    assert {i: (n, sum(e - s for s, e in whole[i][1]), len(whole[i][1]), hashlib.sha256(whole[i][0]).hexdigest()) for i, (n, *_) in plain.items()} == plain
+    assert whole[0][1] == [(60, 460)] and whole[2][1] == [(10, 510), (580, 980)] and whole[3] == whole[4] == (b"", [(0, 900)]) and whole[5] == (b"short", [])
+    assert told == {i: ",".join(f"{s}:{e}" for s, e in spans) for i, (_, spans) in whole.items()}
+
+
 def plain_components(texts, k, percent):
     sets = []
     for t in texts:
